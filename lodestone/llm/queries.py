@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, token_counts
+from lodestone.llm import bpe_codec, huffman, media, mixing, token_counts, urlfilter, warc
 
+#: One record in so many is damaged in the copy that op7 audits.
+FAULT_EVERY = 97
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
@@ -16,17 +19,71 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, lengths = huffman.write(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 2)
+    return huffman.digests(huffman.read(files, lengths))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(_table(spark, sf_dir, "pages"))
+
+
+def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.store(_table(spark, sf_dir, "documents"))).select("*", F.lower(F.hex("hash")).alias("feature")).drop("hash")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 1024)
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored replica against a copy with planted faults; shard and at depend on the cluster and are left out."""
+    replica = warc.write(_table(spark, sf_dir, "pages"))
+    return warc.audit(replica, warc.with_faults(replica, FAULT_EVERY)).select("page_id", "offset", "length", "sha256", "damaged")
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_huffman_ids": op1_huffman_ids,
+    "op3_url_filter": op3_url_filter,
+    "op4_png_media": op4_png_media,
     "op6_token_counts": op6_token_counts,
+    "op7_warc_fixity": op7_warc_fixity,
+    "op9_mix_sources": op9_mix_sources,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WARC_SQL = f"""
+WITH records AS (
+  SELECT page_id, concat('WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), ''), '>\r\nWARC-Target-URI: ', coalesce(url, ''),
+    '\r\nWARC-Date: {warc.DATE}\r\nContent-Type: text/html\r\nContent-Length: ', octet_length(encode(coalesce(html, ''))), '\r\n\r\n', coalesce(html, ''), '\r\n\r\n') AS record
+  FROM pages),
+sized AS (SELECT page_id, CAST(octet_length(encode(record)) AS BIGINT) AS length, sha256(record) AS sha256 FROM records)
+SELECT page_id, CAST(coalesce(sum(length) OVER (ORDER BY page_id NULLS FIRST, length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset,
+  length, sha256, {{crc}} % {FAULT_EVERY} = 0 AS damaged
+FROM sized
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 (reflected polynomial 0xEDB88320) of an ASCII text, in DuckDB SQL: bit by bit, as DuckDB has none."""
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    step = bit
+    for _ in range(7):
+        step = f"list_transform([{step}], lambda c: {bit})[1]"
+    byte = f"list_transform([xor(acc, x)], lambda c: {step})[1]"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda acc, x: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": urlfilter.judge_sql(),
+    "op7_warc_fixity": _WARC_SQL.replace("{crc}", crc32_sql("CAST(page_id AS VARCHAR)")),
+    "op9_mix_sources": mixing.mix_sql(),
+}
