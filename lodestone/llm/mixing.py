@@ -153,12 +153,12 @@ def mix_sql(rounds: int = ROUNDS) -> str:
     """DuckDB SQL of mix() over documents."""
 
     def swap(table: str, x: str, n: str, key: str, out: str) -> str:
-        steps = [f"{out}0 AS (SELECT *, CAST({x} AS BIGINT) AS {out} FROM {table})"]
+        steps = [f"{out}0 AS MATERIALIZED (SELECT *, CAST({x} AS BIGINT) AS {out} FROM {table})"]
         for r in range(rounds):
-            k = f"(((({r} + 1) * 1103515 + {key} * 7919 + 9973) % {_M}) * 48271 % {_M} * {_M} + (({r} + 3) * 69621 + {key} * 16807) % {_M} * 39373 % {_M}) % {n}"
-            steps.append(f"{out}m{r} AS (SELECT *, ({k} - {out} + {n}) % {n} AS mirror FROM {out}{r})")
-            steps.append(f"{out}z{r} AS (SELECT *, ((greatest({out}, mirror) % {_M} * 48271 + (greatest({out}, mirror) // {_M}) * 16807 + {r} * 7907 + {key}) % {_M} * 69621 % {_M}) AS z FROM {out}m{r})")
-            steps.append(f"{out}{r + 1} AS (SELECT * EXCLUDE (mirror, z, {out}), CASE WHEN (((xor(z, z >> 15) * 48271) % {_M}) >> 13) & 1 = 1 THEN mirror ELSE {out} END AS {out} FROM {out}z{r})")
+            k = f"(((({r}::BIGINT + 1) * 1103515 + {key} * 7919 + 9973) % {_M}) * 48271 % {_M} * {_M} + (({r}::BIGINT + 3) * 69621 + {key} * 16807) % {_M} * 39373 % {_M}) % {n}"
+            steps.append(f"{out}m{r} AS MATERIALIZED (SELECT *, ({k} - {out} + {n}) % {n} AS mirror FROM {out}{r})")
+            steps.append(f"{out}z{r} AS MATERIALIZED (SELECT *, ((greatest({out}, mirror) % {_M} * 48271 + (greatest({out}, mirror) // {_M}) * 16807 + {r}::BIGINT * 7907 + {key}) % {_M} * 69621 % {_M}) AS z FROM {out}m{r})")
+            steps.append(f"{out}{r + 1} AS MATERIALIZED (SELECT * EXCLUDE (mirror, z, {out}), CASE WHEN (((xor(z, z >> 15) * 48271) % {_M}) >> 13) & 1 = 1 THEN mirror ELSE {out} END AS {out} FROM {out}z{r})")
         return ",\n".join(steps)
 
     return f"""
