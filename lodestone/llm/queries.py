@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, huffman, media, mixing, token_counts, urlfilter, warc
+from lodestone.llm import bpe_codec, huffman, media, mixing, token_counts, toxicity, urlfilter, warc
 
 #: One record in so many is damaged in the copy that op7 audits.
 FAULT_EVERY = 97
@@ -32,6 +32,11 @@ def op4_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.store(_table(spark, sf_dir, "documents"))).select("*", F.lower(F.hex("hash")).alias("feature")).drop("hash")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scores(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 1024)
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
     "op3_url_filter": op3_url_filter,
     "op4_png_media": op4_png_media,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_warc_fixity": op7_warc_fixity,
     "op9_mix_sources": op9_mix_sources,
