@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, huffman, media, mixing, token_counts, toxicity, urlfilter, warc
+from lodestone.llm import bpe_codec, huffman, media, minhash, mixing, token_counts, toxicity, urlfilter, warc
 
 #: One record in so many is damaged in the copy that op7 audits.
 FAULT_EVERY = 97
@@ -24,6 +24,10 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.digests(huffman.read(files, lengths))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages"))
 
@@ -57,6 +61,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_huffman_ids": op1_huffman_ids,
+    "op2_minhash": op2_minhash,
     "op3_url_filter": op3_url_filter,
     "op4_png_media": op4_png_media,
     "op5_toxicity": op5_toxicity,
