@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_codec, huffman, media, minhash, mixing, token_counts, toxicity, urlfilter, warc
+from lodestone.llm import bpe_codec, huffman, media, minhash, mixing, token_counts, toxicity, urlfilter, vectors, warc
 
 #: One record in so many is damaged in the copy that op7 audits.
 FAULT_EVERY = 97
@@ -51,6 +51,10 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(replica, warc.with_faults(replica, FAULT_EVERY)).select("page_id", "offset", "length", "sha256", "damaged")
 
 
+def op8_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_warc_fixity": op7_warc_fixity,
+    "op8_vector_links": op8_vector_links,
     "op9_mix_sources": op9_mix_sources,
     "op10_bpe_codec": op10_bpe_codec,
 }
