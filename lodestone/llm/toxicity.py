@@ -24,10 +24,14 @@ from lodestone.llm.common import text_batches
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Words in a window; passes over whole documents, then over worst windows.
 WINDOW, WHOLE_PASSES, WINDOW_PASSES, RATE = 24, 3, 9, 0.1
+#: A small sample is passed more often, up to so many steps.
+LEAST_STEPS = 12_000
 #: The training sample: at most so many labelled rows of each label, lowest hash first.
 MOST_TOXIC, MOST_CLEAN = 2_000, 6_000
 #: Of the sample, one row in so many sets where scores cross the threshold; a false alarm weighs as so many misses.
 ASIDE, THRESHOLD, ALARM = 5, 0.3, 3.0
+#: With fewer of either label aside, nothing is put aside and the border is set by the rows learnt from.
+LEAST_ASIDE = 20
 #: Words after which a worker's memory of scores starts anew.
 KEPT_WORDS = 400_000
 _WORD = re.compile(r"\w+")
@@ -103,8 +107,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     rng = np.random.default_rng(seed)
     all_docs, all_y = [words_of(t) for t in texts], y
     aside = rng.permutation(len(y)) % ASIDE == 0
-    if len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
-        aside[:] = False
+    judged = aside.copy()
+    if min(np.bincount(y[aside], minlength=2)) < LEAST_ASIDE:  # too few to set anything by
+        aside[:], judged[:] = False, True
     docs, y = [ws for ws, a in zip(all_docs, aside, strict=True) if not a], y[~aside]
     names: dict[str, int] = {}
     ids = [np.array([names.setdefault(w, len(names)) for w in ws], np.int64) for ws in docs]
@@ -114,7 +119,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     embed = np.zeros((BUCKETS, DIM))  # so that n-grams never seen say nothing
     soft, bias = np.zeros((2, DIM)), np.zeros(2)
     soft[1] = rng.normal(0, 0.5, DIM)
-    passes = WHOLE_PASSES + WINDOW_PASSES
+    more = max(1.0, LEAST_STEPS / (len(docs) * (WHOLE_PASSES + WINDOW_PASSES)))
+    whole, passes = round(WHOLE_PASSES * more), round((WHOLE_PASSES + WINDOW_PASSES) * more)
     for p in range(passes):
         rate = RATE * (1 - p / passes)
         by_word = np.add.reduceat((embed @ (soft[1] - soft[0]))[grams], start) / count
@@ -122,11 +128,11 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
             own = ids[d]
             if not len(own):
                 continue
-            if p >= WHOLE_PASSES:
+            if p >= whole:
                 _, a, b = worst_window(by_word[own] * news[d])
                 own = own[a:b]
             uniq, times = np.unique(own, return_counts=True)
-            if p >= WHOLE_PASSES:
+            if p >= whole:
                 times = np.ones(len(uniq))
             size = count[uniq]
             at = np.repeat(start[uniq] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
@@ -143,11 +149,9 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
             # a bucket's step follows its share, scaled up as in sparse bags
             np.subtract.at(embed, bucket, np.outer(part * len(own), step))
     model = Model(embed @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
-    if not aside.any():
-        return model
     scorer = Scorer(model)
-    raw = np.array([scorer.worst(ws) for ws, a in zip(all_docs, aside, strict=True) if a])
-    return Model(model.weight, float(np.log(THRESHOLD / (1 - THRESHOLD))) - _border(raw, all_y[aside]))
+    raw = np.array([scorer.worst(ws) for ws, j in zip(all_docs, judged, strict=True) if j])
+    return Model(model.weight, float(np.log(THRESHOLD / (1 - THRESHOLD))) - _border(raw, all_y[judged]))
 
 
 def _border(raw: np.ndarray, y: np.ndarray) -> float:
