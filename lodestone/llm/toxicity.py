@@ -24,8 +24,8 @@ from lodestone.llm.common import text_batches
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Words in a window; passes over whole documents, then over worst windows.
 WINDOW, WHOLE_PASSES, WINDOW_PASSES, RATE = 24, 3, 9, 0.1
-#: A small sample is passed more often, up to so many steps.
-LEAST_STEPS = 12_000
+#: The windows of a small sample are passed more often, up to so many steps.
+LEAST_STEPS = 40_000
 #: The training sample: at most so many labelled rows of each label, lowest hash first.
 MOST_TOXIC, MOST_CLEAN = 2_000, 6_000
 #: Of the sample, one row in so many sets where scores cross the threshold; a false alarm weighs as so many misses.
@@ -119,8 +119,8 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     embed = np.zeros((BUCKETS, DIM))  # so that n-grams never seen say nothing
     soft, bias = np.zeros((2, DIM)), np.zeros(2)
     soft[1] = rng.normal(0, 0.5, DIM)
-    more = max(1.0, LEAST_STEPS / (len(docs) * (WHOLE_PASSES + WINDOW_PASSES)))
-    whole, passes = round(WHOLE_PASSES * more), round((WHOLE_PASSES + WINDOW_PASSES) * more)
+    whole = WHOLE_PASSES
+    passes = whole + max(WINDOW_PASSES, round(LEAST_STEPS / len(docs)))
     for p in range(passes):
         rate = RATE * (1 - p / passes)
         by_word = np.add.reduceat((embed @ (soft[1] - soft[0]))[grams], start) / count

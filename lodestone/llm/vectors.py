@@ -25,6 +25,8 @@ from lodestone.llm.common import components, drop_stage, stage
 
 #: Rows that fit the codebooks, vectors a cell is meant to hold, largest codebook.
 FIT_ROWS, CELL_ROWS, MOST_WORDS = 8_192, 48, 256
+#: Partners made to calibrate the traversal.
+PARTNERS = 1_024
 #: Share of links right at the threshold that the traversal is calibrated to meet.
 TARGET_RECALL = 0.985
 #: Members and visitors of a tile, about.
@@ -91,7 +93,7 @@ def fit(sample: np.ndarray, classes: int, cosine: float, recall: float = TARGET_
     half = max(1, dim // 2)
     right = sample[:, half:] if dim > half else np.zeros((len(sample), 1))
     index = Index((_k_means(sample[:, :half], k, rng), _k_means(right, k, rng)), k * k)
-    some = sample[:1024] if dim > half else np.concatenate([sample[:1024], np.zeros((len(sample[:1024]), 1))], 1)
+    some = _wide(np.resize(sample, (PARTNERS, dim)))  # few vectors get several partners
     side = rng.normal(size=some.shape)
     side -= (side * some).sum(1)[:, None] * some
     side /= np.maximum(np.linalg.norm(side, axis=1), 1e-12)[:, None]
@@ -99,7 +101,7 @@ def fit(sample: np.ndarray, classes: int, cosine: float, recall: float = TARGET_
     at, (da, db) = index.cells(partner), index.distances(some)
     own = da[np.arange(len(some)), at // k] + db[np.arange(len(some)), at % k]
     rank = 1 + ((da[:, :, None] + db[:, None, :]).reshape(len(some), -1) < own[:, None]).sum(1)
-    index.visits = int(np.quantile(rank, 1 - math.sqrt(1 - recall), method="higher")) if len(some) else k * k
+    index.visits = int(np.quantile(rank, 1 - math.sqrt(1 - recall), method="higher"))
     return index
 
 
