@@ -105,26 +105,29 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 6.0 if share else -6.0)
     rng = np.random.default_rng(seed)
-    all_docs, all_y = [words_of(t) for t in texts], y
+    names: dict[str, int] = {}
+    all_ids = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
+    if not names:
+        return Model(np.zeros(BUCKETS), -6.0)
     aside = rng.permutation(len(y)) % ASIDE == 0
     judged = aside.copy()
     if min(np.bincount(y[aside], minlength=2)) < LEAST_ASIDE:  # too few to set anything by
         aside[:], judged[:] = False, True
-    docs, y = [ws for ws, a in zip(all_docs, aside, strict=True) if not a], y[~aside]
-    names: dict[str, int] = {}
-    ids = [np.array([names.setdefault(w, len(names)) for w in ws], np.int64) for ws in docs]
-    news = [fresh(own) for own in ids]
-    grams, count = gram_buckets(list(names))
+    ids, own_y = [own for own, a in zip(all_ids, aside, strict=True) if not a], y[~aside]
+    news = [fresh(own).astype(np.float32) for own in ids]
+    every = list(names)
+    parts = [gram_buckets(every[k : k + 20_000]) for k in range(0, len(every), 20_000)]  # small parts bound the memory
+    grams, count = np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
     start = np.cumsum(count) - count
     embed = np.zeros((BUCKETS, DIM))  # so that n-grams never seen say nothing
     soft, bias = np.zeros((2, DIM)), np.zeros(2)
     soft[1] = rng.normal(0, 0.5, DIM)
     whole = WHOLE_PASSES
-    passes = whole + max(WINDOW_PASSES, round(LEAST_STEPS / len(docs)))
+    passes = whole + max(WINDOW_PASSES, round(LEAST_STEPS / len(ids)))
     for p in range(passes):
         rate = RATE * (1 - p / passes)
         by_word = np.add.reduceat((embed @ (soft[1] - soft[0]))[grams], start) / count
-        for d in rng.permutation(len(docs)):
+        for d in rng.permutation(len(ids)):
             own = ids[d]
             if not len(own):
                 continue
@@ -142,16 +145,16 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
             z = soft @ mean + bias
             q = np.exp(z - z.max())
             q /= q.sum()
-            q[y[d]] -= 1  # gradient at the softmax's input
+            q[own_y[d]] -= 1  # gradient at the softmax's input
             step = rate * (q @ soft)
             soft -= rate * np.outer(q, mean)
             bias -= rate * 0.1 * q
             # a bucket's step follows its share, scaled up as in sparse bags
             np.subtract.at(embed, bucket, np.outer(part * len(own), step))
     model = Model(embed @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
-    scorer = Scorer(model)
-    raw = np.array([scorer.worst(ws) for ws, j in zip(all_docs, judged, strict=True) if j])
-    return Model(model.weight, float(np.log(THRESHOLD / (1 - THRESHOLD))) - _border(raw, all_y[judged]))
+    by_word = np.add.reduceat(model.weight[grams], start) / count
+    raw = np.array([worst_window(by_word[own] * fresh(own))[0] for own, j in zip(all_ids, judged, strict=True) if j])
+    return Model(model.weight, float(np.log(THRESHOLD / (1 - THRESHOLD))) - _border(raw, y[judged]))
 
 
 def _border(raw: np.ndarray, y: np.ndarray) -> float:
@@ -185,10 +188,6 @@ class Scorer:
         ids = np.array([self.number[w] for w in words], np.int64)
         return worst_window(self.word_scores[ids] * fresh(ids))[0]
 
-    def worst(self, words: list[str]) -> float:
-        self._learn([words])
-        return self._worst(words)
-
     def score(self, texts: list[str]) -> list[float]:
         docs = [words_of(t) for t in texts]
         self._learn(docs)
@@ -217,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.where("_label = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("_label = 0").orderBy(*order).limit(MOST_CLEAN))
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = text.join(F.broadcast(sample), "_id").select("_id", "_text", "_label").collect()  # sample: at most 8,000 rows
-    rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    rows = sorted((r[0], r[1] or "", r[2]) for r in rows)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
