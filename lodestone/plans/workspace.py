@@ -176,7 +176,7 @@ _add("graph_broken", lambda s, d: G.broken(*_graph(s, d)[:2]), " SELECT path AS
 _add(
     "graph_degrees",
     lambda s, d: G.degrees(*_edges(s, d)),
-    f"{_EDGES} SELECT path, CAST(coalesce((SELECT sum(occurrences) FROM e WHERE target = path), 0) AS BIGINT) AS inbound, CAST(coalesce((SELECT sum(occurrences) FROM e WHERE source = path), 0) AS BIGINT) AS outbound, outbound = 0 AS dead_end FROM md_docs",
+    f"{_EDGES} SELECT path, CAST(coalesce((SELECT sum(occurrences) FROM e WHERE target = path), 0) AS BIGINT) AS inbound, CAST(coalesce((SELECT sum(occurrences) FROM e WHERE source = path), 0) AS BIGINT) AS outbound, NOT EXISTS (SELECT 1 FROM e WHERE source = path) AS dead_end FROM md_docs",
 )
 _add("graph_orphans", lambda s, d: G.orphans(*_edges(s, d), ["d0/doc-0.md"]), f"{_EDGES} SELECT path FROM md_docs WHERE path <> 'd0/doc-0.md' AND path NOT IN (SELECT target FROM e)")
 _add(
