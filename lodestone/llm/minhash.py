@@ -9,7 +9,8 @@ confirmed on the full sets.
 
 A posting list is not expanded into all its pairs: its members meet its hub, links are
 contracted into components, and only lists that still hold several components are
-looked at again, with another hub, and at last in square tiles.
+looked at again, with other hubs, and at last in tiles, which find every link between
+components that is left but return no more of them than join the components.
 """
 
 from __future__ import annotations
@@ -20,15 +21,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import components, drop_stage, stage, text_batches
 
 #: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected, 38 lie four deviations below.
 COORDINATES, MATCHES = 64, 38
-#: Members of a posting list that share a tile, about.
-TILE = 128
+#: Turns of hub meetings before the tiles, and the lists in which a member meets a hub in one turn.
+TURNS, MEETINGS = 2, 3
+#: Members of a block; a tile has two.
+TILE = 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS = 400_000
@@ -147,34 +150,116 @@ def _alike(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
     return pairs.join(own, "a").join(other, "b").where(same >= matches).select("a", "b")
 
 
-def _tiled(posts: DataFrame, classes: DataFrame, matches: int, tile: int) -> DataFrame:
-    """Candidate pairs of different components within posting lists (c, v, key, comp).
+def _hub_pairs(posts: DataFrame, turn: int) -> DataFrame:
+    """Pairs of members and hubs of posting lists (c, v, key, comp).
 
-    A list of m members is cut into m / tile blocks by hash; each pair of blocks is a
-    group of about 2 * tile members, whatever m is.
+    At first a list's hub is its smallest key. Later it is some member of the list's
+    largest component, another in each list and turn, and is met by members of other
+    components, each in MEETINGS of its lists.
     """
-    sizes = posts.groupBy("c", "v").agg(F.ceil(F.count("*") / tile).cast("int").alias("nb"))
-    dealt = posts.join(sizes, ["c", "v"]).withColumn("own", F.pmod(F.xxhash64("key", F.lit(3)), "nb").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("c", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "comp").join(classes.select("key", "sig"), "key")
+    if turn == 0:
+        hubs = posts.groupBy("c", "v").agg(F.min("key").alias("hub"))
+        met = posts.join(hubs, ["c", "v"]).where("key <> hub")
+    else:
+        largest = posts.groupBy("c", "v", "comp").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "c", "v", F.lit(turn))).alias("hub"))
+        largest = largest.groupBy("c", "v").agg(F.max(F.struct("n", "comp", "hub")).alias("m")).select("c", "v", F.col("m.comp").alias("main"), F.col("m.hub").alias("hub"))
+        met = posts.join(largest, ["c", "v"]).where(F.col("comp") != F.col("main"))
+        met = met.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("c", "v", F.lit(turn))))).where(F.col("_n") <= MEETINGS)
+    return met.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _tiles(posts: DataFrame, tile: int) -> DataFrame:
+    """Members of mixed posting lists dealt into tiles: c, v, i, j, side, key, comp.
+
+    A list's largest component needs no look at itself. Its members and the others are
+    cut into blocks by hash; a tile is a block of the others with another block.
+    """
+    n = posts.groupBy("c", "v", "comp").agg(F.count("*").alias("n"))
+    sizes = n.groupBy("c", "v").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all"))
+    sizes = sizes.select("c", "v", F.col("m.comp").alias("main"), F.ceil(F.col("m.n") / tile).cast("int").alias("nd"), F.ceil((F.col("all") - F.col("m.n")) / tile).cast("int").alias("no"))
+    dealt = posts.join(sizes, ["c", "v"]).withColumn("inner", F.col("comp") == F.col("main"))
+    block = F.when(F.col("inner"), F.pmod(F.xxhash64("key", F.lit(3)), "nd")).otherwise(F.pmod(F.xxhash64("key", F.lit(3)), "no")).cast("int")
+    dealt = dealt.withColumn("own", block)
+    # blocks of others are 0 .. no - 1, those of the largest component follow
+    at = F.when(F.col("inner"), F.col("no") + F.col("own")).otherwise(F.col("own"))
+    partner = F.when(F.col("inner"), F.sequence(F.lit(0), F.col("no") - 1)).otherwise(F.sequence(F.lit(0), F.col("no") + F.col("nd") - 1))
+    dealt = dealt.withColumn("at", at).withColumn("with", F.explode(partner))
+    return dealt.select("c", "v", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), F.col("at").alias("side"), "key", "comp")
+
+
+def _candidates(t: pa.Table, matches: int) -> np.ndarray:
+    """Pairs of rows, one from each side of a tile, of different components, whose signatures agree enough."""
+    side, i, j = t.column("side").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    _, comp = np.unique(np.array([bytes(x) for x in t.column("comp").to_pylist()], "S16"), return_inverse=True)
+    sig = np.array(t.column("sig").to_pylist(), np.int32)
+    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    out = []
+    for x in left:
+        ys = right[(comp[right] != comp[x]) & ((right > x) if i == j else True)]
+        ys = ys[(sig[ys] == sig[x]).sum(axis=1) >= matches]
+        if len(ys):
+            out.append(np.stack([np.full(len(ys), x), ys], 1))
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def _similar(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sets are alike to percent; common members are counted by matrix products where pairs are many."""
+    size = np.array([len(s) for s in sets])
+    rows, at = np.unique(pairs, return_inverse=True)
+    at = at.reshape(pairs.shape)
+    if len(pairs) < 8 * len(rows):
+        same = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in pairs.tolist()], np.int64)
+    else:
+        owner = np.repeat(np.arange(len(rows)), size[rows])
+        _, item = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
+        order = np.argsort(item, kind="stable")
+        owner, item = owner[order], item[order]
+        common = np.zeros((len(rows), len(rows)), np.float32)
+        for first in range(0, int(item[-1]) + 1, 4096):
+            a, b = np.searchsorted(item, [first, first + 4096])
+            part = np.zeros((len(rows), 4096), np.float32)
+            part[owner[a:b], item[a:b] - first] = 1
+            common += part @ part.T
+        same = np.round(common[at[:, 0], at[:, 1]]).astype(np.int64)
+    return 100 * same >= percent * (size[pairs[:, 0]] + size[pairs[:, 1]] - same)
+
+
+def _tiled(posts: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int, tile: int) -> DataFrame:
+    """Links between components within posting lists: of each tile as many as join its components, confirmed.
+
+    First only those members are told that have a candidate in their tile; just they
+    bring their full sets.
+    """
+    sig = classes.select("key", "sig")
+
+    def some(t: pa.Table) -> pa.Table:
+        rows = np.unique(_candidates(t, matches))
+        return t.select(["c", "v", "i", "j", "side", "key", "comp", "sig"]).take(pa.array(rows, pa.int64()))
 
-    def run(t: pa.Table) -> pa.Table:
+    kept = _tiles(posts, tile).join(sig, "key").groupBy("c", "v", "i", "j").applyInArrow(some, "c int, v int, i int, j int, side int, key binary, comp binary, sig array<int>")
+
+    def link(t: pa.Table) -> pa.Table:
+        pairs = _candidates(t, matches)
         key, comp = t.column("key").to_pylist(), t.column("comp").to_pylist()
-        own, i, j = t.column("own").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sig = np.array(t.column("sig").to_pylist(), np.int32)
-        number = {c: n for n, c in enumerate(dict.fromkeys(comp))}
-        comp = np.array([number[c] for c in comp])
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        full = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+        root: dict = {}
+
+        def find(x):
+            while (y := root.setdefault(x, x)) != x:
+                root[x] = root[y]
+                x = root[x]
+            return x
+
         a, b = [], []
-        for x in left:
-            ys = right[(comp[right] != comp[x]) & ((right > x) if i == j else True)]
-            hit = ys[(sig[ys] == sig[x]).sum(axis=1) >= matches]
-            a += [key[x]] * len(hit)
-            b += [key[y] for y in hit]
+        for x, y in pairs[_similar(full, pairs, percent)].tolist() if len(pairs) else ():
+            p, q = find(comp[x]), find(comp[y])
+            if p != q:
+                root[p] = q
+                a.append(min(key[x], key[y]))
+                b.append(max(key[x], key[y]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    pairs = dealt.groupBy("c", "v", "i", "j").applyInArrow(run, "a binary, b binary")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stage(kept, "kept").join(sets, "key").groupBy("c", "v", "i", "j").applyInArrow(link, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, matches: int = MATCHES, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     need = posts.select("key").distinct().join(classes.select("key", "rep"), "key")
     text = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
     links, sets, roots = None, None, None
-    for turn, pick in enumerate((F.min, F.max, None)):
+    for turn in range(TURNS + 1):
         now = posts.withColumn("comp", F.col("key"))
         if roots is not None:
             now = posts.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("c", "v", "key", F.coalesce("root", "key").alias("comp"))
@@ -202,22 +287,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
             now = stage(now.join(mixed, ["c", "v"], "left_semi"), "mixed")
             if now.isEmpty():
                 break
-        if pick is not None:
-            hubs = now.groupBy("c", "v").agg(pick(F.struct("key", "comp")).alias("hub"))
-            met = now.join(hubs, ["c", "v"]).where((F.col("key") != F.col("hub.key")) & ((F.col("comp") != F.col("hub.comp")) if turn else F.lit(True)))
-            pairs = met.select(F.least("key", "hub.key").alias("a"), F.greatest("key", "hub.key").alias("b")).distinct()
-            pairs = _alike(pairs, classes, matches)
+        if turn < TURNS:
+            pairs = stage(_alike(_hub_pairs(now, turn), classes, matches), "pairs")
+            if sets is None:
+                # full sets of classes in lists, from one document each; a repeated id with another text is told by its key
+                sets = stage(signed_text(need, text, words), "sets")
+            new = stage(confirmed(pairs, sets, percent), "links")
+            drop_stage(pairs)
         else:
-            pairs = _tiled(now, classes, matches, tile)
-        pairs = stage(pairs, "pairs")
-        if sets is None:
-            # full sets of classes in lists, from one document each; a repeated id with another text is told by its key
-            found = signed_text(need, text, words)
-            sets = stage(found, "sets")
-        new = stage(confirmed(pairs, sets, percent), "links")
-        drop_stage(pairs)
+            new = stage(_tiled(now, classes, sets, matches, percent, tile), "links")
         links = new if links is None else links.unionByName(new)
         roots = stage(components(links), "roots")
+        drop_stage(now)
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = named.join(lowest, "root").select("key", "component_id")

@@ -90,16 +90,27 @@ def test_minhash_equals_brute_force(spark, corpus, words, tile):
     assert got == sorted(want, key=repr)
 
 
-def test_minhash_tiles_alone_find_links_across_components(spark):
-    sig = np.random.default_rng(0).integers(0, 1 << 30, 64).astype(np.int32)
-    rows = []
-    for k in range(30):
-        own = sig.copy()
+@pytest.mark.parametrize("tile", [4, 64])
+def test_minhash_tiles_alone_find_all_components(spark, tile):
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 1 << 30, 64).astype(np.int32)
+    base = rng.integers(0, 1 << 60, 90).astype(np.uint64)
+    sets, rows = {}, []
+    for k in range(40):
+        own, part = sig.copy(), base.copy()
         own[:20] = k
+        part[rng.choice(90, 3 + k % 9, replace=False)] = rng.integers(0, 1 << 60, 3 + k % 9).astype(np.uint64)
+        sets[bytes([k]) * 16] = np.unique(part)
         rows.append((bytes([k]) * 16, own.tolist()))
-    classes = spark.createDataFrame([(k, bytearray(k)[0], s) for k, s in rows], "key binary, rep long, sig array<int>")
-    posts = spark.createDataFrame([(1, 7, k, k) for k, _ in rows], "c int, v int, key binary, comp binary")
-    assert minhash._tiled(posts, classes, 38, 4).count() == 30 * 29 // 2
+    comp = {k: k if n % 3 else rows[0][0] for n, (k, _) in enumerate(rows)}
+    classes = spark.createDataFrame(rows, "key binary, sig array<int>")
+    posts = spark.createDataFrame([(1, 7, k, comp[k]) for k, _ in rows], "c int, v int, key binary, comp binary")
+    full = spark.createDataFrame([(k, x.tobytes()) for k, x in sets.items()], "key binary, shingles binary")
+    got = [(bytes(a), bytes(b)) for a, b in minhash._tiled(posts, classes, full, 38, 80, tile).collect()]
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert set(got) <= set(alike)
+    same = lambda pairs: {x: y for x, y in union([*pairs, *comp.items()]).items()}
+    assert same(got) == same(alike)
 
 
 def test_minhash_of_nothing(spark):
