@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import functions as fn
-from lodestone.operators import archive, compare, extract, graph, layout, query, usage
-from lodestone.plans import records, usage as usage_plan, workspace
+from lodestone.operators import archive, checks, compare, extract, graph, layout, query, usage
+from lodestone.plans import logs, records, usage as usage_plan, workspace
 
 SMALL = "/root/testdata/sf0.001"
 DOC = """---
@@ -49,8 +49,8 @@ def norm(v):
     return str(v) if isinstance(v, (dt.date, dt.datetime)) else v
 
 
-EVERY = {**usage_plan.ORACLE_SQL, **workspace.ORACLE_SQL, **records.ORACLE_SQL}
-CALLS = {**usage_plan.QUERIES, **workspace.QUERIES, **records.QUERIES}
+EVERY = {**usage_plan.ORACLE_SQL, **workspace.ORACLE_SQL, **records.ORACLE_SQL, **logs.ORACLE_SQL}
+CALLS = {**usage_plan.QUERIES, **workspace.QUERIES, **records.QUERIES, **logs.QUERIES}
 #: Iterative and streaming queries take long here; the driver's comparison covers them.
 SLOW = {"graph_cycles", "graph_components", "graph_reach", "graph_focus", "context_pack", "stream_day_buckets", "stream_distinct", "stream_deltas"}
 
@@ -187,3 +187,15 @@ def test_pushdown_reaches_the_scan(spark, con):
 
     plan = usage.window(usage_events(table(spark, SMALL, "events")), "2024-01-05", "2024-01-20").where("kind = 'request'").groupBy("model").agg(F.sum("requests"))._jdf.queryExecution().executedPlan().toString()
     assert "value" not in plan.split("ReadSchema")[1]  # a column that no report asked for
+
+
+def test_rich_text_and_regions():
+    tree = '{"type":"doc","content":[{"type":"heading","attrs":{"level":2},"content":[{"type":"text","text":"T"}]},{"type":"bulletList","content":[{"type":"listItem","content":[{"type":"paragraph","content":[{"type":"text","text":"a","marks":[{"type":"link","attrs":{"href":"u"}}]}]}]}]},{"type":"codeBlock","attrs":{"language":"js"},"content":[{"type":"text","text":"x"}]},{"type":"rule"}]}'
+    assert checks.rich_to_markdown(tree) == "## T\n\n- [a](u)\n\n```js\nx\n```\n\n---" and checks.rich_to_markdown(None) == ""
+    source = "a\n# #region one\n    x\n      y\n# #endregion\n# #region two\n# #endregion\n# #region three\n"
+    assert checks.extract_region(source, "one") == ("ok", "x\n  y") and checks.extract_region(source, "two")[0] == "empty" and checks.extract_region(source, "three")[0] == "unclosed" and checks.extract_region(source, "four")[0] == "missing"
+
+
+def test_snippets(spark):
+    df = spark.createDataFrame([("x \n\n", "x\r\n"), ("x", "y"), ("x", None)], "a string, b string")
+    assert [r[0] for r in df.select(checks.snippet_state(F.col("a"), F.col("b"))).collect()] == ["current", "stale", "unresolved"]
