@@ -98,7 +98,31 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda acc, x: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
 
 
+_MINHASH_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(1, greatest(2, len(w) - 2)), lambda k: array_to_string(w[k:k + 3], ' ')) END)) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+u AS (SELECT rep, n, unnest(s) AS g FROM c),
+p AS (SELECT a.rep AS x, b.rep AS y, a.n AS nx, b.n AS ny, count(*) AS both_have FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * both_have >= 80 * (nx + ny - both_have)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(node, seen) AS (SELECT rep, rep FROM c UNION SELECT y, seen FROM r JOIN e ON x = node),
+low AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN low ON low.node = c.rep
+"""
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(node, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT y, seen FROM r JOIN l ON x = node),
+low AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node), n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN low ON node = vec_id LEFT JOIN n ON x = vec_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": _MINHASH_SQL,
+    "op8_vector_links": _VECTOR_SQL,
     "op3_url_filter": urlfilter.judge_sql(),
     "op7_warc_fixity": _WARC_SQL.replace("{crc}", crc32_sql("CAST(page_id AS VARCHAR)")),
     "op9_mix_sources": mixing.mix_sql(),
