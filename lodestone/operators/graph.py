@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import shared_dir
+
 
 def edges(links: DataFrame, paths: DataFrame) -> DataFrame:
     """source, target, lines, occurrences of links between documents; images, external and anchor-only links are none."""
@@ -42,10 +44,8 @@ def orphans(edge: DataFrame, paths: DataFrame, entries: list[str] = ()) -> DataF
 
 def _cut(df: DataFrame, spark) -> DataFrame:
     """Materialises a loop's state in the checkpoint folder, so that lineage does not grow with the rounds."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/graph")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 

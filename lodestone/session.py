@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Where stage tables and checkpoints go in local mode if the session names no folder.
+LOCAL_SHARED = "/tmp/checkpoints"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -19,6 +21,16 @@ def session(app: str = "lodestone", master: str | None = None, **conf: object) -
     return reach(builder.getOrCreate())
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; in local mode a folder of our own if it is not set, on a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return LOCAL_SHARED
+
+
 def reach(spark: SparkSession) -> SparkSession:
     """Lets Python workers on this machine import the package from where the driver has it.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.session import shared_dir
 from lodestone.sources import usage_events
 
 
@@ -25,8 +26,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drain(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
     """All that the stream has now, as a table in the shared folder; epochs are written once each."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/streams"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/_epoch_dir={epoch}")
