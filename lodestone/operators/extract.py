@@ -277,3 +277,25 @@ def toc(parsed: DataFrame) -> DataFrame:
     low = F.array_min(F.transform("headings", lambda h: h["depth"]))
     lines = F.transform("headings", lambda h: F.concat(F.expr("''"), F.repeat(F.lit("  "), h["depth"] - low), F.lit("- ["), h["text"], F.lit("](#"), h["slug"], F.lit(")")))
     return parsed.where(F.size("headings") > 0).select("path", F.array_join(lines, "\n").alias("toc"))
+
+
+def structure(parsed: DataFrame) -> DataFrame:
+    """path, line, kind, detail: the skeleton of a document, without its prose."""
+    one = lambda column, kind, detail: parsed.select("path", F.explode(column).alias("x")).select("path", "x.line", F.lit(kind).alias("kind"), detail.cast("string").alias("detail"))
+    parts = [one("headings", "heading", F.concat(F.repeat(F.lit("#"), F.col("x.depth")), F.lit(" "), F.col("x.text"))), one("code_blocks", "code", F.col("x.language")), one("tables", "table", F.concat_ws("x", "x.n_rows", "x.n_columns")), one("tasks", "task", F.col("x.text")), one("math", "math", F.lit(None))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: Marks around a table of contents. Fixed values.
+TOC_START, TOC_END = "<!-- toc -->", "<!-- tocstop -->"
+
+
+def toc_state(documents: DataFrame, tocs: DataFrame) -> DataFrame:
+    """path, state of documents (path, content): missing, malformed (one mark, or more than one pair), synchronised or stale against tocs."""
+    count = lambda mark: F.size(F.split("content", mark)) - 1
+    held = F.trim(F.substring_index(F.substring_index("content", TOC_START, -1), TOC_END, 1), F.lit("\n "))
+    state = F.when((count(TOC_START) == 0) & (count(TOC_END) == 0), "missing").when((count(TOC_START) != 1) | (count(TOC_END) != 1) | (F.instr("content", TOC_START) > F.instr("content", TOC_END)), "malformed")
+    return documents.join(tocs, "path", "left").select("path", state.when(held == F.coalesce("toc", F.lit("")), "synchronised").otherwise("stale").alias("state"))

@@ -119,6 +119,22 @@ _add(
     lambda s, d: Q.run(Q.relation(_parsed(s, d), "documents"), Q.plan("documents", group_by="frontmatter.owner")).select("key", "count"),
     " SELECT CASE WHEN i % 5 = 0 OR i % 7 = 0 THEN NULL ELSE concat('o', i % 4) END AS key, count(*) AS count FROM md_docs GROUP BY 1",
 )
+_add(
+    "md_structure",
+    lambda s, d: E.structure(_parsed(s, d)),
+    """ SELECT path, line, CASE tag WHEN 'head' THEN 'heading' WHEN 'fence' THEN 'code' ELSE tag END AS kind, CASE tag WHEN 'head' THEN concat(repeat('#', CAST(a AS INTEGER)), ' ', b) WHEN 'fence' THEN a WHEN 'table' THEN '1x2' ELSE b END AS detail
+FROM md_lines WHERE tag IN ('head', 'fence', 'table', 'task')""",
+)
+
+
+def _with_toc(s, d):
+    tocs = E.toc(_parsed(s, d))
+    docs = W.markdown(table(s, d, "documents")).join(tocs, "path", "left")
+    block = F.concat(F.lit(E.TOC_START + "\n"), F.coalesce("toc", F.lit("")), F.when(F.col("doc_id") % 4 == 0, "x").otherwise(""), F.lit("\n"), F.when(F.col("doc_id") % 9 == 0, "").otherwise(E.TOC_END))
+    return E.toc_state(docs.select("path", F.when(F.col("doc_id") % 5 == 0, F.col("content")).otherwise(F.concat("content", F.lit("\n"), block)).alias("content")), tocs)
+
+
+_add("md_toc_state", _with_toc, " SELECT path, CASE WHEN i % 5 = 0 THEN 'missing' WHEN i % 9 = 0 THEN 'malformed' WHEN i % 4 = 0 THEN 'stale' ELSE 'synchronised' END AS state FROM md_docs")
 _add(
     "md_duplicates",
     lambda s, d: E.rows_of(_parsed(s, d), "headings").groupBy(F.lower("text").alias("value")).agg(F.count("*").alias("count"), F.min(F.struct("path", "line", "text"))["text"].alias("first")).where("count > 1"),
