@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,58 +22,110 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import drop_stage, stage, text_batches
 
 #: Longest code in bits (more if there are more ids than fit), ids between checkpoints, ids after which a block ends.
-MAX_BITS, CHECKPOINT, BLOCK_IDS = 18, 128, 65_536
-KEPT_WORDS, KEPT_CHARS = 350_000, 64
+MAX_BITS, CHECKPOINT, BLOCK_IDS = 18, 128, 262_144
+#: Entries after which a memory of a Python worker starts anew.
+KEPT_WORDS = 1_000_000
+#: Longer words are not kept.
+KEPT_CHARS = 256
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # without the dotted capital I, whose lower case ends in a mark
 #: Cuts where the word tokenizer always starts anew: blanks, and from Latin letters to ASCII signs.
 _CHUNK = re.compile(rf"[{_LETTERS}]++(?=[!-@\[-`{{-~ \t\n\r]|\Z)|[^ \t\n\r]+")
+_RUN = re.compile(rf"[{_LETTERS}]++(?=[!-@\[-`{{-~]|\Z)")
+
+
+def _cut(w: str) -> list[str]:
+    """The parts of a word without blanks, runs of letters in lower case; the usual shapes first."""
+    if w.isascii():
+        if w.isalpha():
+            return [w.lower()]
+        if (head := w[:-1]).isalpha() and w[-1] not in "0123456789":
+            return [head.lower(), w[-1]]
+    return [p.lower() if _RUN.match(p) else p for p in _CHUNK.findall(w)]
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, each distinct chunk encoded once."""
+    """Ids of whole texts by the tokenizers library.
+
+    Two memories: of what stands between blanks, and of its parts. Only parts that are
+    new go to the library; runs of letters go together, as one text, whose ids part
+    where a word ends.
+    """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words that need no normalising and no splitting any more: the same model
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        size = self.library.get_vocab_size(with_added_tokens=True)
-        self.kind = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        size = max([end_id, *vocab.values()]) + 1
+        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for k in range(0, len(texts), 4096):
-            out += [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
-        return out
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.long = False
+
+    def _ask(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _ask_runs(self, words: list[str]) -> None:
+        """Runs of lower-case letters, many in one text: the last id of each is a word's end."""
+        for k in range(0, len(words), 1024):
+            some = words[k : k + 1024]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            at = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            if len(at) == len(some):
+                self.parts.update(zip(some, (raw[x:y] for x, y in zip([0, *at], at, strict=False)), strict=True))
+            else:
+                self.parts.update((p, self._ask(p).tobytes()) for p in some)
+
+    def _learn(self, words: set[str]) -> None:
+        """Takes words without blanks into both memories."""
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {}
+        parts = self.parts
+        low = [_cut(w) for w in words]
+        new = set(chain.from_iterable(low)).difference(parts)
+        runs = [p for p in new if _RUN.match(p)]
+        self._ask_runs(runs)
+        for p in new.difference(runs):
+            parts[p] = self._ask(p).tobytes()
+        self.long = any(len(p) > KEPT_CHARS for p in new)
+        get = parts.__getitem__
+        self.chunks.update(zip(words, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in low], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = {k for k, t in enumerate(texts) if any(s in t for s in self.specials)}
-        split = [[] if k in whole else _CHUNK.findall(t) for k, t in enumerate(texts)]
-        known, older, own, new = self.known, self.older, {}, []
-        for w in {w for ws in split for w in ws}:
-            if w not in known:
-                if (c := older.get(w)) is not None:
-                    known[w] = c
-                else:
-                    new.append(w)
-        for w, c in zip(new, self._ask(new), strict=True):
-            (known if len(w) <= KEPT_CHARS else own)[w] = c
-        end, out = self.end, []
-        for k, ws in enumerate(split):
-            if k in whole:
-                out.append(self._ask([texts[k]])[0] + end)
-            elif own:
-                out.append(b"".join([own[w] if w in own else known[w] for w in ws]) + end)
-            else:
-                out.append(b"".join(map(known.__getitem__, ws)) + end)
-        if len(known) > KEPT_WORDS:
-            self.known, self.older = {}, known
+        if len(self.chunks) > KEPT_WORDS:
+            self.chunks = {"": b""}
+        chunks, end, out, late, new = self.chunks, self.end, [], [], set()
+        for k, t in enumerate(texts):
+            if any(s in t for s in self.specials):
+                out.append(self._ask(t).tobytes() + end)
+                continue
+            ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            try:
+                out.append(b"".join(map(chunks.__getitem__, ws)) + end)
+            except KeyError:
+                out.append(b"")
+                late.append((k, ws))
+                new |= set(ws).difference(chunks)
+        if late:
+            self._learn(new)
+            for k, ws in late:
+                out[k] = b"".join(map(chunks.__getitem__, ws)) + end
+            if self.long:
+                for w in new:
+                    if len(w) > KEPT_CHARS:
+                        del chunks[w]
+                self.parts = {p: i for p, i in self.parts.items() if len(p) <= KEPT_CHARS}
         return out
 
 
@@ -182,8 +235,8 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(1, np.int64)
         for b in batches:
-            for width, ids in zip(b.column(0), b.column(1), strict=True):
-                own = np.bincount(np.frombuffer(ids.as_py(), f"<u{width.as_py()}"))
+            if b.num_rows:
+                own = np.bincount(np.frombuffer(b"".join(b.column(1).to_pylist()), f"<u{b.column(0)[0].as_py()}"))
                 if len(own) > len(total):
                     total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
                 total[: len(own)] += own
