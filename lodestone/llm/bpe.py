@@ -193,7 +193,5 @@ def _library_split():
     return ByteLevel(add_prefix_space=False, use_regex=True)
 
 
-@lru_cache(4)
 def load(path: str) -> ByteBPE:
-    """One per Python worker."""
     return ByteBPE(path)

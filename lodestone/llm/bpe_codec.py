@@ -9,14 +9,13 @@ results never depend on it.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.bpe import ByteBPE, load
-from lodestone.llm.common import text_batches
+from lodestone.llm.common import sole, text_batches
 
 #: Words in the younger of two memories of a Python worker, and the longest that is kept.
 KEPT_WORDS, KEPT_CHARS = 350_000, 64
@@ -90,9 +89,8 @@ class Codec:
         return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-@lru_cache(2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return sole(("codec", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import uuid
@@ -87,6 +88,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+_held: dict = {}
+
+
+def sole(key: tuple, make):
+    """An object that a Python worker keeps between tasks, alone: workers outlive stages, and so would each stage's memory."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def text_batches(column, most_bytes: int = 2_000_000):
     """Slices (start, list of texts) of an Arrow string column; null counts as empty."""
     texts, size, start = [], 0, 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stage, stage, text_batches
+from lodestone.llm.common import drop_stage, sole, stage, text_batches
 
 #: Longest code in bits (more if there are more ids than fit), ids between checkpoints, ids after which a block ends.
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 18, 128, 262_144
@@ -129,12 +129,11 @@ class Encoder:
         return out
 
 
-@lru_cache(2)
 def encoder(path: str, end_id: int) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(path, end_id)
+    return sole(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, drop_stage, stage, text_batches
+from lodestone.llm.common import components, drop_stage, sole, stage, text_batches
 
 #: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected, 38 lie four deviations below.
 COORDINATES, MATCHES = 64, 38
@@ -34,7 +34,7 @@ TURNS, MEETINGS = 2, 3
 TILE = 256
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 
 
 @lru_cache(4)
@@ -77,9 +77,8 @@ def signature(hashes: np.ndarray, k: int = COORDINATES) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-@lru_cache(4)
 def _shingler(words: int) -> Shingler:
-    return Shingler(words)
+    return sole(("shingler", words), lambda: Shingler(words))
 
 
 def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,14 +8,13 @@ truncation and budget questions need no second encoding.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm.bpe import ByteBPE, load
-from lodestone.llm.common import text_batches
+from lodestone.llm.common import sole, text_batches
 
 KEPT_WORDS, KEPT_CHARS, KEPT_PREFIXES = 300_000, 64, 1_000_000
 
@@ -131,9 +130,8 @@ class PrefixCounter:
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 
-@lru_cache(2)
 def counter(path: str) -> PrefixCounter:
-    return PrefixCounter(path)
+    return sole(("counter", path), lambda: PrefixCounter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

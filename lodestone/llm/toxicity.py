@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_batches
+from lodestone.llm.common import sole, text_batches
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Words in a window; passes over whole documents, then over worst windows.
@@ -33,7 +32,7 @@ ASIDE, THRESHOLD, ALARM = 5, 0.3, 3.0
 #: With fewer of either label aside, nothing is put aside and the border is set by the rows learnt from.
 LEAST_ASIDE = 20
 #: Words after which a worker's memory of scores starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 _WORD = re.compile(r"\w+")
 
 
@@ -195,9 +194,8 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(top + self.model.bias, -500, 500)))).tolist()
 
 
-@lru_cache(2)
 def _scorer(weight: bytes, bias: float) -> Scorer:
-    return Scorer(Model(np.frombuffer(weight, np.float32).astype(float), bias))
+    return sole(("scorer", weight, bias), lambda: Scorer(Model(np.frombuffer(weight, np.float32).astype(float), bias)))
 
 
 def held_out(id_col: Column) -> Column:
