@@ -9,6 +9,7 @@ leaves no half file.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from functools import lru_cache
@@ -103,6 +104,16 @@ class Encoder:
         self.chunks.update(zip(words, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in low], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with the end id. Nothing here is cyclic, so the collector need not look through the words meanwhile."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) > KEPT_WORDS:
             self.chunks = {"": b""}
         chunks, end, out, late, new = self.chunks, self.end, [], [], set()
@@ -111,16 +122,17 @@ class Encoder:
                 out.append(self._ask(t).tobytes() + end)
                 continue
             ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            got = list(map(chunks.get, ws))
             try:
-                out.append(b"".join(map(chunks.__getitem__, ws)) + end)
-            except KeyError:
+                out.append(b"".join(got) + end)
+            except TypeError:  # some are new
                 out.append(b"")
-                late.append((k, ws))
-                new |= set(ws).difference(chunks)
+                late.append((k, ws, got))
+                new.update([w for w, c in zip(ws, got, strict=True) if c is None])
         if late:
             self._learn(new)
-            for k, ws in late:
-                out[k] = b"".join(map(chunks.__getitem__, ws)) + end
+            for k, ws, got in late:
+                out[k] = b"".join([chunks[w] if c is None else c for w, c in zip(ws, got, strict=True)]) + end
             if self.long:
                 for w in new:
                     if len(w) > KEPT_CHARS:
