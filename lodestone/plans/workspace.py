@@ -205,12 +205,17 @@ _add(
     lambda s, d: G.reachable(_edges(s, d)[0], s.createDataFrame([("d0/doc-0.md",)], "path string"), 6),
     f", {_EDGES[2:]}, r(path, distance) AS (SELECT 'd0/doc-0.md', 0 UNION ALL SELECT target, distance + 1 FROM r JOIN e ON e.source = r.path WHERE distance < 6) SELECT path, min(distance) AS distance FROM r GROUP BY path",
 )
+_add(
+    "graph_reach_all",
+    lambda s, d: G.reachable(_edges(s, d)[0], s.createDataFrame([("d0/doc-0.md",)], "path string")),
+    f", {_EDGES[2:].replace('e AS (', 'e AS MATERIALIZED (', 1)}, r(path, distance) USING KEY (path) AS (SELECT 'd0/doc-0.md', 0 UNION SELECT target, min(distance) + 1 FROM r JOIN e ON e.source = r.path WHERE NOT EXISTS (SELECT 1 FROM recurring.r q WHERE q.path = e.target) GROUP BY target) SELECT path, distance FROM r",
+)
 _add(
     "graph_focus",
     lambda s, d: G.focus(_edges(s, d)[0], "d8/doc-8.md", 1),
     f"{_EDGES}, n AS (SELECT 'd8/doc-8.md' AS path UNION SELECT target FROM e WHERE source = 'd8/doc-8.md' UNION SELECT source FROM e WHERE target = 'd8/doc-8.md') SELECT source, target, occurrences FROM e WHERE source IN (SELECT path FROM n) AND target IN (SELECT path FROM n)",
 )
-for _n in ("graph_reach",):
+for _n in ("graph_reach", "graph_reach_all"):
     ORACLE_SQL[_n] = ORACLE_SQL[_n].replace("WITH ", "WITH RECURSIVE ", 1)
 QUERIES["graph_components"] = lambda s, d: G.components(*_edges(s, d))
 ORACLE_SQL["graph_components"] = f"""WITH RECURSIVE {MD}{_EDGES}, both_ways AS (SELECT source AS a, target AS b FROM e UNION SELECT target, source FROM e),

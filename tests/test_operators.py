@@ -158,6 +158,24 @@ def test_graph(spark, little):
     assert "graph LR" in graph.mermaid(edges).first().mermaid
 
 
+def test_reach_has_no_hop_bound(spark, tmp_path):
+    """By the fixture's links every document of the first 977 is reached from the first, the farthest in 12 hops."""
+    docs = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want, front = {0: 0}, [0]
+    for i in front:
+        for t in ((i * 7 + 1) % 977, (i * 13 + 5) % 977):
+            if t not in want:
+                want[t] = want[i] + 1
+                front.append(t)
+    want = {f"d{i % 10}/doc-{i}.md": n for i, n in want.items()}
+    assert len(want) == 977 and max(want.values()) == 12
+    assert {r.path: r.distance for r in workspace.QUERIES["graph_reach_all"](spark, str(tmp_path)).collect()} == want
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert dict(c.sql(workspace.ORACLE_SQL["graph_reach_all"]).fetchall()) == want
+
+
 def test_pairs_and_edits(spark):
     old = spark.createDataFrame([("p", 1, "x", "s"), ("p", 2, "x", "t"), ("p", 3, "y", "u")], "path string, line int, k string, v string")
     new = spark.createDataFrame([("p", 5, "x", "s"), ("p", 6, "z", "u")], "path string, line int, k string, v string")
