@@ -38,16 +38,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, sources, uses).
 
     documents: doc_id, source, size, rank of the source, first (place of its first word
-    in the source), for every row. sources: source, rank, source_size, target, blocks,
+    in the source), for every row, and row if row_col names a key of docs. sources: source, rank, source_size, target, blocks,
     slots, base. uses: rank, block, uses of it in the mix, for blocks that are used.
     A null text has size 0; null is a source, the last one; repeated rows count apiece.
     """
     spark = docs.sparkSession
-    sizes = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")), "sizes")
+    row = ["row"] if row_col else []
+    sizes = stage(docs.select(*[F.col(row_col).alias(c) for c in row], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")), "sizes")
     order = [F.col("source").asc_nulls_last(), "doc_id", "size", "tie"]
     ranged = stage(sizes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")
     drop_stage(sizes)
@@ -59,9 +60,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     placed = ranged.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     by_source = stage(_targets(ranged.groupBy("source").agg(F.sum("size").alias("source_size"))), "sources")
     same = placed["source"].eqNullSafe(parts["source"]) & (placed["part"] == parts["part"])
-    placed = placed.join(parts, same).select(placed["source"], "doc_id", "size", (F.col("part_first") + F.col("inner")).alias("first"))
+    placed = placed.join(parts, same).select(*row, placed["source"], "doc_id", "size", (F.col("part_first") + F.col("inner")).alias("first"))
     ranks = by_source.select("source", "rank")
-    placed = placed.join(ranks, placed["source"].eqNullSafe(ranks["source"])).select("doc_id", placed["source"], "size", "rank", "first")
+    placed = placed.join(ranks, placed["source"].eqNullSafe(ranks["source"])).select(*row, "doc_id", placed["source"], "size", "rank", "first")
     documents = stage(placed, "placed")
     drop_stage(ranged)
     return documents, by_source, stage(_uses(spark, by_source), "uses")
@@ -110,10 +111,11 @@ def _uses(spark, by_source: DataFrame) -> DataFrame:
 
 
 def _pieces(documents: DataFrame, uses: DataFrame) -> DataFrame:
-    """Rows of documents per block that the mix uses: from, words (within the document), uses."""
+    """Rows of documents per block that the mix uses: from, words (within the document), uses; row if documents have it."""
+    row = [c for c in documents.columns if c == "row"]
     cut = documents.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("size") - 1) / BLOCK))))
     cut = cut.withColumn("from", F.greatest(F.col("first"), F.col("block") * BLOCK) - F.col("first")).withColumn("to", F.least(F.col("first") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.col("first"))
-    return cut.join(uses, ["rank", "block"]).select("doc_id", "rank", "first", "size", "block", "from", (F.col("to") - F.col("from")).alias("words"), "uses")
+    return cut.join(uses, ["rank", "block"]).select(*row, "doc_id", "rank", "first", "size", "block", "from", (F.col("to") - F.col("from")).alias("words"), "uses")
 
 
 def taken(documents: DataFrame, by_source: DataFrame, uses: DataFrame) -> DataFrame:
@@ -134,19 +136,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Pass p holds the document's words whose block is used at least p times, in order.
     A pass that takes all words keeps the text as it is. n_chars follows the text. A
-    document without words joins the first pass untouched. doc_id must be unique.
+    document without words joins the first pass untouched. Ids may be null or repeated:
+    rows are told apart by a number of their own, which is written with them.
     """
-    documents, _, uses = plan(docs)
+    docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    documents, _, uses = plan(docs, row_col="_row")
     pieces = _pieces(documents, uses).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
-    runs = pieces.groupBy("doc_id", "pass").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("runs"))
-    named = runs.select(F.col("doc_id").alias("_doc"), F.col("words").alias("_words"), F.col("runs").alias("_runs"))
-    empty = documents.where("size = 0").select(F.col("doc_id").alias("_doc"), F.lit(0).cast("long").alias("_words"), F.array().cast(named.schema["_runs"].dataType).alias("_runs"))
-    joined = docs.join(named.unionByName(empty), docs["doc_id"].eqNullSafe(F.col("_doc")))
+    runs = pieces.groupBy("row", "pass").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("runs"))
+    named = runs.select(F.col("row").alias("_row"), F.col("words").alias("_words"), F.col("runs").alias("_runs"))
+    empty = documents.where("size = 0").select(F.col("row").alias("_row"), F.lit(0).cast("long").alias("_words"), F.array().cast(named.schema["_runs"].dataType).alias("_runs"))
+    joined = docs.join(named.unionByName(empty), "_row")
     words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     part = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(words, r["from"].cast("int") + 1, r["words"].cast("int")))), " ")
     joined = joined.withColumn("_text", F.when(word_count(F.col("text")) == F.col("_words"), F.col("text")).otherwise(part))
     out = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return joined.select([out.get(c, docs[c]).alias(c) for c in docs.columns])
+    return joined.select([out.get(c, docs[c]).alias(c) for c in docs.columns if c != "_row"])
 
 
 def mix_sql(rounds: int = ROUNDS) -> str:

@@ -199,6 +199,22 @@ def test_mixed_documents_hold_what_was_taken(spark, sources):
     assert words == {d: t for d, t in taken.items() if t or not (texts[d] or "").split()}
 
 
+def test_mixed_documents_tell_rows_of_null_and_repeated_ids_apart(spark):
+    rows = [(None if k % 3 else k % 2, " ".join(f"w{k}x{j}" for j in range(40 + 31 * k)), f"row{k}", f"s{k % 3}", 0) for k in range(12)]
+    rows += [(None, None, "none", "s0", None), (None, "", "empty", "s0", 0), (None, " ", "blank", "s1", 1), (0, "", "named", "s1", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    texts = {r[2]: r[1] for r in rows}
+    got: dict = {}
+    for r in mixing.mixed_documents(df).collect():
+        rest = iter((texts[r.lang] or "").split())
+        assert all(w in rest for w in (r.text or "").split())  # its own words, in order
+        got.setdefault(r.lang, []).append(len((r.text or "").split()))
+    assert all(len(n) <= mixing.MOST_PASSES for n in got.values())
+    assert all(got[k] == [0] for k in ("none", "empty", "blank", "named"))
+    want = sorted((r.size, r.taken) for r in mixing.mix(df).collect())
+    assert sorted((len((t or "").split()), sum(got.get(k, []))) for k, t in texts.items()) == want
+
+
 def test_queries_and_sql_agree_in_names():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
