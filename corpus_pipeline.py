@@ -27,18 +27,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id, and one row of each doc_id.
+    """One document of each group, the one with the smallest doc_id.
 
-    Documents without words are in no group. Rows with a null doc_id stay.
+    Of several rows of that doc_id in the group, the one with the smallest text. Rows of
+    one doc_id in different groups are judged apart. Documents without words are in no
+    group, but of those with one doc_id one stays. Rows with a null doc_id stay.
     """
-    judged = minhash.near_duplicates(docs, words=SHINGLE, percent=PERCENT)
-    by_id = judged.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    by_id = stage(by_id.where("not kept or n > 1"), "judged")
-    rest = docs.join(by_id.where("not kept").select("doc_id"), "doc_id", "left_anti")
-    again = by_id.where("kept").select("doc_id")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    repeated = rest.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return rest.join(again, "doc_id", "left_anti").unionByName(repeated).select(docs.columns)
+    judged = minhash.judged_rows(docs, words=SHINGLE, percent=PERCENT).where("doc_id is not null")
+    by_text = judged.groupBy("doc_id", "root", F.col("text_hash").alias("_hash")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    by_text = by_text.withColumn("n", F.sum("n").over(Window.partitionBy("doc_id", "root")))
+    by_text = stage(by_text.where("not kept or n > 1"), "judged")
+    rest = docs.withColumn("_hash", F.xxhash64("text")).join(by_text.where("not kept").select("doc_id", "_hash"), ["doc_id", "_hash"], "left_anti")
+    again = by_text.where("kept").select("doc_id", "_hash", "root")
+    first = Window.partitionBy("doc_id", "root").orderBy("text")
+    repeated = rest.join(again, ["doc_id", "_hash"]).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return rest.join(again, ["doc_id", "_hash"], "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

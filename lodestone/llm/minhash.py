@@ -82,7 +82,7 @@ def _shingler(words: int) -> Shingler:
 
 
 def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, key (digest of the set, null if it is empty), sig."""
+    """doc_id, text_hash, n_shingles, key (digest of the set, null if it is empty), sig."""
 
     def run(batches):
         s = _shingler(words)
@@ -92,6 +92,7 @@ def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch(
                     {
                         "doc_id": b.column(0).slice(start, len(sets)),
+                        "text_hash": b.column(2).slice(start, len(sets)),
                         "n_shingles": pa.array(map(len, sets), pa.int64()),
                         "key": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                         "sig": pa.array([signature(x) if len(x) else None for x in sets], pa.list_(pa.int32())),
@@ -99,7 +100,7 @@ def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary, sig array<int>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, sig array<int>")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -261,13 +262,14 @@ def _tiled(posts: DataFrame, classes: DataFrame, sets: DataFrame, matches: int,
     return stage(kept, "kept").join(sets, "key").groupBy("c", "v", "i", "j").applyInArrow(link, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, matches: int = MATCHES, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def judged_rows(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, matches: int = MATCHES, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, root, n_shingles, component_id, kept of every row.
 
     A row without words (or with a null text) has an empty set and is linked with
     nothing. Rows with one set are one class, whatever their ids. component_id is the
-    smallest id that links reach; a null id is nobody's smallest. An empty table gives
-    an empty result.
+    smallest id that links reach; a null id is nobody's smallest. root names the
+    component where several have the same smallest id; it is null without words. An
+    empty table gives an empty result.
     """
     rows = stage(signed(docs, words, id_col, text_col), "signed")
     full = rows.where("key is not null")
@@ -300,10 +302,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         drop_stage(now)
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(lowest, "root").select("key", "component_id")
+    by_key = named.join(lowest, "root").select("key", "root", "component_id")
     drop_stage(posts)
     out = rows.join(by_key, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "root", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, matches: int = MATCHES, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row, as judged_rows tells them."""
+    return judged_rows(docs, words, percent, k, matches, tile, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def signed_text(need: DataFrame, text: DataFrame, words: int) -> DataFrame:

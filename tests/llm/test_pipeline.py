@@ -66,6 +66,19 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, coded))
 
 
+def test_repeated_ids_are_judged_row_by_row(spark, tmp_path):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    near = lambda name: text(name).replace(f"{name}59", "other")
+    rows = [
+        (1, text("a")), (7, near("a")), (7, text("b")),  # one of id 7 is a near-duplicate of 1, the other is its own
+        (8, text("c")), (8, text("d")), (8, text("d")), (8, near("d")), (9, text("c")),  # two groups of one smallest id
+        (10, ""), (10, text("e")), (10, None), (None, text("a")), (None, ""), (None, ""),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect()]
+    want = [(1, text("a")), (7, text("b")), (8, text("c")), (8, min(text("d"), near("d"))), (10, None), (10, text("e")), (None, text("a")), (None, ""), (None, "")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
 
 def test_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
