@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -22,13 +25,21 @@ def session(app: str = "lodestone", master: str | None = None, **conf: object) -
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; in local mode a folder of our own if it is not set, on a cluster an error."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only a local master may go without it: it gets a new folder below LOCAL_SHARED,
+    which goes when the process ends. A cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return LOCAL_SHARED
+    own = f"{LOCAL_SHARED}/{uuid.uuid4().hex}"
+    os.makedirs(own)
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
 
 
 def reach(spark: SparkSession) -> SparkSession:
