@@ -2,36 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import os
-import shutil
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where stage tables go in local mode if the session names no shared folder.
-LOCAL_SHARED = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local master may go without it (tests); a cluster must name one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = f"{LOCAL_SHARED}/{uuid.uuid4().hex}"
-    os.makedirs(own)
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+from lodestone.session import shared_dir
 
+#: Stage tables of this process that are still there, in the order they were made.
+_made: list[DataFrame] = []
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again.
@@ -43,6 +24,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stage_path = path
+    _made.append(out)
     return out
 
 
@@ -54,6 +36,28 @@ def drop_stage(*frames: DataFrame) -> None:
             jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+            _made[:] = [x for x in _made if x is not df]
+
+
+def mark() -> int:
+    """A point in the order of stage tables, for release()."""
+    return len(_made)
+
+
+def release(since: int = 0, keep: Iterable[DataFrame] = ()) -> None:
+    """Deletes the stage tables made since mark(), once nothing lazy reads them: results are written by then."""
+    drop_stage(*[x for x in _made[since:] if not any(x is k for k in keep)])
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added where a column of that name, in any case, is there already."""
+    have, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -64,28 +68,29 @@ def columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node reachable from each node of edges(a, b): columns node, root.
 
-    Large-star / small-star contraction: each round is aggregations and joins on
-    node, so no neighbourhood is gathered in a task; rounds grow with the log of
-    the longest path. Every round is a stage table.
+    Large-star / small-star contraction: rounds grow with the log of the longest path,
+    and every round is a stage table. Each node's smallest neighbour is an aggregate
+    that is combined before the shuffle and written down, so the join with it is a plain
+    one of two tables, in which adaptive execution splits a hub's rows. If max_rounds do
+    not suffice, an error is raised: an unfinished result is never returned.
     """
     e = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
     for _ in range(max_rounds):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(low.where(F.col("m") < F.col("a")).select("a", F.col("m").alias("b"))).where("a > b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage(large.unionByName(low.where(F.col("m") < F.col("a")).select("a", F.col("m").alias("b"))).where("a > b").distinct(), "large")
+        drop_stage(low)
+        small_low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(small_low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(small_low.select("a", F.col("m").alias("b"))).distinct()
-        done = stage(small, "edges")
-        drop_stage(e)
+        done = stage(small.unionByName(small_low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        # stars are done: no node has two neighbours below it, and none below it is itself above one
+        rows, nodes = done.agg(F.count("*"), F.count_distinct("a")).first()
+        drop_stage(e, large, small_low)
         e = done
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
-        if now == before or now[0] == now[2] and not e.join(e.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
-            break
-        before = now
-    return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        if rows == nodes and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    raise RuntimeError(f"components are not found after {max_rounds} rounds")
 
 
 _held: dict = {}
