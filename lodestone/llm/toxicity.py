@@ -25,8 +25,10 @@ BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 WINDOW, WHOLE_PASSES, WINDOW_PASSES, RATE = 24, 3, 9, 0.1
 #: The windows of a small sample are passed more often, up to so many steps.
 LEAST_STEPS = 40_000
-#: The training sample: at most so many labelled rows of each label, lowest hash first.
+#: The training sample: at most so many labelled ids of each label, lowest hash first, one row each.
 MOST_TOXIC, MOST_CLEAN = 2_000, 6_000
+#: Bytes of text in the sample: rows are taken in that order while they fit; one that does not is left out whole.
+MOST_BYTES = 64_000_000
 #: Of the sample, one row in so many sets where scores cross the threshold; a false alarm weighs as so many misses.
 ASIDE, THRESHOLD, ALARM = 5, 0.3, 3.0
 #: With fewer of either label aside, nothing is put aside and the border is set by the rows learnt from.
@@ -203,23 +205,62 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(id_col.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from a bounded sample of the labelled rows that are not held out.
+def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """_id, _text, _label: the bounded sample that fit() learns from, at most MOST_TOXIC + MOST_CLEAN rows.
 
-    Rows with a null id or label are left out; of repeated labels the highest counts.
+    Rows with a null id or label are left out, as are held-out ones; of repeated labels
+    the highest counts. Of several rows of one id the one whose text has the lowest hash
+    is taken, so an id is one row however often it comes. A null text counts as empty.
+    Texts are cut off neither: rows are taken whole, in order of their ids' hashes, as
+    far as most_bytes go; a row that does not fit is skipped.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     order = [F.xxhash64("_id", F.lit(5)), F.col("_id")]
     sample = known.where("_label = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("_label = 0").orderBy(*order).limit(MOST_CLEAN))
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rows = text.join(F.broadcast(sample), "_id").select("_id", "_text", "_label").collect()  # sample: at most 8,000 rows
-    rows = sorted((r[0], r[1] or "", r[2]) for r in rows)
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    text = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    # sample: at most 8,000 rows of an id and a label
+    rows = text.join(F.broadcast(sample), "_id")
+    sized = rows.groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("hash"), F.octet_length("_text").cast("long").alias("size"))).alias("m"))
+    sized = sized.select("_id", "_label", "m.hash", "m.size", F.xxhash64("_id", F.lit(5)).alias("order"))
+    taken, room = [], {0: most_bytes // 2, 1: most_bytes // 2}
+    for r in sorted(sized.collect(), key=lambda r: (r["order"], r["_id"])):  # numbers only, a row per id of the sample
+        if r["size"] <= room[r["_label"]]:
+            room[r["_label"]] -= r["size"]
+            taken.append((r["_id"], r["hash"]))
+    kind = docs.schema[id_col].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(taken, f"_id {kind}, _hash long")
+    return rows.withColumn("_hash", F.xxhash64("_text")).join(F.broadcast(chosen), ["_id", "_hash"]).dropDuplicates(["_id"]).select("_id", "_text", "_label")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from sample_rows() in one task, whose input that bounds; the driver gets the model only.
+
+    If the executor is lost, the task runs again and learns the same: rows are put in
+    order of their ids. Without labels of both kinds the model is constant.
+    """
+
+    def run(batches):
+        rows = []
+        for b in batches:
+            rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+        rows.sort(key=lambda r: r[0])
+        model = train([r[1] for r in rows], [r[2] for r in rows])
+        yield pa.record_batch({"weight": pa.array([model.weight.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
+
+    row = sample_rows(docs, labels, id_col, text_col, label_col).repartition(1).mapInArrow(run, "weight binary, bias double").first()
+    if row is None:  # no task ran, as nothing is labelled
+        return train([], [])
+    return Model(np.frombuffer(bytes(row["weight"]), np.float32).astype(float), float(row["bias"]))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row, null and empty texts included; whole texts are read."""
+    """doc_id, held_out, score, predicted of every row; whole texts are read.
+
+    A null text counts as empty, an empty one scores what the model says of no words. A
+    null id is not held out. Repeated rows and ties score alike, other columns are left
+    out, an empty table gives an empty result.
+    """
     weight, bias = model.weight.astype(np.float32).tobytes(), model.bias
     packed = docs.sparkSession.sparkContext.broadcast(weight)  # BUCKETS floats, whatever the input
 
@@ -236,7 +277,11 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows whose text scores below THRESHOLD, all columns as they are."""
+    """The rows whose text scores below THRESHOLD, all columns as they are, whatever their names.
+
+    Null texts count as empty, null ids are rows like others, repeated rows stay or go
+    together, an empty table stays empty.
+    """
     weight, bias = model.weight.astype(np.float32).tobytes(), model.bias
     packed = docs.sparkSession.sparkContext.broadcast(weight)
     schema = docs.schema

@@ -61,6 +61,24 @@ def test_toxicity_rows(spark, posts):
     assert toxicity.scores(docs.where("false"), none).count() == 0
 
 
+def test_training_sample_is_bounded(spark, posts):
+    rows, labels = posts
+    ids = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2][:20]
+    many = [(ids[0][0], f"copy {k}", "x") for k in range(5000)] + [(ids[1][0], ids[1][1], "x")] * 5000
+    docs = spark.createDataFrame([*ids, *many], "doc_id long, text string, _id string")
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.sample_rows(docs, known).collect()
+    assert sorted(r._id for r in got) == sorted(r[0] for r in ids)
+    assert next(r._text for r in got if r._id == ids[0][0]) in {ids[0][1], *(t for _, t, _ in many)}
+    long = spark.createDataFrame([(ids[2][0], "w " * 5_000_000, "x")], docs.schema)
+    sizes = {r._id: len(r._text) for r in toxicity.sample_rows(docs.where(f"doc_id <> {ids[2][0]}").unionByName(long), known, most_bytes=1_000_000).collect()}
+    assert ids[2][0] not in sizes and len(sizes) == 19  # skipped whole
+    assert {len(r._text) for r in toxicity.sample_rows(long, known).collect()} == {10_000_000}
+    model = toxicity.fit(docs, known)
+    out = toxicity.scores(long, model).collect()
+    assert len(out) == 1 and 0 <= out[0].score <= 1
+
+
 def test_labels_of_held_out_rows_change_nothing(spark, posts):
     rows, labels = posts
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -129,6 +147,44 @@ def test_warc_audit_finds_each_fault(spark):
     assert warc.audit(replica.where("false"), replica.where("false")).count() == 0
 
 
+def test_warc_audit_of_a_tall_tree(spark):
+    """Two layers in a shard, one above them; records changed, missing, extra, moved and a shard gone."""
+    n = 4096 * 2 + 40
+    long = spark.range(n).select(F.when(F.col("id") < n - 5, 0).otherwise(F.col("id") % 3 + 1).cast("int").alias("shard"), F.when(F.col("id") < n - 5, F.col("id")).otherwise(F.col("id") % 2).alias("seq"), F.col("id").alias("page_id"), F.encode(F.concat(F.lit("r"), "id"), "UTF-8").alias("record"))
+    long = long.dropDuplicates(["shard", "seq"])
+    rows = {(r.shard, r.seq): (r.page_id, bytes(r.record)) for r in long.collect()}
+    other = dict(rows)
+    other[0, 4100] = (4100, b"R4100")  # the same length
+    other[0, 17] = (17, b"r17 longer")  # moves what follows
+    del other[0, 8200]
+    other[0, 8300] = (1, b"extra")
+    other = {k: v for k, v in other.items() if k[0] != 2}
+    frame = spark.createDataFrame([(*k, *v) for k, v in other.items()], "shard int, seq long, page_id long, record binary")
+    la, lb = warc.leaves(long), warc.leaves(frame)
+    ta, tb = warc.tree(la), warc.tree(lb)
+    assert (ta.inner, len(ta.layers)) == (2, 3) and ta.root() != tb.root() and ta.root() == warc.tree(warc.leaves(long)).root()
+    assert {r.shard for r in ta.shard_roots().exceptAll(tb.shard_roots()).collect()} == {0, 2}
+
+    def placed(table):
+        at, out = {}, {}
+        for (shard, seq), (_, data) in sorted(table.items()):
+            out[shard, seq] = (at.get(shard, 0), data)
+            at[shard] = at.get(shard, 0) + len(data)
+        return out
+
+    x, y = placed(rows), placed(other)
+    want = {k for k in x.keys() | y.keys() if x.get(k) != y.get(k)}
+    assert {tuple(r) for r in warc.damaged(ta, tb).collect()} == want
+    short = warc.tree(warc.leaves(long.where("seq < 9")))
+    assert {tuple(r) for r in warc.damaged(ta, short).collect()} == {k for k in rows if k[1] >= 9}
+
+
+def test_warc_record_of_a_long_text(spark):
+    pages = spark.createDataFrame([(1, "u", "ab" * 1_000_000)], "page_id long, url string, html string")
+    r = warc.audit(warc.write(pages), warc.write(pages)).first()
+    assert r.length > 2_000_000 and not r.damaged
+
+
 @pytest.fixture(scope="module")
 def sources():
     rnd = random.Random(8)
