@@ -6,7 +6,7 @@ import gc
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import shared_dir
@@ -66,33 +66,52 @@ def columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node of edges(a, b): columns node, root.
+    """Smallest node reachable from each node of edges(a, b): columns node, root; a stage table.
 
-    Large-star / small-star contraction: rounds grow with the log of the longest path,
-    and every round is a stage table. Each node's smallest neighbour is an aggregate
-    that is combined before the shuffle and written down, so the join with it is a plain
-    one of two tables, in which adaptive execution splits a hub's rows. If max_rounds do
-    not suffice, an error is raised: an unfinished result is never returned.
+    Large-star / small-star contraction: each round is aggregations and joins on node,
+    so no neighbourhood is gathered in a task; rounds grow with the log of the longest
+    path, and each is a stage table. If max_rounds do not suffice, an error is raised:
+    an unfinished result is never returned.
     """
     e = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
     for _ in range(max_rounds):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stage(large.unionByName(low.where(F.col("m") < F.col("a")).select("a", F.col("m").alias("b"))).where("a > b").distinct(), "large")
-        drop_stage(low)
-        small_low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = large.unionByName(low.where(F.col("m") < F.col("a")).select("a", F.col("m").alias("b"))).where("a > b").distinct()
+        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        done = stage(small.unionByName(small_low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        # stars are done: no node has two neighbours below it, and none below it is itself above one
-        rows, nodes = done.agg(F.count("*"), F.count_distinct("a")).first()
-        drop_stage(e, large, small_low)
+        small = small.unionByName(small_low.select("a", F.col("m").alias("b"))).distinct()
+        done = stage(small, "edges")
+        drop_stage(e)
         e = done
-        if rows == nodes and e.join(e.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_distinct("a")).first()
+        if now == before or now[0] == now[2] and not e.join(e.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
+            roots = e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            out = stage(roots, "components")
+            drop_stage(e)
+            return out
+        before = now
     raise RuntimeError(f"components are not found after {max_rounds} rounds")
 
 
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with sums over the rows before each one in a total order, without one window over all rows.
+
+    Rows are dealt by range; sums run within parts, and over one row per part.
+    """
+    names = list(sums)
+    part, *inner = free_names(df.columns, "part", *[f"inner_{n}" for n in names])
+    ranged = stage(df.withColumns(sums).repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()), "running")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(part).agg(*[F.sum(n).alias(i) for n, i in zip(names, inner, strict=True)])
+    totals = totals.select(part, *[F.coalesce(F.sum(i).over(before.orderBy(part)), F.lit(0)).alias(i) for i in inner])  # a row per part
+    within = before.partitionBy(part).orderBy(*order)
+    out = ranged.withColumns({n: F.coalesce(F.sum(n).over(within), F.lit(0)) for n in names}).join(F.broadcast(totals), part)
+    return out.withColumns({n: F.col(n) + F.col(i) for n, i in zip(names, inner, strict=True)}).drop(part, *inner)
+
+
 _held: dict = {}
 
 

@@ -12,26 +12,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stage, stage
+from lodestone.llm.common import drop_stage, free_names, running, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Words a block, slots a shard, times that a source may be used, rounds of the permutations, seed.
-BLOCK, SHARD, MOST_PASSES, ROUNDS, SEED = 128, 1024, 3, 12, 20
+#: Words a block, slots a shard, times that a source may be used, rounds of the permutations (with 12, counts a shard strayed 2.8 times as far as a fair draw; with 24, 1.1 times), seed.
+BLOCK, SHARD, MOST_PASSES, ROUNDS, SEED = 128, 1024, 3, 24, 20
+#: Rounds of a permutation that are planned together.
+STEPS = 8
+#: Slots that one task draws.
+SLOTS_TASK = 1 << 16
 _M = 2147483647
 
 
-def permuted(x: str, n: str, key: str, rounds: int = ROUNDS) -> str:
-    """SQL of a permutation of [0, n): swap-or-not.
+def with_permuted(df: DataFrame, x: str, n: str, key: str, out: str, rounds: int = ROUNDS) -> DataFrame:
+    """df with column out: x under a permutation of [0, n), swap-or-not. x, n and key are SQL of longs.
 
     In each round x may swap with its mirror image under a round key; a bit of a hash
-    of the larger of both decides, so both decide alike. The arithmetic stays below 2^63.
+    of the larger of both decides, so both decide alike. The arithmetic stays below
+    2^63. A round is three plain columns, which are compiled, not a loop in a row.
+    Every STEPS rounds are written down: longer chains cost the optimizer too much, and
+    filters that follow would be pushed through them, doubling in each.
     """
-    k = f"((((r + 1) * 1103515 + {key} * 7919 + 9973) % {_M}) * 48271 % {_M} * {_M} + ((r + 3) * 69621 + {key} * 16807) % {_M} * 39373 % {_M}) % {n}"
-    mirror = f"(({k}) - acc + {n}) % {n}"
-    m = f"greatest(acc, {mirror})"
-    z = f"((({m}) % {_M} * 48271 + cast(floor(({m}) / {_M}) as bigint) * 16807 + r * 7907 + {key}) % {_M} * 69621 % {_M})"
-    bit = f"shiftright((({z} ^ shiftright({z}, 15)) * 48271) % {_M}, 13) & 1"
-    return f"aggregate(sequence(0L, {rounds - 1}L), cast({x} as bigint), (acc, r) -> case when {bit} = 1 then {mirror} else acc end)"
+    own, written = df.columns, []
+    mirror, z = free_names([*own, out], "mirror", "z")
+    df = df.withColumn(out, F.expr(f"cast({x} as bigint)"))
+    for r in range(rounds):
+        k = f"((({r + 1}L * 1103515 + {key} * 7919 + 9973) % {_M}) * 48271 % {_M} * {_M} + ({r + 3}L * 69621 + {key} * 16807) % {_M} * 39373 % {_M}) % {n}"
+        df = df.select(*own, out, F.expr(f"(({k}) - {out} + {n}) % {n}").alias(mirror))
+        m = f"greatest({out}, {mirror})"
+        df = df.select(*own, out, mirror, F.expr(f"(({m}) % {_M} * 48271 + (({m}) div {_M}) * 16807 + {r}L * 7907 + {key}) % {_M} * 69621 % {_M}").alias(z))
+        bit = f"shiftright((({z} ^ shiftright({z}, 15)) * 48271) % {_M}, 13) & 1"
+        df = df.select(*own, F.expr(f"case when {bit} = 1 then {mirror} else {out} end").alias(out))
+        if r % STEPS == STEPS - 1 or r == rounds - 1:
+            df = stage(df, "permuted")
+            drop_stage(*written)
+            written = [df]
+    return df
 
 
 def word_count(text: Column) -> Column:
@@ -72,38 +88,49 @@ def _targets(sizes: DataFrame) -> DataFrame:
     """Weights 1, 2, 3 in source order; targets filled up like water under caps of MOST_PASSES sizes.
 
     In order of cap per weight, a source is capped if its cap is within the level that
-    is left once all before it are capped; the rest share what is left by weight. The
-    windows run over one row per source.
+    is left once all before it are capped; the rest share what is left by weight. Sums
+    run over sources dealt by range, as there may be many.
     """
-    named = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long") - 1)
+    last = [F.col("source").asc_nulls_last()]
+    named = running(sizes, last, {"rank": F.lit(1).cast("long")})
     named = named.withColumn("weight", F.col("rank") % 3 + 1).withColumn("cap", MOST_PASSES * F.col("source_size"))
-    every = Window.partitionBy(F.lit(0))
-    fill = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    named = named.withColumn("left", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(fill), F.lit(0))).withColumn("weights", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fill), F.lit(0)))
-    named = named.withColumn("capped", F.col("cap").cast("double") * F.col("weights") <= F.col("left").cast("double") * F.col("weight"))
-    free = (F.sum("source_size").over(every) - F.sum(F.when(F.col("capped"), F.col("cap")).otherwise(0)).over(every)).cast("double")
-    named = named.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(free * F.col("weight") / F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(every)))
+    named = stage(named, "ranked")
+    size, weights = named.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    named = running(named, [F.col("cap") / F.col("weight"), F.col("rank")], {"caps": F.col("cap"), "heavy": F.col("weight")})
+    named = named.withColumn("capped", F.col("cap").cast("double") * (weights - F.col("heavy")) <= (size - F.col("caps")).cast("double") * F.col("weight")).drop("caps", "heavy")
+    named = stage(named, "capped")
+    fixed, light = named.agg(F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0)), F.coalesce(F.sum(F.when(~F.col("capped"), F.col("weight"))), F.lit(0))).first()
+    free = F.lit(float(size - fixed)) * F.col("weight") / F.lit(max(1, light))
+    named = named.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(free))
     named = named.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK).cast("long"))
     slots = F.when(F.col("source_size") > 0, F.least(MOST_PASSES * F.col("blocks"), F.floor(F.col("target") * F.col("blocks") / F.col("source_size") + 0.5).cast("long"))).otherwise(F.lit(0)).cast("long")
     named = named.withColumn("slots", slots)
-    run = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return named.select("source", "rank", "source_size", "target", "blocks", "slots", F.coalesce(F.sum("slots").over(run), F.lit(0)).alias("base"))
+    return running(named, last, {"base": F.col("slots")}).select("source", "rank", "source_size", "target", "blocks", "slots", "base")
 
 
 def draws(spark, by_source: DataFrame) -> DataFrame:
     """One row per output slot: slot, shard, rank, block.
 
     Sources are found by coarse buckets of the dealt position, an equi-join; a bucket
-    holds the sources that it meets.
+    holds the sources that it meets. Tasks follow the number of slots.
     """
     total = by_source.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     width = max(1, total // 4096)
     owners = by_source.where("slots > 0").select("rank", "blocks", "slots", "base", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor((F.col("base") + F.col("slots") - 1) / width))).alias("bucket"))
-    slots = spark.range(total).select(F.col("id").alias("slot"), F.floor(F.col("id") / SHARD).alias("shard"), F.expr(permuted("id", f"{max(1, total)}L", f"{SEED}L")).alias("at"))
-    slots = slots.withColumn("bucket", F.floor(F.col("at") / width))
-    hit = slots.join(owners, (slots["bucket"] == owners["bucket"]) & (F.col("at") >= F.col("base")) & (F.col("at") < F.col("base") + F.col("slots")))
+    slots = spark.range(0, total, 1, -(-total // SLOTS_TASK) or 1).select(F.col("id").alias("slot"), F.floor(F.col("id") / SHARD).alias("shard"))
+    slots = with_permuted(slots, "slot", f"{max(1, total)}L", f"{SEED}L", "at")
+    placed = slots.withColumn("bucket", F.floor(F.col("at") / width))
+    hit = placed.join(owners, (placed["bucket"] == owners["bucket"]) & (F.col("at") >= F.col("base")) & (F.col("at") < F.col("base") + F.col("slots")))
     hit = hit.withColumn("turn", F.col("at") - F.col("base")).withColumn("key", SEED + 1 + F.col("rank") * MOST_PASSES + F.floor(F.col("turn") / F.col("blocks")))
-    return hit.select("slot", "shard", "rank", F.expr(permuted("turn % blocks", "blocks", "key")).alias("block"))
+    hit = hit.select("slot", "shard", "rank", "blocks", "turn", "key")
+    hit = with_permuted(hit, "turn % blocks", "blocks", "key", "block")
+    drop_stage(slots)
+    return hit.select("slot", "shard", "rank", "block")
+
+
+def shard_counts(draws: DataFrame) -> DataFrame:
+    """shard, rank, n: how many slots of each output shard a source got, the multinomial draw given exact totals."""
+    return draws.groupBy("shard", "rank").agg(F.count("*").alias("n"))
 
 
 def _uses(spark, by_source: DataFrame) -> DataFrame:
@@ -128,6 +155,13 @@ def taken(documents: DataFrame, by_source: DataFrame, uses: DataFrame) -> DataFr
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row.
+
+    A null text has size 0 and a null source is one of its own, the last. Null ids come
+    first in their source; repeated rows count apiece and, being alike in place and
+    size, may change places. Columns of other names are left out; an empty table gives
+    an empty result.
+    """
     return taken(*plan(docs, id_col, text_col, source_col))
 
 
@@ -139,18 +173,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     document without words joins the first pass untouched. Ids may be null or repeated:
     rows are told apart by a number of their own, which is written with them.
     """
-    docs = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    documents, _, uses = plan(docs, row_col="_row")
+    row, words_, runs_, split_, text_ = free_names(docs.columns, "row", "words", "runs", "split", "whole")
+    own = docs.columns
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    documents, _, uses = plan(docs, row_col=row)
     pieces = _pieces(documents, uses).withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
     runs = pieces.groupBy("row", "pass").agg(F.sum("words").alias("words"), F.array_sort(F.collect_list(F.struct("from", "words"))).alias("runs"))
-    named = runs.select(F.col("row").alias("_row"), F.col("words").alias("_words"), F.col("runs").alias("_runs"))
-    empty = documents.where("size = 0").select(F.col("row").alias("_row"), F.lit(0).cast("long").alias("_words"), F.array().cast(named.schema["_runs"].dataType).alias("_runs"))
-    joined = docs.join(named.unionByName(empty), "_row")
-    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    part = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(words, r["from"].cast("int") + 1, r["words"].cast("int")))), " ")
-    joined = joined.withColumn("_text", F.when(word_count(F.col("text")) == F.col("_words"), F.col("text")).otherwise(part))
-    out = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "bigint"))}
-    return joined.select([out.get(c, docs[c]).alias(c) for c in docs.columns if c != "_row"])
+    named = runs.select(F.col("row").alias(row), F.col("words").alias(words_), F.col("runs").alias(runs_))
+    empty = documents.where("size = 0").select(F.col("row").alias(row), F.lit(0).cast("long").alias(words_), F.array().cast(named.schema[runs_].dataType).alias(runs_))
+    joined = docs.join(named.unionByName(empty), row)
+    # a column of its own, referred to twice, is worked out once a row and not once a run
+    joined = joined.withColumn(split_, F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    part = F.array_join(F.flatten(F.transform(runs_, lambda r: F.slice(split_, r["from"].cast("int") + 1, r["words"].cast("int")))), " ")
+    joined = joined.withColumn(text_, F.when(F.size(split_) == F.col(words_), F.col("text")).otherwise(part))
+    out = {"text": F.col(text_), "n_chars": F.length(text_).cast(dict(docs.dtypes).get("n_chars", "bigint"))}
+    return joined.select([out.get(c, docs[c]).alias(c) for c in own])
 
 
 def mix_sql(rounds: int = ROUNDS) -> str:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, queries, toxicity, urlfilter, warc
+from lodestone.llm.common import running
 
 STEMS = ["idiot", "moron", "scum", "gromulk"]
 
@@ -234,7 +235,7 @@ def test_targets_by_repeated_sharing(spark):
 
 def test_permutations(spark):
     for n in (1, 2, 7, 100, 1023):
-        out = [r[0] for r in spark.range(n).select(F.expr(mixing.permuted("id", f"{n}L", "5L"))).collect()]
+        out = [r.at for r in mixing.with_permuted(spark.range(n), "id", f"{n}L", "5L", "at").collect()]
         assert sorted(out) == list(range(n))
     assert out != list(range(n))
 
@@ -255,6 +256,41 @@ def test_mixed_documents_hold_what_was_taken(spark, sources):
     assert words == {d: t for d, t in taken.items() if t or not (texts[d] or "").split()}
 
 
+def test_running_sums(spark):
+    rnd = random.Random(6)
+    values = [(k, rnd.randrange(100)) for k in rnd.sample(range(1000), 300)]
+    got = running(spark.createDataFrame(values, "part long, n long").repartition(5), [F.col("part").desc()], {"before": F.col("n"), "rank": F.lit(1)}).collect()
+    total = 0
+    for rank, (k, n) in enumerate(sorted(values, reverse=True)):
+        assert next(tuple(r) for r in got if r.part == k) == (k, n, total, rank)
+        total += n
+    assert len(got) == 300
+
+
+def test_shards_hold_multinomial_counts(spark):
+    """Given exact totals, a shard's counts are a draw without replacement: near their shares, and no two alike by rule."""
+    sizes = spark.createDataFrame([(f"s{k}", 128 * n) for k, n in enumerate((4000, 9000, 2500, 12000))], "source string, source_size long")
+    by_source = mixing._targets(sizes)
+    slots = {r["rank"]: r.slots for r in by_source.collect()}
+    total, per = sum(slots.values()), {}
+    for r in mixing.shard_counts(mixing.draws(spark, by_source)).collect():
+        per.setdefault(r["shard"], {})[r["rank"]] = r.n
+    assert all(sum(v.values()) == mixing.SHARD for k, v in per.items() if k < total // mixing.SHARD)
+    assert {k: sum(v.get(k, 0) for v in per.values()) for k in slots} == slots
+    full = [v for k, v in per.items() if k < total // mixing.SHARD]
+    z = [(v.get(k, 0) - mixing.SHARD * s / total) / (mixing.SHARD * s / total * (1 - s / total)) ** 0.5 for v in full for k, s in slots.items()]
+    assert max(map(abs, z)) < 5 and 0.6 < np.std(z) < 1.4
+
+
+def test_mixed_documents_with_clashing_columns(spark, sources):
+    named = ["row", "words", "runs", "whole", "_row", "_words", "_runs", "_text", "_doc", "pass", "block", "uses", "ROW_"]
+    df = spark.createDataFrame(sources, "doc_id long, text string, lang string, source string, n_chars long")
+    plain = sorted(map(repr, mixing.mixed_documents(df).collect()))
+    wide = mixing.mixed_documents(df.withColumns({n: F.lit(n) for n in named}))
+    assert wide.columns == [*df.columns, *named]
+    assert sorted(map(repr, wide.select(df.columns).collect())) == plain
+
+
 def test_mixed_documents_tell_rows_of_null_and_repeated_ids_apart(spark):
     rows = [(None if k % 3 else k % 2, " ".join(f"w{k}x{j}" for j in range(40 + 31 * k)), f"row{k}", f"s{k % 3}", 0) for k in range(12)]
     rows += [(None, None, "none", "s0", None), (None, "", "empty", "s0", 0), (None, " ", "blank", "s1", 1), (0, "", "named", "s1", 0)]
