@@ -21,13 +21,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import components, drop_stage, sole, stage, text_batches
+from lodestone.llm.common import columns, components, drop_stage, free_names, sole, stage, text_batches
 
-#: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected, 38 lie four deviations below.
-COORDINATES, MATCHES = 64, 38
+#: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected; fewer than 32 come once in 50 million pairs.
+COORDINATES, MATCHES = 64, 32
 #: Turns of hub meetings before the tiles, and the lists in which a member meets a hub in one turn.
 TURNS, MEETINGS = 2, 3
 #: Members of a block; a tile has two.
@@ -81,8 +81,13 @@ def _shingler(words: int) -> Shingler:
     return sole(("shingler", words), lambda: Shingler(words))
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    """Rows of one id and one text have the same; null and the empty text do not."""
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(text_col).isNull())
+
+
 def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_shingles, key (digest of the set, null if it is empty), sig."""
+    """doc_id, row_hash (of id and text), n_shingles, key (digest of the set, null if it is empty), sig."""
 
     def run(batches):
         s = _shingler(words)
@@ -92,7 +97,7 @@ def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 yield pa.record_batch(
                     {
                         "doc_id": b.column(0).slice(start, len(sets)),
-                        "text_hash": b.column(2).slice(start, len(sets)),
+                        "row_hash": b.column(2).slice(start, len(sets)),
                         "n_shingles": pa.array(map(len, sets), pa.int64()),
                         "key": pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                         "sig": pa.array([signature(x) if len(x) else None for x in sets], pa.list_(pa.int32())),
@@ -100,7 +105,7 @@ def signed(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str =
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, key binary, sig array<int>")
+    return docs.select(id_col, text_col, row_hash(id_col, text_col)).mapInArrow(run, f"doc_id {kind}, row_hash long, n_shingles long, key binary, sig array<int>")
 
 
 def sets_of(docs: DataFrame, words: int) -> DataFrame:
@@ -263,7 +268,7 @@ def _tiled(posts: DataFrame, classes: DataFrame, sets: DataFrame, matches: int,
 
 
 def judged_rows(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, matches: int = MATCHES, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, root, n_shingles, component_id, kept of every row.
+    """doc_id, row_hash, root, n_shingles, component_id, kept of every row.
 
     A row without words (or with a null text) has an empty set and is linked with
     nothing. Rows with one set are one class, whatever their ids. component_id is the
@@ -272,14 +277,17 @@ def judged_rows(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COO
     empty table gives an empty result.
     """
     rows = stage(signed(docs, words, id_col, text_col), "signed")
-    full = rows.where("key is not null")
-    classes = stage(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    posts = stage(posting_prefixes(classes, k, matches), "posts")
-    wanted = posts.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1")
-    posts = stage(posts.join(wanted.select("c", "v"), ["c", "v"], "left_semi"), "lists")
-    need = posts.select("key").distinct().join(classes.select("key", "rep"), "key")
-    text = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    links, sets, roots = None, None, None
+    # of a class, one row is to be read again: the one with the smallest id
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("m")
+    classes = rows.where("key is not null").groupBy("key").agg(least, F.first("sig").alias("sig"))
+    classes = stage(classes.select("key", F.col("m.doc_id").alias("rep"), F.col("m.row_hash").alias("row_hash"), "sig"), "classes")
+    first = stage(posting_prefixes(classes, k, matches), "posts")
+    wanted = first.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1")
+    posts = stage(first.join(wanted.select("c", "v"), ["c", "v"], "left_semi"), "lists")
+    drop_stage(first)
+    need = posts.select("key").distinct().join(classes.select("key", "row_hash"), "key")
+    text = docs.select(row_hash(id_col, text_col).alias("row_hash"), F.col(text_col).alias("text"))
+    links, sets, roots, parts = None, None, None, []
     for turn in range(TURNS + 1):
         now = posts.withColumn("comp", F.col("key"))
         if roots is not None:
@@ -287,35 +295,67 @@ def judged_rows(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COO
             mixed = now.groupBy("c", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("c", "v")
             now = stage(now.join(mixed, ["c", "v"], "left_semi"), "mixed")
             if now.isEmpty():
+                drop_stage(now)
                 break
         if turn < TURNS:
             pairs = stage(_alike(_hub_pairs(now, turn), classes, matches), "pairs")
             if sets is None:
-                # full sets of classes in lists, from one document each; a repeated id with another text is told by its key
+                # full sets of classes in lists, from one document each
                 sets = stage(signed_text(need, text, words), "sets")
             new = stage(confirmed(pairs, sets, percent), "links")
             drop_stage(pairs)
         else:
             new = stage(_tiled(now, classes, sets, matches, percent, tile), "links")
+        parts.append(new)
         links = new if links is None else links.unionByName(new)
-        roots = stage(components(links), "roots")
+        if roots is not None:
+            drop_stage(roots)
+        roots = components(links)
         drop_stage(now)
-    named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(lowest, "root").select("key", "root", "component_id")
-    drop_stage(posts)
+    named = stage(classes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root")), "named")
+    # written down, so that the join by root is one of two tables and a large component's rows can be split
+    lowest = stage(named.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
+    by_key = stage(named.join(lowest, "root").select("key", "root", "component_id"), "by_key")
+    drop_stage(posts, sets, roots, named, lowest, classes, *parts)
     out = rows.join(by_key, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "text_hash", "root", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "row_hash", "root", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, matches: int = MATCHES, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row, as judged_rows tells them."""
+    """doc_id, n_shingles, component_id, kept of every row, as judged_rows tells them (nulls, ties and empty tables too).
+
+    Repeated rows are judged alike; columns other than id and text are left out.
+    """
     return judged_rows(docs, words, percent, k, matches, tile, id_col, text_col).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs of which one stays for each component, in docs' columns.
+
+    It is the row with the smallest id, null last; of several such rows one, the same
+    in every run but for rows that are alike in id and text. Rows are judged apart
+    whatever their ids: two different texts under one id both stay. Rows without words
+    or text are linked with nothing and stay, all of them. An empty table stays empty.
+    """
+    judged = judged_rows(docs, words, percent, id_col=id_col, text_col=text_col).where("root is not null")
+    kinds = judged.groupBy("root", "row_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    first = F.min_by(F.struct("row_hash", "n"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash"))
+    winners = stage(kinds.groupBy("root").agg(first.alias("w")).select("w.row_hash", "w.n"), "winners")
+    (h,) = free_names(docs.columns, "row_hash")
+    hashed = docs.withColumn(h, row_hash(id_col, text_col))
+    won = lambda n: winners.where(n).select(F.col("row_hash").alias(h))
+    single = hashed.join(won("n = 1"), h, "left_semi")
+    repeated = hashed.join(won("n > 1"), h, "left_semi").dropDuplicates([h])
+    blank = ~F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return columns(single, docs.columns).unionByName(columns(repeated, docs.columns)).unionByName(docs.where(blank))
+
+
 def signed_text(need: DataFrame, text: DataFrame, words: int) -> DataFrame:
-    """key, shingles for key, rep rows; documents are read again rather than kept with all their hashes."""
-    both = need.join(text, need["rep"].eqNullSafe(text["rep"])).select("key", "text")
+    """key, shingles for key, row_hash rows; documents are read again rather than kept with all their hashes.
+
+    Only rows that are the same in id and text meet; a chance hash is told by the digest.
+    """
+    both = need.join(text, "row_hash").select("key", "text")
 
     def own(batches):
         for b in batches:

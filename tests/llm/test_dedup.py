@@ -35,6 +35,8 @@ def test_components(spark):
     want = {k: v for k, v in union(p for p in pairs if p[0] != p[1]).items()}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError, match="not found after 1"):
+        components(spark.createDataFrame(pairs, "a long, b long"), max_rounds=1)
 
 
 def shingles(text, n):
@@ -119,6 +121,21 @@ def test_minhash_of_nothing(spark):
     assert list(map(tuple, only)) == [(1, 0, 1, True)]
 
 
+def test_near_duplicates_are_dropped_row_by_row(spark):
+    text = lambda name: " ".join(f"{name}{k}" for k in range(60))
+    near = lambda name: text(name).replace(f"{name}59", "other")
+    rows = [(2, text("b")), (6, text("a")), (6, text("b")), (None, text("c")), (None, text("c")), (None, near("c")), (None, near("a")), (7, ""), (7, None), (None, " "), (9, text("d")), (9, text("d")), (3, "x " * 600_000)]
+    names = ["row_hash", "_n", "root", "key", "n_shingles", "component_id", "kept", "Row_Hash_"]
+    df = spark.createDataFrame([(*r, *names) for r in rows], ", ".join(["doc_id long", "text string", *[f"{n} string" for n in names]])).repartition(3)
+    out = minhash.without_near_duplicates(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    c = next(t for i, t in got if i is None and t.startswith("c0"))
+    assert c in (text("c"), near("c"))
+    assert got == sorted([(2, text("b")), (6, text("a")), (None, c), (7, ""), (7, None), (None, " "), (9, text("d")), (3, "x " * 600_000)], key=repr)
+    assert minhash.without_near_duplicates(df.where("false")).count() == 0
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 16))
@@ -142,6 +159,27 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_recall_at_the_default_setting(spark):
+    """Several thousand vectors in more than 16 cells, partners from the threshold on."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(1500, 24))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.normal(size=(1500, 24))
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    near = rng.uniform(0.9, 0.99, 1500)[:, None]
+    v = np.concatenate([base, near * base + np.sqrt(1 - near**2) * side]).astype(np.float32)
+    assert vectors.codewords(len(v)) ** 2 > 16
+    rows = [(k, x.tolist()) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(df).collect()}
+    unit = v.astype(float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    assert all(got[k] <= n for k, n in enumerate(want.tolist()))
+    assert sum(got.values()) >= 0.98 * want.sum() > 0
+
+
 def test_traversal_visits_nearest_cells_in_order():
     rng = np.random.default_rng(1)
     index = vectors.Index((rng.normal(size=(9, 3)), rng.normal(size=(9, 3))), 81)
