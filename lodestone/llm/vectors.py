@@ -20,11 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from lodestone.llm.common import components, drop_stage, stage
 
-#: Rows that fit the codebooks, vectors a cell is meant to hold, largest codebook.
-FIT_ROWS, CELL_ROWS, MOST_WORDS = 8_192, 48, 256
+#: Rows that fit the codebooks (at least, and for each codeword), vectors a cell is meant to hold.
+FIT_ROWS, WORD_ROWS, CELL_ROWS = 8_192, 16, 48
+#: Largest codebook. Its grid holds 800 million classes; beyond that results stay whole, but cells, and so the work a class, grow.
+MOST_WORDS = 4_096
 #: Partners made to calibrate the traversal.
 PARTNERS = 1_024
 #: Share of links right at the threshold that the traversal is calibrated to meet.
@@ -81,6 +84,11 @@ def _k_means(rows: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 1
     return words
 
 
+def codewords(classes: int) -> int:
+    """Words of each codebook, so that cells hold CELL_ROWS classes."""
+    return max(2, min(MOST_WORDS, math.ceil(math.sqrt(classes / CELL_ROWS))))
+
+
 def fit(sample: np.ndarray, classes: int, cosine: float, recall: float = TARGET_RECALL, seed: int = 8) -> Index:
     """Codebooks from unit vectors; visits from partners made at exactly the threshold.
 
@@ -89,7 +97,7 @@ def fit(sample: np.ndarray, classes: int, cosine: float, recall: float = TARGET_
     """
     rng = np.random.default_rng(seed)
     dim = sample.shape[1]
-    k = max(2, min(MOST_WORDS, math.ceil(math.sqrt(classes / CELL_ROWS))))
+    k = codewords(classes)
     half = max(1, dim // 2)
     right = sample[:, half:] if dim > half else np.zeros((len(sample), 1))
     index = Index((_k_means(sample[:, :half], k, rng), _k_means(right, k, rng)), k * k)
@@ -100,7 +108,8 @@ def fit(sample: np.ndarray, classes: int, cosine: float, recall: float = TARGET_
     partner = cosine * some + math.sqrt(1 - cosine * cosine) * side
     at, (da, db) = index.cells(partner), index.distances(some)
     own = da[np.arange(len(some)), at // k] + db[np.arange(len(some)), at % k]
-    rank = 1 + ((da[:, :, None] + db[:, None, :]).reshape(len(some), -1) < own[:, None]).sum(1)
+    # cells that are nearer: for every word of one half, the words of the other that leave the sum below
+    rank = [1 + int(np.searchsorted(np.sort(y), z - x).sum()) for x, y, z in zip(da, db, own, strict=True)]
     index.visits = int(np.quantile(rank, 1 - math.sqrt(1 - recall), method="higher"))
     return index
 
@@ -119,11 +128,13 @@ def _index(a: bytes, b: bytes, words: int, visits: int) -> Index:
     return Index((np.frombuffer(a).reshape(words, -1), np.frombuffer(b).reshape(words, -1)), visits)
 
 
-def _links(classes: DataFrame, dim: int, cosine: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    """(key, links) and edges (a, b) for classes (key, rep, n, v) of one dimension."""
-    sample = classes.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(FIT_ROWS).select("v").toArrow().column("v").combine_chunks()
+def _links(classes: DataFrame, dim: int, cosine: float, recall: float) -> DataFrame:
+    """key, links (a part of its count), root (a linked key, smaller or equal) for classes (key, rep, n, v) of one dimension."""
     total = classes.count()
+    rows = max(FIT_ROWS, WORD_ROWS * codewords(total))  # 65,536 at most
+    sample = classes.orderBy(F.xxhash64("key", F.lit(1)), "key").limit(rows).select("v").toArrow().column("v").combine_chunks()
     index = fit(_units(sample, dim), total, cosine, recall)
+    kind = classes.schema["v"].dataType.simpleString()
     packed = (index.books[0].tobytes(), index.books[1].tobytes(), index.words, index.visits)
 
     def place(batches):
@@ -132,7 +143,7 @@ def _links(classes: DataFrame, dim: int, cosine: float, recall: float) -> tuple[
             unit = _wide(_units(b.column(2), dim))
             yield pa.record_batch({"key": b.column(0), "n": b.column(1), "v": b.column(2), "cell": pa.array(x.cells(unit).astype(np.int32)), "visits": pa.array(x.visited(unit), pa.list_(pa.int32()))})
 
-    placed = stage(classes.select("key", "n", "v").mapInArrow(place, "key string, n long, v array<double>, cell int, visits array<int>"), "placed")
+    placed = stage(classes.select("key", "n", "v").mapInArrow(place, f"key string, n long, v {kind}, cell int, visits array<int>"), "placed")
     held = placed.groupBy("cell").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("parts"))
     calls = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / TILE_VISITS).cast("int").alias("turns"))
     grid = stage(held.join(calls, "cell"), "grid")
@@ -140,8 +151,6 @@ def _links(classes: DataFrame, dim: int, cosine: float, recall: float) -> tuple[
     members = placed.join(grid, "cell").select("cell", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(True).alias("member"), "key", "n", "v", F.col("cell").alias("own"), "visits")
     callers = placed.select("key", "n", "v", F.col("cell").alias("own"), F.explode("visits").alias("cell")).join(grid, "cell")
     callers = callers.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), turn.alias("turn"), F.lit(False).alias("member"), "key", "n", "v", "own", F.lit(None).cast("array<int>").alias("visits"))
-    size = index.words**2
-
     def tile(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         member = t.column("member").to_numpy(zero_copy_only=False).astype(bool)
@@ -153,10 +162,9 @@ def _links(classes: DataFrame, dim: int, cosine: float, recall: float) -> tuple[
             hit = unit[q] @ unit[x].T >= cosine
             hit &= keys[q][:, None] != keys[x][None, :]
             if hit.any():
-                seen = np.zeros((len(x), size), bool)
-                for k, v in enumerate(t.column("visits").take(pa.array(x)).to_pylist()):
-                    seen[k, v] = True
-                both = seen[:, own[q]].T  # the other end finds the link too, and counts it for itself
+                homes, home = np.unique(own[q], return_inverse=True)
+                seen = np.stack([np.isin(homes, v) for v in t.column("visits").take(pa.array(x)).to_pylist()])
+                both = seen[:, home].T  # the other end finds the link too, and counts it for itself
                 credit_q = hit @ n[x]
                 credit_x = n[q] @ (hit & ~both)
                 root = np.arange(len(x))
@@ -175,33 +183,44 @@ def _links(classes: DataFrame, dim: int, cosine: float, recall: float) -> tuple[
 
     found = stage(members.unionByName(callers).groupBy("cell", "part", "turn").applyInArrow(tile, "key string, links long, root string"), "found")
     drop_stage(placed, grid)
-    return found.groupBy("key").agg(F.sum("links").alias("links")), found.select(F.col("key").alias("a"), F.col("root").alias("b"))
+    return found
 
 
 def near_duplicates(rows: DataFrame, cosine: float = 0.9, recall: float = TARGET_RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers link with
-    nothing, nor do vectors of different lengths with each other. Equal vectors are a
-    class: they are linked, counted apiece and looked up once.
+    nothing, nor do vectors of different lengths with each other; each length has an
+    index of its own, one after the other. Equal vectors are a class: they are linked,
+    counted apiece and looked up once. A null id is nobody's smallest; repeated ids are
+    rows apiece; other columns are left out; an empty table gives an empty result.
+    Vectors of single precision move as such; cosines are of double precision.
     """
-    v = F.col(vector_col).cast("array<double>")
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    single = isinstance(rows.schema[vector_col].dataType.elementType, FloatType)
+    kind = "float" if single else "double"
+    v = F.col(vector_col).cast(f"array<{kind}>")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     sound = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    clean = rows.select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))
+    clean = rows.select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0).cast(kind)).alias("v"))
     clean = clean.withColumn("key", F.when(sound & (norm > 0) & (norm < float("inf")), F.sha2(F.to_json(F.struct("v")), 256)))
     clean = stage(clean, "vectors")
     classes = stage(clean.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
-    parts = [_links(classes.where(F.size("v") == d), d, cosine, recall) for (d,) in sorted(map(tuple, classes.select(F.size("v")).distinct().collect()))]
-    base = classes.select("key", "rep", "n")
+    lengths = sorted(map(tuple, classes.select(F.size("v")).distinct().collect()))
+    parts = [_links(classes.where(F.size("v") == d), d, cosine, recall) for (d,) in lengths]
+    base, roots = classes.select("key", "rep", "n"), None
     if parts:
-        counts, edges = parts[0]
-        for c, e in parts[1:]:
-            counts, edges = counts.unionByName(c), edges.unionByName(e)
-        base = base.join(counts, "key", "left").join(components(edges).withColumnRenamed("node", "key"), "key", "left")
+        found = parts[0]
+        for more in parts[1:]:
+            found = found.unionByName(more)
+        roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+        counts = found.groupBy("key").agg(F.sum("links").alias("links"))
+        base = base.join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     else:
         base = base.withColumns({"links": F.lit(0).cast("long"), "root": F.lit(None).cast("string")})
     base = stage(base.select("key", "rep", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "linked")
-    lowest = base.groupBy("root").agg(F.min("rep").alias("component_id"))
-    out = clean.drop("v").join(base.join(lowest, "root").select("key", "n_links", "component_id"), "key", "left")
+    # written down, so that the join by root is one of two tables and a large component's rows can be split
+    lowest = stage(base.groupBy("root").agg(F.min("rep").alias("component_id")), "lowest")
+    by_key = stage(base.join(lowest, "root").select("key", "n_links", "component_id"), "by_key")
+    drop_stage(classes, base, lowest, *parts, *([] if roots is None else [roots]))
+    out = clean.drop("v").join(by_key, "key", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
