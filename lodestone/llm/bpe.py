@@ -19,6 +19,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Characters on whose class the regex module and the tokenizers library agree (a test walks them all).
 _AGREED = re.compile("[^\x00-՗ -⁯]")
 _NEVER = 1 << 30
+#: What a file must say for the rules here to be its own, and options of the model that must be off.
+_RULES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}, "post_processor": None}
+_PLAIN = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
 
 
 def byte_symbols() -> list[str]:
@@ -36,6 +39,9 @@ class ByteBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        wrong = [k for k, v in _RULES.items() if spec.get(k) != v] + [k for k in _PLAIN if model.get(k)]
+        if wrong or model.get("type") != "BPE":
+            raise ValueError(f"{path}: not plain byte-level BPE ({', '.join(wrong) or model.get('type')})")
         vocab: dict[str, int] = model["vocab"]
         symbols = byte_symbols()
         back = {s: b for b, s in enumerate(symbols)}

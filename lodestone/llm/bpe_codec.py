@@ -112,7 +112,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 
 def decode(coded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """Adds decoded, the text that ids stand for; null ids count as none."""
+    """doc_id, n_tokens, ids and decoded, the text that ids stand for, of each row.
+
+    Null ids stand for the empty text; rows keep their partition, repeated rows and
+    null doc_ids stay, other columns are left out, an empty table stays empty.
+    """
 
     def run(batches):
         c = codec(path)
@@ -124,7 +128,11 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def round_trip_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode and digest in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encode, decode and digest in one narrow pass.
+
+    A null text counts as empty (0 ids); null and repeated doc_ids and repeated rows
+    stay as they are, other columns are left out, an empty table gives an empty result.
+    """
 
     def run(batches):
         c = codec(path)

@@ -10,6 +10,7 @@ leaves no half file.
 from __future__ import annotations
 
 import gc
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -35,6 +36,27 @@ _CHUNK = re.compile(rf"[{_LETTERS}]++(?=[!-@\[-`{{-~ \t\n\r]|\Z)|[^ \t\n\r]+")
 _RUN = re.compile(rf"[{_LETTERS}]++(?=[!-@\[-`{{-~]|\Z)")
 
 
+#: The normaliser, splitter and word end for which the cuts above hold.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+
+
+def cuts_hold(path: str) -> bool:
+    """Does this tokenizer file follow the rules that the cuts rely on?"""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return all(spec.get(k) == v for k, v in _RULES.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
+
+
 def _cut(w: str) -> list[str]:
     """The parts of a word without blanks, runs of letters in lower case; the usual shapes first."""
     if w.isascii():
@@ -48,7 +70,8 @@ def _cut(w: str) -> list[str]:
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
-    Two memories: of what stands between blanks, and of its parts. Only parts that are
+    A file with other rules than these cuts rely on gets whole texts, each apart. Else
+    there are two memories: of what stands between blanks, and of its parts. Only parts that are
     new go to the library; runs of letters go together, as one text, whose ids part
     where a word ends.
     """
@@ -71,7 +94,7 @@ class Encoder:
         self.end = np.array([end_id], self.kind).tobytes()
         self.chunks: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
-        self.long = False
+        self.long, self.cuts = False, cuts_hold(path)
 
     def _ask(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -118,7 +141,7 @@ class Encoder:
             self.chunks = {"": b""}
         chunks, end, out, late, new = self.chunks, self.end, [], [], set()
         for k, t in enumerate(texts):
-            if any(s in t for s in self.specials):
+            if not self.cuts or any(s in t for s in self.specials):
                 out.append(self._ask(t).tobytes() + end)
                 continue
             ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -311,7 +334,11 @@ def write(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", t
 
 
 def read(files: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, little-endian) of each document."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids (unsigned 32-bit, little-endian) of each document.
+
+    In the order of the files: null ids first, ties by size and checksum. No files, no
+    rows. What reaches the driver is a row per part.
+    """
     totals = sorted((r[0], r[1]) for r in files.groupBy("part").agg(F.sum("n_tokens")).collect())
     base, at = {}, 0
     for part, n in totals:

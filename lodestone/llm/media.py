@@ -36,48 +36,95 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
+_MOST_ROWS = 8_192
+
+
+def filter_rows(rows: np.ndarray, bpp: int) -> np.ndarray:
+    """Rows that start with the number of their filter: of the five, the one with the least sum of differences."""
+    if len(rows) > _MOST_ROWS + 1:  # in parts, each with the row above it, which bounds the memory
+        parts = [filter_rows(rows[max(0, k - 1) : k + _MOST_ROWS], bpp)[min(k, 1) :] for k in range(0, len(rows), _MOST_ROWS)]
+        return np.concatenate(parts)
+    x = rows.astype(np.int16)
+    left, above = np.zeros_like(x), np.zeros_like(x)
+    left[:, bpp:] = x[:, :-bpp]
+    above[1:] = x[:-1]
+    corner = np.zeros_like(x)
+    corner[1:, bpp:] = x[:-1, :-bpp]
+    guesses = [np.zeros_like(x), left, above, (left + above) >> 1, _paeth(left, above, corner)]
+    coded = np.stack([((x - g) & 255).astype(np.uint8) for g in guesses])
+    best = np.abs(coded.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+    body = np.empty((len(rows), rows.shape[1] + 1), np.uint8)
+    body[:, 0], body[:, 1:] = best, coded[best, np.arange(len(rows))]
+    return body
+
+
 def encode_png(payload: bytes, level: int = 4) -> bytes:
-    """RGB, 8 bits, 64 pixels wide; rows unfiltered, which suits text best."""
+    """RGB, 8 bits, 64 pixels wide; rows filtered one by one or not at all, whichever is smaller."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    body = np.zeros((len(rows), ROW + 1), np.uint8)
-    body[:, 1:] = rows
-    packed = zlib.compress(body.tobytes(), level)
+    plain = np.zeros((len(rows), ROW + 1), np.uint8)
+    plain[:, 1:] = rows
+    packed = min((zlib.compress(body.tobytes(), level) for body in (plain, filter_rows(rows, CHANNELS))), key=len)
     parts = [_chunk(b"IDAT", packed[k : k + _MOST_CHUNK]) for k in range(0, len(packed), _MOST_CHUNK)]
     return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)) + b"".join(parts) + _chunk(b"IEND", b"")
 
 
-def unfilter(body: np.ndarray, bpp: int) -> np.ndarray:
-    """Samples of rows that start with their filter's number."""
-    kinds, out = body[:, 0], body[:, 1:].copy()
-    if kinds.max(initial=0) > 4:
+def _paeth(left: np.ndarray, above: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of left, above and corner the one nearest to left + above - corner, in that order of ties."""
+    da, db = np.abs(above - corner), np.abs(left - corner)
+    dc = np.abs(left + above - 2 * corner)
+    return np.where((da <= db) & (da <= dc), left, np.where(db <= dc, above, corner))
+
+
+def unfilter_all(bodies: list[np.ndarray], bpp: int) -> list[np.ndarray]:
+    """Samples of images of one width, whose rows start with their filter's number.
+
+    A pixel needs its left, upper and upper left neighbours. So a step takes one pixel
+    of each of many rows, row by row one pixel later (a diagonal); images are strung
+    into lanes of about the same height, and all lanes step together.
+    """
+    if any(b[:, 0].max(initial=0) > 4 for b in bodies):
         raise ValueError("unknown row filter")
-    side = kinds == 1
-    if side.any():  # sums along the row, modulo 256
-        out[side] = np.cumsum(out[side].reshape(int(side.sum()), -1, bpp), axis=1, dtype=np.uint8).reshape(int(side.sum()), -1)
-    for y in np.flatnonzero(kinds >= 2):
-        up = out[y - 1] if y else np.zeros(out.shape[1], np.uint8)
-        if kinds[y] == 2:
-            out[y] += up
-            continue
-        row = out[y].astype(np.int32).reshape(-1, bpp)
-        above = up.astype(np.int32).reshape(-1, bpp)
-        left, corner = np.zeros(bpp, np.int32), np.zeros(bpp, np.int32)
-        for x in range(len(row)):
-            b = above[x]
-            if kinds[y] == 3:
-                guess = (left + b) >> 1
-            else:
-                p = left + b - corner
-                da, db, dc = np.abs(p - left), np.abs(p - b), np.abs(p - corner)
-                guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, b, corner))
-            left = row[x] = (row[x] + guess) & 255
-            corner = b
-        out[y] = row.astype(np.uint8).ravel()
+    out: list[np.ndarray] = [b[:, 1:] for b in bodies]
+    todo = [k for k, b in enumerate(bodies) if b[:, 0].any()]
+    if not todo:
+        return out
+    width = (bodies[0].shape[1] - 1) // bpp
+    lanes = max(1, min(len(todo), round(sum(len(bodies[k]) for k in todo) / max(len(bodies[k]) for k in todo)), 64))
+    load, lane_of = [0] * lanes, []
+    for k in sorted(todo, key=lambda k: -len(bodies[k])):
+        lane = load.index(min(load))
+        lane_of.append((k, lane, load[lane]))
+        load[lane] += len(bodies[k])
+    height = max(load)
+    kinds, first = np.zeros((lanes, height), np.int8), np.zeros((lanes, height), bool)
+    code = np.zeros((lanes, height, width, bpp), np.int16)
+    for k, lane, at in lane_of:
+        n = len(bodies[k])
+        kinds[lane, at : at + n], first[lane, at] = bodies[k][:, 0], True
+        code[lane, at : at + n] = bodies[k][:, 1:].reshape(n, width, bpp)
+    # one more row and column of zeros, for what lies outside
+    done = np.zeros((lanes, height + 1, width + 1, bpp), np.int16)
+    inside = (~first)[:, :, None].astype(np.int16)
+    for step in range(height + width - 1):
+        y = np.arange(max(0, step - width + 1), min(height, step + 1))
+        x = step - y
+        left, above, corner = done[:, y + 1, x], done[:, y, x + 1] * inside[:, y], done[:, y, x] * inside[:, y]
+        kind = kinds[:, y, None]
+        guess = np.where(kind == 4, _paeth(left, above, corner), np.where(kind == 3, (left + above) >> 1, np.where(kind == 2, above, np.where(kind == 1, left, 0))))
+        done[:, y + 1, x + 1] = (code[:, y, x] + guess) & 255
+    for k, lane, at in lane_of:
+        n = len(bodies[k])
+        out[k] = done[lane, at + 1 : at + n + 1, 1:].astype(np.uint8).reshape(n, -1)
     return out
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """Samples (height, width * channels) of an 8-bit, non-interlaced image; ValueError if anything is wrong."""
+def unfilter(body: np.ndarray, bpp: int) -> np.ndarray:
+    """unfilter_all() of one image."""
+    return unfilter_all([body], bpp)[0]
+
+
+def inflate_png(data: bytes) -> tuple[np.ndarray, int]:
+    """Filtered rows and channels of an 8-bit, non-interlaced image; ValueError if anything is wrong."""
     if data[:8] != _SIGNATURE:
         raise ValueError("not a PNG")
     at, head, packed, ended = 8, None, [], False
@@ -103,7 +150,12 @@ def decode_png(data: bytes) -> np.ndarray:
     body = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
     if len(body) != height * (width * channels + 1):
         raise ValueError("the image is cut")
-    return unfilter(body.reshape(height, -1), channels)
+    return body.reshape(height, -1), channels
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """Samples (height, width * channels) of an 8-bit, non-interlaced image; ValueError if anything is wrong."""
+    return unfilter(*inflate_png(data))
 
 
 @lru_cache(1)
@@ -132,7 +184,12 @@ def cosine_hash(samples: np.ndarray, channels: int = CHANNELS) -> bytes:
 
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each text as a PNG in a binary column. Null texts count as empty: one row of blanks."""
+    """doc_id, n_bytes, media: each text as a PNG in a binary column.
+
+    Null texts count as empty: one row of blanks. Null ids, ties and repeated rows are
+    rows apiece, equal texts have equal images; other columns are left out; an empty
+    table gives an empty result.
+    """
 
     def run(batches):
         for b in batches:
@@ -144,23 +201,44 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
+def _groups(sizes: list[int], most: int):
+    """Ranges of neighbours of so many in sum, or one."""
+    start, total = 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if sizes:
+        yield start, len(sizes)
+
+
 def media_features(media: DataFrame) -> DataFrame:
     """Reads stored images: digests of payload and file, and the hash as a binary column.
 
-    A damaged image raises an error that names its document, rather than being left out.
+    A damaged image raises an error that names its document, rather than being left out;
+    so does a null one. Null ids, ties and repeated rows are read apiece, equal images
+    have equal features; other columns are left out; an empty table gives an empty
+    result.
     """
 
     def run(batches):
         for b in batches:
-            rows = []
-            for d, n, m in zip(*b.columns, strict=True):
-                png = m.as_py()
+            data = b.column(2).to_pylist()
+            bodies = []
+            for d, png in zip(b.column(0), data, strict=True):
                 try:
-                    samples = decode_png(png)
+                    body, channels = inflate_png(png or b"")
+                    if channels != CHANNELS or body.shape[1] != ROW + 1:
+                        raise ValueError("not an image of this width and colour")
                 except (ValueError, zlib.error) as e:
                     raise ValueError(f"document {d.as_py()}: {e}") from e
-                payload = samples.tobytes()
-                rows.append((n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples)))
+                bodies.append(body)
+            samples = [s for a, z in _groups([len(x) for x in bodies], 16_384) for s in unfilter_all(bodies[a:z], CHANNELS)]
+            rows = []
+            for n, png, own in zip(b.column(1), data, samples, strict=True):
+                payload = own.tobytes()
+                rows.append((n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(own)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.record_batch({"doc_id": b.column(0)} | {k: pa.array(v, t) for k, v, t in zip(("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "hash"), cols, kinds, strict=True)})

@@ -123,8 +123,23 @@ class PrefixCounter:
         return np.concatenate(out)
 
     def longest_within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most so many tokens."""
-        return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        """Characters of the longest prefix of at most so many tokens.
+
+        Counts at word starts only grow, so whole words are passed over by their counts
+        and prefixes are looked at in the last words that may still fit. Texts with
+        special strings are looked at whole.
+        """
+        if any(special >= 0 for _, special in self.bpe.parts(text)):
+            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+        words = self.bpe.words(text)
+        ends = np.cumsum(self.count(words)) if words else np.zeros(0, np.int64)
+        over = int(np.searchsorted(ends, budget, "right"))  # the first word that does not fit
+        first = max(0, over - 1)
+        while first and words[first - 1].isspace():  # blanks before it may be one word with those that it starts with
+            first -= 1
+        begin, base = sum(map(len, words[:first])), int(ends[first - 1]) if first else 0
+        inner = self.prefixes_plain("".join(words[first : over + 2])) + base
+        return begin + int(np.flatnonzero(inner <= budget)[-1])
 
 
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -135,10 +150,12 @@ def counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for each row.
+    """doc_id, n_bytes, n_tokens, over_limit, n_chars_within for each row.
 
-    Null texts count as empty (0 bytes, 0 tokens, false); repeated rows stay; other
-    columns are left out. One narrow pass.
+    n_chars_within is the length of the longest prefix of at most limit tokens, the
+    whole text's if it is within. Null texts count as empty (0 bytes, 0 tokens, false,
+    0); null ids and repeated rows stay; other columns are left out; an empty table
+    gives an empty result. One narrow pass.
     """
 
     def run(batches):
@@ -146,14 +163,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         for b in batches:
             for start, texts in text_batches(b.column(1)):
                 n = [c.text(t) for t in texts]
-                yield pa.record_batch({id_col: b.column(0).slice(start, len(n)), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n])})
+                yield pa.record_batch({id_col: b.column(0).slice(start, len(n)), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_()), "n_chars_within": pa.array([len(t) if x <= limit else c.longest_within(t, limit) for t, x in zip(texts, n, strict=True)], pa.int64())})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chars_within long")
 
 
 def prefix_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, prefix_tokens: the array whose item k counts the tokens of the first k characters."""
+    """doc_id, prefix_tokens: the array whose item k counts the tokens of the first k characters.
+
+    A null text has one prefix, the empty one; an empty table gives an empty result.
+    """
 
     def run(batches):
         c = counter(path)

@@ -72,7 +72,10 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     """page_id, host, path, rule (or null), verdict of every row.
 
     Null urls have no host: no rule and no link reaches them, they are allowed. A host
-    that neither trust nor distrust reaches is allowed.
+    that neither trust nor distrust reaches is allowed. Null html has no links. Null and
+    repeated ids and repeated rows are judged by their urls; of rules of equal length
+    the blocking one wins; other columns are left out; an empty table gives an empty
+    result.
     """
     host, path = host_and_path(F.col(url_col))
     split = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
@@ -81,9 +84,9 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     score = propagate(stage(host_edges(split.select("host", "html")), "host_edges"), seeds)
     blocked = score.where(F.round("distrust", 12) > BLOCK_RATIO * F.round("trust", 12)).select("host", F.lit("block").alias("host_verdict"))
     # only pages without a rule look their host up, so that a ruled hot host is not dealt to one task
-    keyed = ruled.withColumn("key", F.when(F.col("hit").isNull(), F.col("host")))
-    out = keyed.join(blocked.withColumnRenamed("host", "key"), "key", "left")
-    return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "host_verdict", F.lit("allow")).alias("verdict"))
+    ready = ruled.where("hit is not null").withColumn("host_verdict", F.lit(None).cast("string"))
+    asked = ruled.where("hit is null").join(blocked, "host", "left").select(*ready.columns)
+    return ready.unionByName(asked).select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", "host_verdict", F.lit("allow")).alias("verdict"))
 
 
 def judge_sql(rules=RULES) -> str:

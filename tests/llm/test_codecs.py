@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 import random
 import struct
 import zlib
@@ -78,25 +79,55 @@ def test_prefix_counts_are_exact(texts):
         assert own.longest_within(t, 5) == max(k for k, n in enumerate(want) if n <= 5)
 
 
+LONG = "the long text, word by word " * 45_000  # over a million characters
+
+
 def test_token_count_rows(spark, rows):
     library = Tokenizer.from_file(BYTE)
-    got = token_counts.token_counts(spark.createDataFrame(rows, SCHEMA), BYTE, 8)
-    want = [(r[0], len((r[1] or "").encode()), len(n := library.encode(r[1] or "", add_special_tokens=False).ids), len(n) > 8) for r in rows]
-    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    rows = [*rows, (8_000, LONG, None, None, None, None, None)]
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = token_counts.token_counts(spark.createDataFrame(rows, SCHEMA), BYTE, 8).collect()
+    want = [(r[0], len((r[1] or "").encode()), n := size(r[1] or ""), n > 8) for r in rows]
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == sorted(want, key=repr)
+    texts = {(r[0], len((r[1] or "").encode())): r[1] or "" for r in rows}
+    for r in got:
+        t = texts[r.doc_id, r.n_bytes]
+        fits = [k for k in range(len(t) + 1 if r.doc_id != 8_000 else 80) if size(t[:k]) <= 8]
+        assert r.n_chars_within == fits[-1], repr(t)
     assert token_counts.token_counts(spark.createDataFrame([], SCHEMA), BYTE).count() == 0
-    first = token_counts.prefix_counts(spark.createDataFrame([(1, "ab cd")], "doc_id long, text string"), BYTE).first()
-    assert first[1] == [0, 1, 1, 2, 2, 2] or len(first[1]) == 6
+    first = token_counts.prefix_counts(spark.createDataFrame([(1, "ab cd"), (2, None)], "doc_id long, text string"), BYTE).collect()
+    assert {r[0]: r[1] for r in first} == {1: [size("ab cd"[:k]) for k in range(6)], 2: [0]}
 
 
 def test_codec_rows(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA)
+    rows = [*rows, (8_000, LONG, None, None, None, None, None)]
+    df, library = spark.createDataFrame(rows, SCHEMA), Tokenizer.from_file(BYTE)
     back = bpe_codec.decode(bpe_codec.encode(df, BYTE), BYTE).collect()
     assert sorted((r.doc_id, r.decoded) for r in back if r.doc_id is not None) == sorted((r[0], r[1] or "") for r in rows if r[0] is not None)
-    digest = {(r.doc_id, r.n_tokens, r.decoded_sha256) for r in bpe_codec.round_trip_digest(df, BYTE).collect()}
-    assert (3, 0, hashlib.sha256(b"").hexdigest()) in digest
+    want = []
+    for r in rows:
+        ids = library.encode(r[1] or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        want.append((r[0], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(map(tuple, bpe_codec.round_trip_digest(df, BYTE).collect()), key=repr) == sorted(want, key=repr)
     assert bpe_codec.round_trip_digest(spark.createDataFrame([], SCHEMA), BYTE).count() == 0
 
 
+def test_files_of_other_rules(tmp_path):
+    """A file that splits otherwise is refused, or gets whole texts."""
+    spec = json.loads(open(BYTE, encoding="utf-8").read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "byte.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        bpe.load(str(tmp_path / "byte.json"))
+    spec = json.loads(open(WORD, encoding="utf-8").read())
+    spec["normalizer"]["normalizers"].pop()  # keeps capitals
+    (tmp_path / "word.json").write_text(json.dumps(spec))
+    own, library = huffman.Encoder(str(tmp_path / "word.json"), 2), Tokenizer.from_file(str(tmp_path / "word.json"))
+    for t in ("Hello World's end", "", "ABC abc"):
+        assert np.frombuffer(own.encode([t])[0], own.kind).tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
+
+
 def test_word_encoder_equals_library(texts):
     library, own = Tokenizer.from_file(WORD), huffman.Encoder(WORD, 2)
     for t, ids in zip(texts, own.encode(texts), strict=True):
@@ -190,12 +221,44 @@ def test_cosine_hash_ignores_brightness_and_tells_pictures_apart():
     assert distance(media.cosine_hash(one), media.cosine_hash(other)) > 4
 
 
+def test_rows_filtered_one_by_one_come_back():
+    rng = np.random.default_rng(3)
+    images = []
+    for height in (1, 2, 70, 9000, 3):
+        slope = (np.arange(height)[:, None] * 3 + np.arange(64 * 3)[None, :] * rng.integers(1, 5)).astype(np.uint8)
+        noise = rng.integers(0, 256, slope.shape).astype(np.uint8)
+        images.append(np.where(rng.random((height, 1)) < 0.7, slope + (noise & 3), noise))
+    bodies = [media.filter_rows(x, 3) for x in images]
+    assert set(np.unique(np.concatenate([b[:, 0] for b in bodies]))) >= {1, 2, 3, 4}
+    for x, y in zip(images, media.unfilter_all(bodies, 3), strict=True):
+        assert (x == y).all()
+    png = media.encode_png(images[2].tobytes())
+    assert media.inflate_png(png)[0][:, 0].any()  # filtering wins here
+    assert (media.decode_png(png) == images[2]).all()
+
+
 def test_media_rows(spark, rows):
+    long = (7_000, "long " * 400_000, "en", "x", "y", "z", "w")
+    rows = [*rows, long]
     got = media.media_features(media.store(spark.createDataFrame(rows, SCHEMA))).collect()
-    assert len(got) == len(rows)
-    by_payload = {}
-    for r in got:
-        assert by_payload.setdefault(r.payload_sha256, (r.media_sha256, bytes(r.hash))) == (r.media_sha256, bytes(r.hash))
-    want = {hashlib.sha256(media.pad((r[1] or "").encode())).hexdigest() for r in rows}
-    assert set(by_payload) == want
+    plain = lambda r: (r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, bytes(r.hash))
+    want = []
+    for doc_id, text, *_ in rows:
+        data = (text or "").encode()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        png = media.encode_png(payload)
+        grey = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3).mean(axis=2)
+        small = grey
+        for _ in range(2):  # rows, then columns
+            n = len(small)
+            cut = np.arange(33) * n // 32
+            small = np.stack([small[cut[k] : max(cut[k] + 1, cut[k + 1])].mean(axis=0) for k in range(32)]).T
+        wave = np.array([[np.cos(np.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)])
+        low = np.round(wave @ small @ wave.T, 6).ravel()
+        bits = low > np.median(low[1:])
+        bits[0] = False
+        want.append((doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(png), hashlib.sha256(png).hexdigest(), np.packbits(bits).tobytes()))
+    assert sorted(map(plain, got), key=repr) == sorted(want, key=repr)
     assert media.media_features(media.store(spark.createDataFrame([], SCHEMA))).count() == 0
+    with pytest.raises(Exception, match="document 9"):
+        media.media_features(spark.createDataFrame([(9, 1, bytearray(b"no image"))], "doc_id long, n_bytes long, media binary")).collect()
