@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import bpe_codec, minhash, mixing, toxicity
-from lodestone.llm.common import stage
+from lodestone.llm.common import drop_stage, mark, release, stage
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words of a shingle and the similarity from which documents are near-duplicates.
@@ -21,36 +20,36 @@ SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; labels come from the labels table, by doc_id."""
+    """Documents that score below the threshold; labels come from the labels table, by doc_id.
+
+    Null texts count as empty, rows with a null or repeated doc_id are judged by their texts.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id.
+    """One row of each group of near-duplicates, the one with the smallest doc_id (null last).
 
-    Of several rows of that doc_id in the group, the one with the smallest text. Rows of
-    one doc_id in different groups are judged apart. Documents without words are in no
-    group, but of those with one doc_id one stays. Rows with a null doc_id stay.
+    Rows are judged by their texts, whatever their ids; rows without words are in no
+    group and stay.
     """
-    judged = minhash.judged_rows(docs, words=SHINGLE, percent=PERCENT).where("doc_id is not null")
-    by_text = judged.groupBy("doc_id", "root", F.col("text_hash").alias("_hash")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    by_text = by_text.withColumn("n", F.sum("n").over(Window.partitionBy("doc_id", "root")))
-    by_text = stage(by_text.where("not kept or n > 1"), "judged")
-    rest = docs.withColumn("_hash", F.xxhash64("text")).join(by_text.where("not kept").select("doc_id", "_hash"), ["doc_id", "_hash"], "left_anti")
-    again = by_text.where("kept").select("doc_id", "_hash", "root")
-    first = Window.partitionBy("doc_id", "root").orderBy("text")
-    repeated = rest.join(again, ["doc_id", "_hash"]).withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return rest.join(again, ["doc_id", "_hash"], "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+    return minhash.without_near_duplicates(docs, words=SHINGLE, percent=PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row per document and pass, with the words of the blocks that were drawn."""
+    """What the mix takes: a row per document and pass, with the words of the blocks that were drawn.
+
+    Rows are told apart by a number of their own, so ids may be null or repeated.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the text that they decode to, per row of the mix."""
+    """doc_id, n_tokens and digests of the ids and of the text that they decode to, per row of the mix.
+
+    A null text is encoded as the empty one.
+    """
     return bpe_codec.round_trip_digest(docs, public_tokenizers.path(VOCABULARY))
 
 
@@ -66,7 +65,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; extra columns of documents go along up to it.
+
+    Each stage's output is written, then what the stage wrote on its way and the output
+    before it are deleted. An empty table gives an empty result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, function in STAGES[:-1]:
+        since, before = mark(), docs
         docs = stage(function(spark, docs, sf_dir), name)
+        release(since, keep=[docs])
+        drop_stage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
