@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import columns, components, drop_stage, free_names, sole, stage, text_batches
 
-#: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected; fewer than 32 come once in 50 million pairs.
-COORDINATES, MATCHES = 64, 32
+#: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected; fewer than 36 come once in 236,000 pairs.
+COORDINATES, MATCHES = 64, 36
 #: Turns of hub meetings before the tiles, and the lists in which a member meets a hub in one turn.
 TURNS, MEETINGS = 2, 3
 #: Members of a block; a tile has two.
