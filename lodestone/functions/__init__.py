@@ -36,12 +36,15 @@ def total_tokens(prefix: str = "") -> Column:
 
 
 def tool_kind(tool: Column) -> Column:
-    """mcp for served tools (mcp__server__tool), agent for delegation, else builtin."""
-    return F.when(tool.startswith("mcp__"), "mcp").when(tool.isin("Task", "Agent"), "agent").otherwise("builtin")
+    """mcp for served tools (mcp__server__tool), agent for delegation, skill, else builtin."""
+    return F.when(tool.startswith("mcp__"), "mcp").when(tool.isin("Task", "Agent"), "agent").when(tool == "Skill", "skill").otherwise("builtin")
 
 
 def tool_server(tool: Column) -> Column:
-    return F.when(tool.startswith("mcp__"), F.regexp_extract(tool, r"^mcp__(.*?)(?:__|$)", 1))
+    """What stands between mcp__ and the next __; all that follows mcp__ if nothing stands between."""
+    rest = F.substring(tool, F.lit(6), F.length(tool))
+    end = F.instr(rest, "__")
+    return F.when(tool.startswith("mcp__"), F.when(end > 1, F.substring(rest, F.lit(1), end - 1)).otherwise(rest))
 
 
 def token_estimate(size: Column) -> Column:

@@ -36,10 +36,13 @@ def listing(artifact: DataFrame, providers: list[str] = (), classes: list[str] =
 
 
 def resolve(artifact: DataFrame, blob: DataFrame, what: str) -> DataFrame:
-    """By hash, by hash prefix, or the newest row of an exact path; with the blob's place."""
-    hit = latest(artifact).where(F.col("path") == what) if not all(c in "0123456789abcdef" for c in what) else artifact.where(F.col("sha256").startswith(what))
-    one = hit.groupBy("sha256").agg(F.max_by("path", "id").alias("path"), F.max("id").alias("id"))
-    return one.join(blob.select("sha256", "segment_id", "offset", "size"), "sha256")
+    """By hash or hash prefix; if no hash fits, the newest row of an exact path. With the blob's place."""
+    by_hash = artifact.where(F.col("sha256").startswith(what)).groupBy("sha256").agg(F.max_by("path", "id").alias("path"), F.max("id").alias("id")).withColumn("turn", F.lit(0))
+    newest = artifact.where(F.col("path") == what).agg(F.max_by("sha256", "id").alias("sha256"), F.max("id").alias("id")).where("id is not null")
+    by_path = newest.select("sha256", F.lit(what).alias("path"), "id", F.lit(1).alias("turn"))
+    found = by_hash.unionByName(by_path).join(blob.select("sha256", "segment_id", "offset", "size"), "sha256")
+    first = found.agg(F.min("turn").alias("turn"))  # one row
+    return found.join(F.broadcast(first), "turn").drop("turn")
 
 
 def status(artifact: DataFrame, blob: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,21 +49,48 @@ def plain_text(text: str) -> str:
     return re.sub(r"(\*\*|__|\*|~~)(.+?)\1", r"\2", text).strip()
 
 
+@lru_cache(1)
+def _yaml_loader():
+    """Loads YAML 1.2's core schema: yes, no, on and dates are strings, 012 is twelve."""
+    import yaml
+
+    class Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+        yaml_implicit_resolvers: dict = {}
+
+    def number(loader, node):
+        text = node.value.lower()
+        return int(text, 0) if text.startswith(("0o", "0x")) else int(text)
+
+    def real(loader, node):
+        return float(node.value.lower().replace(".inf", "inf").replace(".nan", "nan"))
+
+    rules = {
+        "bool": (r"true|True|TRUE|false|False|FALSE", "tTfF"),
+        "null": (r"~|null|Null|NULL|", ["~", "n", "N", ""]),
+        "int": (r"[-+]?[0-9]+|0o[0-7]+|0x[0-9a-fA-F]+", "-+0123456789"),
+        "float": (r"[-+]?(?:\.[0-9]+|[0-9]+(?:\.[0-9]*)?)(?:[eE][-+]?[0-9]+)?|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)", "-+0123456789."),
+    }
+    for name, (pattern, first) in rules.items():
+        Core.add_implicit_resolver(f"tag:yaml.org,2002:{name}", re.compile(f"(?:{pattern})\\Z"), list(first))
+    Core.add_constructor("tag:yaml.org,2002:int", number)
+    Core.add_constructor("tag:yaml.org,2002:float", real)
+    return Core
+
+
 def front_matter(lines: list[str]) -> tuple[str, str | None, int]:
     """(missing | malformed | non-mapping | valid, JSON of a mapping, lines that it takes)."""
-    if not lines or lines[0].rstrip() != "---":
+    if not lines or lines[0].removesuffix("\r") != "---":
         return "missing", None, 0
-    end = next((k for k in range(1, len(lines)) if lines[k].rstrip() in ("---", "...")), None)
+    end = next((k for k in range(2, len(lines)) if lines[k].removesuffix("\r").rstrip(" \t") in ("---", "...")), None)
     if end is None:
-        return "missing", None, 0
+        return "malformed", None, 0
     import yaml
 
+    source = "\n".join(lines[1:end])
     try:
-        data = yaml.safe_load("\n".join(lines[1:end]))
-    except yaml.YAMLError:
+        data = yaml.load(source, _yaml_loader()) if source.strip() else {}  # a safe loader
+    except (yaml.YAMLError, ValueError):
         return "malformed", None, end + 1
-    if data is None:
-        data = {}
     if not isinstance(data, dict):
         return "non-mapping", None, end + 1
     return "valid", json.dumps(data, default=str, ensure_ascii=False), end + 1

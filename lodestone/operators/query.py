@@ -124,11 +124,21 @@ def plan(entity: str, where: str | list[str] = (), select: str | None = None, gr
     return out
 
 
+def _steps(name: str, index: bool) -> str:
+    """The path of a dotted name; a step of digits is a place in an array, or else a key."""
+    if "'" in name and '"' in name:
+        raise ValueError(f"{name!r}: a field's name may hold one kind of quotes")
+    quote = '"' if "'" in name else "'"
+    return "$" + "".join(f"[{int(p)}]" if index and p.isdecimal() else f"[{quote}{p}{quote}]" for p in name.split("."))
+
+
 def _values(name: str) -> Column:
     """A frontmatter field as an array of its values; null if it is absent. JSON null is a null item."""
-    v = F.variant_get(F.try_parse_json("frontmatter"), f"$.{name}", "variant")
-    many = F.try_variant_get(F.try_parse_json("frontmatter"), f"$.{name}", "array<string>")
-    one = F.try_variant_get(F.try_parse_json("frontmatter"), f"$.{name}", "string")
+    data = F.try_parse_json("frontmatter")
+    v = F.variant_get(data, _steps(name, True), "variant")
+    if any(p.isdecimal() for p in name.split(".")):
+        v = F.coalesce(v, F.variant_get(data, _steps(name, False), "variant"))
+    many, one = F.try_variant_get(v, "$", "array<string>"), F.try_variant_get(v, "$", "string")
     return F.when(v.isNull(), F.lit(None)).when(F.schema_of_variant(v).startswith("ARRAY"), many).otherwise(F.array(one))
 
 

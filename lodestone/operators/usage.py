@@ -80,7 +80,7 @@ def tools_by(events: DataFrame, by: str, kind: str | None = None) -> DataFrame:
     """key, calls, sessions; optionally of one kind of tool."""
     calls = events.where((F.col("kind") == "tool") & F.col("tool").isNotNull())
     if kind is not None:
-        calls = calls.where(tool_kind(F.col("tool")) == _pick({"mcp": "mcp", "agent": "agent", "builtin": "builtin"}, kind, "kind"))
+        calls = calls.where(tool_kind(F.col("tool")) == _pick({"mcp": "mcp", "agent": "agent", "skill": "skill", "builtin": "builtin"}, kind, "kind"))
     out = calls.groupBy(_pick(TOOL_DIMENSIONS, by, "dimension")().alias("key")).agg(F.count("*").alias("calls"), F.count_distinct(session_key()).alias("sessions"))
     return out.orderBy("key") if by in CHRONOLOGICAL else out.orderBy(F.desc("calls"), "key")
 
@@ -107,10 +107,15 @@ SESSION_SORTS = {
 
 
 def sessions(events: DataFrame, sort: str = "recent") -> DataFrame:
-    """A row per session: files, models, span, tokens. Ties follow provider and session id."""
+    """A row per session: files, models, span, tokens. Ties follow provider and session id.
+
+    The project is the last one that the main transcript names; only if it names none,
+    the first that a subagent's does; else empty.
+    """
     order = _pick(SESSION_SORTS, sort, "sort")
+    named, main, place = F.col("project") != "", F.col("file_kind") == "main", F.struct("ts", "seq")
     out = events.groupBy("provider", "session_id").agg(
-        F.min_by("project", F.struct("ts", "seq")).alias("project"), F.count_distinct(F.when(F.col("file_kind") == "subagent", F.col("file_id"))).alias("subagents"),
+        F.coalesce(F.max_by("project", F.when(named & main, place)), F.min_by("project", F.when(named & ~main, place)), F.lit("")).alias("project"), F.count_distinct(F.when(F.col("file_kind") == "subagent", F.col("file_id"))).alias("subagents"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("models"),
         F.count_if(F.col("kind") == "tool").alias("tool_calls"), *_sums(),
     )

@@ -9,7 +9,7 @@ from lodestone.sources import USAGE_EVENTS_SQL, table, usage_events
 
 SUMS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in U.COUNTERS)
 TOTAL = "CAST(sum(input + output + cache_read + cache_write) AS BIGINT) AS total"
-KIND = "CASE WHEN starts_with(tool, 'mcp__') THEN 'mcp' WHEN tool IN ('Task', 'Agent') THEN 'agent' ELSE 'builtin' END"
+KIND = "CASE WHEN starts_with(tool, 'mcp__') THEN 'mcp' WHEN tool IN ('Task', 'Agent') THEN 'agent' WHEN tool = 'Skill' THEN 'skill' ELSE 'builtin' END"
 SERVER = "CASE WHEN starts_with(tool, 'mcp__') THEN regexp_extract(tool, '^mcp__(.*?)(?:__|$)', 1) ELSE '(none)' END"
 PROJECT = "coalesce(nullif(project, ''), '(unknown)')"
 SESSIONS = "count(DISTINCT (provider, session_id)) AS sessions"
@@ -40,7 +40,7 @@ _SUMMARY = f"""SELECT {SESSIONS}, count(DISTINCT {PROJECT}) AS projects, count(D
   CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day FROM ev"""
 _add("usage_summary", lambda s, d: U.summary(_ev(s, d)), _SUMMARY)
 
-_SESSIONS = f"""SELECT provider, session_id, arg_min(project, (ts, seq)) AS project, count(DISTINCT CASE WHEN file_kind = 'subagent' THEN file_id END) AS subagents,
+_SESSIONS = f"""SELECT provider, session_id, coalesce(arg_max(project, (ts, seq)) FILTER (project <> '' AND file_kind = 'main'), arg_min(project, (ts, seq)) FILTER (project <> '' AND file_kind <> 'main'), '') AS project, count(DISTINCT CASE WHEN file_kind = 'subagent' THEN file_id END) AS subagents,
   min(ts) AS first_ts, max(ts) AS last_ts, coalesce(string_agg(DISTINCT model, ',' ORDER BY model), '') AS models, count(*) FILTER (kind = 'tool') AS tool_calls, {SUMS}, {TOTAL},
   greatest(0, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000) AS duration_ms FROM ev GROUP BY provider, session_id"""
 for _sort, _order in {"recent": "last_ts", "tokens": "total", "tools": "tool_calls", "duration": "duration_ms"}.items():

@@ -75,7 +75,7 @@ _add(
     "md_frontmatter",
     lambda s, d: Q.relation(_parsed(s, d), "frontmatter").select("file", "key", "value", "type"),
     """ SELECT path AS file, 'title' AS key, concat('Title ', i % 50) AS value, 'string' AS type FROM md_docs
-UNION ALL SELECT path, 'lang', CASE WHEN lang = 'no' THEN 'false' ELSE lang END, 'string' FROM md_docs UNION ALL SELECT path, 'n_chars', CAST(n_chars AS VARCHAR), 'number' FROM md_docs
+UNION ALL SELECT path, 'lang', lang, 'string' FROM md_docs UNION ALL SELECT path, 'n_chars', CAST(n_chars AS VARCHAR), 'number' FROM md_docs
 UNION ALL SELECT path, 'owner', CASE WHEN i % 7 = 0 THEN NULL ELSE concat('o', i % 4) END, CASE WHEN i % 7 = 0 THEN 'null' ELSE 'string' END FROM md_docs WHERE i % 5 <> 0
 UNION ALL SELECT path, 'tags', concat('["a","b', i % 6, '"]'), 'array' FROM md_docs WHERE i % 3 = 0""",
 )
