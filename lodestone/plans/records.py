@@ -18,6 +18,8 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 BOTH = f"{W.oracle_lines(0)},{W.oracle_lines(1)}"
 
+_SMALL = "abcdefghijklmnopqrstuvwxyz"
+
 
 def _add(name, query, sql=None):
     QUERIES[name] = query
@@ -84,8 +86,8 @@ def _tree(s, d, shift=0):
 
 _add(
     "tree_compare",
-    lambda s, d: C.tree_compare(_tree(s, d).where("doc_id % 5 <> 0"), _tree(s, d, 1).where("doc_id % 6 <> 0")).where("state <> 'ok'"),
-    "SELECT concat('f', doc_id) AS path, CASE WHEN doc_id % 5 = 0 THEN 'unmanaged' WHEN doc_id % 6 = 0 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 6 = 0) OR (doc_id % 5 <> 0 AND doc_id % 6 <> 0 AND (doc_id % 9 = 0) <> ((doc_id + 1) % 9 = 0))",
+    lambda s, d: C.tree_compare(_tree(s, d).where("doc_id % 5 <> 0"), _tree(s, d, 1).where("doc_id % 10 <> 1")).where("state <> 'ok'"),
+    "SELECT concat('f', doc_id) AS path, CASE WHEN doc_id % 5 = 0 THEN 'unmanaged' WHEN doc_id % 10 = 1 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE doc_id % 5 = 0 OR doc_id % 10 = 1 OR (doc_id % 9 = 0) <> ((doc_id + 1) % 9 = 0)",
 )
 _add(
     "tree_digest",
@@ -94,8 +96,8 @@ _add(
 )
 _add(
     "overlay_merge",
-    lambda s, d: C.overlay(table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", "lang", "n_chars"), table(s, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("top").alias("lang"), (-F.col("n_chars")).alias("n_chars")), ["doc_id"], ["lang", "n_chars"]),
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'top' ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN -n_chars ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    lambda s, d: C.overlay(table(s, d, "documents").select("doc_id", "lang", "n_chars"), table(s, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.lit("top").alias("lang"), (-F.col("n_chars")).alias("n_chars")), ["doc_id"], ["lang", "n_chars"]),
+    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'top' ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN -n_chars ELSE n_chars END AS n_chars FROM documents",
 )
 _add(
     "nearest_wins",
@@ -104,8 +106,10 @@ _add(
 )
 _add(
     "case_collisions",
-    lambda s, d: C.case_collisions(table(s, d, "documents").select(F.substring("text", 1, 3).alias("path")), "path"),
-    "SELECT lower(substr(text, 1, 3)) AS folded, count(DISTINCT substr(text, 1, 3)) AS paths FROM documents GROUP BY 1 HAVING count(DISTINCT substr(text, 1, 3)) > 1",
+    # whole texts stand for paths, each beside itself in capitals if its length is even
+    lambda s, d: C.case_collisions(table(s, d, "documents").select(F.explode(F.array("text", F.when(F.col("n_chars") % 2 == 0, F.translate("text", _SMALL, _SMALL.upper())).otherwise(F.col("text")))).alias("path")), "path"),
+    f"""SELECT lower(path) AS folded, count(DISTINCT path) AS paths
+FROM (SELECT unnest([text, CASE WHEN n_chars % 2 = 0 THEN translate(text, '{_SMALL}', '{_SMALL.upper()}') ELSE text END]) AS path FROM documents) GROUP BY 1 HAVING count(DISTINCT path) > 1""",
 )
 
 
