@@ -123,23 +123,34 @@ class PrefixCounter:
         return np.concatenate(out)
 
     def longest_within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most so many tokens.
+        """Characters of the longest prefix of at most so many tokens."""
+        return self.measured(text, budget)[1]
+
+    def measured(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and the characters of its longest prefix of at most budget tokens.
 
         Counts at word starts only grow, so whole words are passed over by their counts
         and prefixes are looked at in the last words that may still fit. Texts with
         special strings are looked at whole.
         """
         if any(special >= 0 for _, special in self.bpe.parts(text)):
-            return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
+            n = self.text(text)
+            return n, len(text) if n <= budget else int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
         words = self.bpe.words(text)
-        ends = np.cumsum(self.count(words)) if words else np.zeros(0, np.int64)
-        over = int(np.searchsorted(ends, budget, "right"))  # the first word that does not fit
+        counts = self.count(words)
+        n = sum(counts)
+        if n <= budget:
+            return n, len(text)
+        over, base = 0, 0
+        while base + counts[over] <= budget:
+            base += counts[over]
+            over += 1
         first = max(0, over - 1)
         while first and words[first - 1].isspace():  # blanks before it may be one word with those that it starts with
             first -= 1
-        begin, base = sum(map(len, words[:first])), int(ends[first - 1]) if first else 0
+        base -= sum(counts[first:over])
         inner = self.prefixes_plain("".join(words[first : over + 2])) + base
-        return begin + int(np.flatnonzero(inner <= budget)[-1])
+        return n, sum(map(len, words[:first])) + int(np.flatnonzero(inner <= budget)[-1])
 
 
 _BLANK = "\t\n\x0b\x0c\r \x85\xa0                　"
@@ -162,8 +173,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         c = counter(path)
         for b in batches:
             for start, texts in text_batches(b.column(1)):
-                n = [c.text(t) for t in texts]
-                yield pa.record_batch({id_col: b.column(0).slice(start, len(n)), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_()), "n_chars_within": pa.array([len(t) if x <= limit else c.longest_within(t, limit) for t, x in zip(texts, n, strict=True)], pa.int64())})
+                n, within = zip(*[c.measured(t, limit) for t in texts], strict=True)
+                yield pa.record_batch({id_col: b.column(0).slice(start, len(n)), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_()), "n_chars_within": pa.array(within, pa.int64())})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chars_within long")
