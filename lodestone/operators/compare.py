@@ -14,20 +14,28 @@ def pair_by_keys(before: DataFrame, after: DataFrame, within: list[str], passes:
     """Pairs rows of both sides pass by pass: equal keys in order of place; what a pass leaves goes to the next.
 
     Columns: within, o (struct of the old row or null), n (struct of the new row or null), pass (0-based, null if unpaired).
+    Equal rows are told apart by their place, so each is paired once.
     """
-    left, right = before.withColumn("_id", F.struct(*before.columns)), after.withColumn("_id", F.struct(*after.columns))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        row = F.struct(*df.columns)
+        place = F.row_number().over(Window.partitionBy(*within).orderBy(*order, F.to_json(row)))
+        return df.select(*within, *[c for c in dict.fromkeys(c for keys in passes for c in keys) if c not in within], row.alias("_row"), place.alias("_place"))
+
+    left, right = numbered(before), numbered(after)
     out = None
     for k, keys in enumerate(passes):
         on = [*within, *keys]
-        a = _ranked(left, on, order).select(*on, "_n", F.col("_id").alias("o"))
-        b = _ranked(right, on, order).select(*on, "_n", F.col("_id").alias("n"))
+        a = _ranked(left, on, ["_place"]).select(*on, "_n", F.col("_row").alias("o"), F.col("_place").alias("_o"))
+        b = _ranked(right, on, ["_place"]).select(*on, "_n", F.col("_row").alias("n"), F.col("_place").alias("_p"))
         same = [a[c].eqNullSafe(b[c]) for c in on] + [a["_n"] == b["_n"]]
-        hit = a.join(b, same).select(*[a[c] for c in within], "o", "n", F.lit(k).alias("pass"))
+        hit = a.join(b, same).select(*[a[c] for c in within], "o", "n", F.lit(k).alias("pass"), "_o", "_p")
         out = hit if out is None else out.unionByName(hit)
-        left = left.join(hit.select(F.col("o").alias("_id")), "_id", "left_anti").select(left.columns)
-        right = right.join(hit.select(F.col("n").alias("_id")), "_id", "left_anti").select(right.columns)
-    gone = left.select(*within, F.col("_id").alias("o"), F.lit(None).cast(out.schema["n"].dataType).alias("n"), F.lit(None).cast("int").alias("pass"))
-    come = right.select(*within, F.lit(None).cast(out.schema["o"].dataType).alias("o"), F.col("_id").alias("n"), F.lit(None).cast("int").alias("pass"))
+        left = left.join(hit.select(*within, F.col("_o").alias("_place")), [*within, "_place"], "left_anti").select(left.columns)
+        right = right.join(hit.select(*within, F.col("_p").alias("_place")), [*within, "_place"], "left_anti").select(right.columns)
+    out = out.drop("_o", "_p")
+    gone = left.select(*within, F.col("_row").alias("o"), F.lit(None).cast(out.schema["n"].dataType).alias("n"), F.lit(None).cast("int").alias("pass"))
+    come = right.select(*within, F.lit(None).cast(out.schema["o"].dataType).alias("o"), F.col("_row").alias("n"), F.lit(None).cast("int").alias("pass"))
     return out.unionByName(gone).unionByName(come)
 
 

@@ -13,7 +13,7 @@ import re
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = """path string, n_lines int, frontmatter_status string, frontmatter string, frontmatter_end int, words int, paragraphs int, lists int,
@@ -22,7 +22,8 @@ links array<struct<line:int,text:string,target:string,image:boolean,external:boo
 tasks array<struct<line:int,checked:boolean,text:string>>,
 code_blocks array<struct<line:int,end_line:int,language:string,meta:string,content:string>>,
 tables array<struct<line:int,end_line:int,n_columns:int,n_rows:int,headers:array<string>,align:array<string>>>,
-math array<struct<line:int,end_line:int>>"""
+math array<struct<line:int,end_line:int>>,
+tree array<struct<line:int,depth:int,text:string,slug:string,parent:string,parents:array<string>,ordinal:int,last_line:int>>"""
 
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^\s`]*)\s*([^`]*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -100,6 +101,24 @@ def _cells(line: str) -> list[str]:
     return [c.strip() for c in re.split(r"(?<!\\)\|", line.strip().strip("|"))]
 
 
+def _tree(headings: list[dict], n_lines: int) -> list[dict]:
+    """The headings nested by depth: parent (slug), parents (texts from the top), ordinal among siblings, last line with all below.
+
+    A depth that is skipped gets no level of its own.
+    """
+    out: list[dict] = []
+    above: list[dict] = []  # the open headings, of growing depth
+    for h in headings:
+        before = None
+        while above and above[-1]["depth"] >= h["depth"]:
+            before = above.pop()
+            before["last_line"] = h["line"] - 1
+        ordinal = before["ordinal"] + 1 if before and before["depth"] == h["depth"] else 0
+        out.append(h | {"parent": above[-1]["slug"] if above else None, "parents": [x["text"] for x in above], "ordinal": ordinal, "last_line": n_lines})
+        above.append(out[-1])
+    return out
+
+
 def parse(content: str) -> dict:
     lines = content.split("\n")
     status, data, start = front_matter(lines)
@@ -216,7 +235,7 @@ def parse(content: str) -> dict:
             external = bool(_EXTERNAL.match(target))
             out["links"].append({"line": at + 1, "text": text, "target": target, "image": bool(bang), "external": external, "anchor": target.startswith("#"), "kind": kind})
     out["links"].sort(key=lambda x: x["line"])
-    return out | {"words": words, "paragraphs": paragraphs, "lists": lists}
+    return out | {"words": words, "paragraphs": paragraphs, "lists": lists, "tree": _tree(out["headings"], len(lines))}
 
 
 def parse_documents(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -233,7 +252,7 @@ def parse_documents(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             t = pa.RecordBatch.from_pylist(rows, schema)
             yield pa.RecordBatch.from_arrays([*t.columns, *b.columns[2:]], names=[*names, *[f.name for f in kept]])
 
-    return raw.select("path", "content", *[f.name for f in kept]).mapInArrow(run, ddl)
+    return raw.select("path", "content", *[F.col(f.name).alias(f"_keep{k}") for k, f in enumerate(kept)]).mapInArrow(run, ddl)
 
 
 def _arrow() -> pa.Schema:
@@ -248,6 +267,7 @@ def _arrow() -> pa.Schema:
             ("code_blocks", rows(("line", i), ("end_line", i), ("language", s), ("meta", s), ("content", s))),
             ("tables", rows(("line", i), ("end_line", i), ("n_columns", i), ("n_rows", i), ("headers", pa.list_(s)), ("align", pa.list_(s)))),
             ("math", rows(("line", i), ("end_line", i))),
+            ("tree", rows(("line", i), ("depth", i), ("text", s), ("slug", s), ("parent", s), ("parents", pa.list_(s)), ("ordinal", i), ("last_line", i))),
         ]
     )
 
@@ -286,18 +306,93 @@ def sections(parsed: DataFrame) -> DataFrame:
 
 def outline(parsed: DataFrame, max_depth: int = 6) -> DataFrame:
     """path, line, depth, slug, parent: the last heading before it of a smaller depth."""
-    shown = parsed.select("path", F.filter("headings", lambda h: h["depth"] <= max_depth).alias("h"))
-    rows = shown.select("path", "h", F.explode("h").alias("x"))
-    above = F.filter("h", lambda y: (y["line"] < F.col("x.line")) & (y["depth"] < F.col("x.depth")))
-    # the nearest smaller depth before it: the last of those above
-    return rows.select("path", "x.line", "x.depth", "x.slug", F.when(F.size(above) > 0, F.element_at(above, -1)["slug"]).alias("parent"))
+    shown = F.filter("tree", lambda h: h["depth"] <= max_depth)
+    return parsed.select("path", F.explode(shown).alias("x")).select("path", "x.line", "x.depth", "x.slug", "x.parent")
+
+
+def outline_tree(parsed: DataFrame, max_depth: int = 6) -> DataFrame:
+    """outline() with text, parents (texts from the top), ordinal among siblings and last_line."""
+    shown = F.filter("tree", lambda h: h["depth"] <= max_depth)
+    return parsed.select("path", F.explode(shown).alias("x")).select("path", "x.*")
 
 
 def subtree_end(parsed: DataFrame) -> DataFrame:
     """path, slug, line, last_line: a section with all below it ends before the next heading of its depth or less."""
-    rows = parsed.select("path", "n_lines", "headings", F.explode("headings").alias("x"))
-    after = F.filter("headings", lambda y: (y["line"] > F.col("x.line")) & (y["depth"] <= F.col("x.depth")))
-    return rows.select("path", "x.slug", "x.line", F.coalesce(F.get(after, F.lit(0))["line"] - 1, F.col("n_lines")).alias("last_line"))
+    return parsed.select("path", F.explode("tree").alias("x")).select("path", "x.slug", "x.line", "x.last_line")
+
+
+def _slice(first: Column, last: Column) -> Column:
+    """Lines first to last of the column content, 1-based."""
+    return F.array_join(F.slice(F.split("content", "\n"), first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
+def find_section(parsed: DataFrame, heading: str, children: bool = True, include_heading: bool = True) -> DataFrame:
+    """path, slug, depth, start_line, end_line, content of each document's first section of that heading.
+
+    A heading is met by its text, whatever the case, or by the slug that the name has. Without
+    children the section ends before the next heading of any depth. parsed holds content
+    (``parse_documents(raw, keep=("content",))``); documents without such a heading give no row.
+    """
+    hit = lambda h: (F.lower(h["text"]) == heading.lower()) | (h["slug"] == slug_of(heading))
+    first = F.get(F.filter("tree", hit), F.lit(0))
+    rows = parsed.select("path", "content", "n_lines", "tree", first.alias("x")).where("x is not null")
+    following = F.get(F.filter("tree", lambda h: h["line"] > F.col("x.line")), F.lit(0))["line"] - 1
+    end = F.col("x.last_line") if children else F.coalesce(following, F.col("n_lines"))
+    start = F.col("x.line") + (0 if include_heading else 1)
+    return rows.select("path", "x.slug", "x.depth", start.alias("start_line"), end.alias("end_line"), _slice(start, end).alias("content"))
+
+
+def section_bodies(parsed: DataFrame) -> DataFrame:
+    """path, line, body of every heading below the frontmatter: what stands up to the next heading, without line ends' \\r.
+
+    parsed holds content.
+    """
+    lines = F.split("content", "\n")
+    heads = F.filter("headings", lambda h: h["line"] > F.col("frontmatter_end"))
+    rows = parsed.select("path", "n_lines", lines.alias("l"), heads.alias("h"))
+    ends = F.transform("h", lambda x, k: F.coalesce(F.get("h", k + 1)["line"] - 1, F.col("n_lines")))
+    # each body is cut on the document's row, so that no heading carries the whole text
+    body = F.transform(F.arrays_zip(F.col("h"), ends.alias("e")), lambda z: F.struct(z["h"]["line"].alias("line"), F.replace(F.array_join(F.slice("l", z["h"]["line"] + 1, z["e"] - z["h"]["line"]), "\n"), F.lit("\r\n"), F.lit("\n")).alias("body")))
+    return rows.select("path", F.explode(body).alias("x")).select("path", "x.*")
+
+
+def link_type(image: Column, external: Column, anchor: Column) -> Column:
+    """image, external, anchor or internal: the first that holds."""
+    return F.when(image, "image").when(external, "external").when(anchor, "anchor").otherwise("internal")
+
+
+def link_listing(parsed: DataFrame, files: DataFrame, types: tuple[str, ...] = (), broken_only: bool = False) -> DataFrame:
+    """path, line, text, target, type, exists, context of all links.
+
+    files has the path of every file there is, documents and others. exists is null for
+    external and anchor links. context is the link's line, trimmed; parsed holds content.
+    """
+    withs = parsed.select("path", "links", F.split("content", "\n").alias("l"))
+    context = lambda x: F.regexp_replace(F.coalesce(F.get("l", x["line"] - 1), F.lit("")), r"^\s+|\s+$", "")
+    rows = withs.select("path", F.explode(F.transform("links", lambda x: F.struct(x.alias("x"), context(x).alias("context")))).alias("r")).select("path", "r.x.*", "r.context")
+    rows = rows.withColumn("type", link_type(F.col("image"), F.col("external"), F.col("anchor")))
+    if types:
+        rows = rows.where(F.col("type").isin(*types))
+    local = ~F.col("external") & ~F.col("anchor")
+    known = files.select(F.col("path").alias("resolved")).distinct().withColumn("_there", F.lit(True))
+    out = resolved(rows).join(known, "resolved", "left").withColumn("exists", F.when(local, F.coalesce("_there", F.lit(False))))
+    if broken_only:
+        out = out.where("not exists")
+    return out.select("path", "line", "text", "target", "type", "exists", "context")
+
+
+def references(parsed: DataFrame, files: DataFrame, external: bool = False, anchors: bool = False, images: bool = False) -> DataFrame:
+    """link_listing() of document links; external, anchor and image links only on demand."""
+    off = [name for name, on in (("external", external), ("anchor", anchors), ("image", images)) if not on]
+    kept = parsed.withColumn("links", F.filter("links", lambda x: ~((x["external"] & F.lit("external" in off)) | (x["anchor"] & F.lit("anchor" in off)) | (x["image"] & F.lit("image" in off)))))
+    return link_listing(kept, files)
+
+
+def table_at(parsed: DataFrame, index: int) -> DataFrame:
+    """The table of each document at a place, counted from 1; documents with fewer give no row."""
+    if index < 1:
+        raise ValueError(f"tables are counted from 1, not {index}")
+    return parsed.select("path", F.get("tables", F.lit(index - 1)).alias("x")).where("x is not null").select("path", "x.*")
 
 
 def toc(parsed: DataFrame) -> DataFrame:

@@ -142,6 +142,16 @@ def _values(name: str) -> Column:
     return F.when(v.isNull(), F.lit(None)).when(F.schema_of_variant(v).startswith("ARRAY"), many).otherwise(F.array(one))
 
 
+def frontmatter_value(parsed: DataFrame, name: str) -> DataFrame:
+    """path, state, value of a dotted key: ok, absent, or missing, malformed, non-mapping as the header is. Objects and lists are given as JSON."""
+    data = F.try_parse_json("frontmatter")
+    v = F.variant_get(data, _steps(name, True), "variant")
+    if any(p.isdecimal() for p in name.split(".")):
+        v = F.coalesce(v, F.variant_get(data, _steps(name, False), "variant"))
+    state = F.when(F.col("frontmatter_status") != "valid", F.col("frontmatter_status")).when(v.isNull(), "absent").otherwise("ok")
+    return parsed.select("path", state.alias("state"), F.try_variant_get(v, "$", "string").alias("value"))
+
+
 def _compare(x: Column, op: str, operand: object, dynamic: bool, kind: str) -> Column:
     if op == "~":
         return F.coalesce(F.contains(F.lower(x.cast("string")), F.lit(str(operand).lower())), F.lit(False))
