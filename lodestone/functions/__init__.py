@@ -87,3 +87,30 @@ def entropy(text: Column) -> Column:
     n = F.size(chars)
     p = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
     return F.coalesce(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - p(c) * F.log2(p(c))), F.lit(0.0))
+
+
+def pdf_date(value: Column) -> Column:
+    """A page format's date (D:YYYYMMDDHHmmSS+HH'mm', all but the year optional) as a UTC timestamp; null if it is none."""
+    part = lambda k: F.regexp_extract(value, r"^D:(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:(Z)|([+-])(\d{2})'?(\d{2})'?)?", k)
+    number = lambda k, default: F.coalesce(F.nullif(part(k), F.lit("")).cast("int"), F.lit(default))
+    # months, days and hours beyond their range run over into the next
+    first = F.make_date(number(1, 0), F.lit(1), F.lit(1))
+    day = F.date_add(F.add_months(first, number(2, 1) - 1), number(3, 1) - 1)
+    seconds = number(4, 0) * 3600 + number(5, 0) * 60 + number(6, 0)
+    offset = F.when(part(8) == "", 0).otherwise((number(9, 0) * 60 + number(10, 0)) * 60 * F.when(part(8) == "-", -1).otherwise(1))
+    return F.when(part(1) != "", F.timestamp_seconds(F.unix_date(day).cast("long") * 86400 + seconds - offset))
+
+
+def percent_encode(text: Column) -> Column:
+    """Percent escapes of all but letters, digits and -_.!~*'()."""
+    out = F.url_encode(text)
+    for code, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
+def replace_fragment(target: Column, fragment: Column) -> Column:
+    """A target with another fragment, percent-escaped if the old one was; a target without any stays as it is."""
+    at = F.instr(target, "#")
+    escaped = F.contains(F.substring(target, at + 1, F.length(target)), F.lit("%"))
+    return F.when(at > 0, F.concat(F.substring(target, F.lit(1), at), F.when(escaped, percent_encode(fragment)).otherwise(fragment))).otherwise(target)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone import functions as fn
 from lodestone.operators import diffs as D
+from lodestone.operators import edits as X
 from lodestone.operators import extract as E
 from lodestone.operators import query as Q
-from lodestone.sources import table
+from lodestone.sources import files, sinks, table
 from lodestone.sources import workspace as W
 
 QUERIES: dict = {}
@@ -128,3 +130,61 @@ _add(
     lambda s, d: Q.frontmatter_value(W.parsed(table(s, d, "documents")), "tags.1"),
     " SELECT path, CASE WHEN i % 3 = 0 THEN 'ok' ELSE 'absent' END AS state, CASE WHEN i % 3 = 0 THEN concat('b', i % 6) END AS value FROM md_docs",
 )
+
+
+# Snapshots, edit plans, sinks: whole texts of documents as files.
+def _snapshots(s, d):
+    docs = table(s, d, "documents").where("doc_id is not null")
+    name = F.col("doc_id").cast("string")
+    before = docs.select(F.concat(F.lit("f"), name).alias("path"), F.col("text").alias("content"))
+    path = F.concat(F.when(F.col("doc_id") % 13 == 0, "g").otherwise("f"), name)
+    return before, docs.select(path.alias("path"), F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"))
+
+
+QUERIES["file_changes"] = lambda s, d: files.changes_between(*_snapshots(s, d))
+ORACLE_SQL["file_changes"] = """WITH b AS (SELECT concat('f', doc_id) AS path, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+a AS (SELECT concat(CASE WHEN doc_id % 13 = 0 THEN 'g' ELSE 'f' END, doc_id) AS path, coalesce(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+gone AS (SELECT path, t, row_number() OVER (PARTITION BY t ORDER BY path) AS n FROM b WHERE path NOT IN (SELECT path FROM a)),
+come AS (SELECT path, t, row_number() OVER (PARTITION BY t ORDER BY path) AS n FROM a WHERE path NOT IN (SELECT path FROM b))
+SELECT path, path AS old_path, 'M' AS status FROM a JOIN b USING (path) WHERE a.t <> b.t
+UNION ALL SELECT coalesce(come.path, gone.path), gone.path, CASE WHEN gone.path IS NULL THEN 'A' WHEN come.path IS NULL THEN 'D' ELSE 'R' END FROM gone FULL JOIN come ON gone.t = come.t AND gone.n = come.n"""
+
+
+def _planned(s, d):
+    docs = table(s, d, "documents").where("doc_id is not null and text is not null")
+    i, name = F.col("doc_id"), F.concat(F.lit("w/"), F.col("doc_id").cast("string"))
+    snapshots = docs.where(i % 10 != 7).select(name.alias("file"), F.col("text").alias("content"))
+    wrong = F.when(i % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.substring("text", 1, 5))
+    one = docs.select(F.when(i % 9 == 0, F.concat(F.lit("a/../../"), name)).otherwise(name).alias("file"), F.lit(0).alias("start"), F.lit(5).alias("end"), wrong.alias("expected"), F.lit("").alias("value"), F.lit("r1").alias("rule"))
+    start = F.when(i % 4 == 0, 3).otherwise(5)
+    two = docs.select(name.alias("file"), start.alias("start"), F.lit(9).alias("end"), F.substring("text", start + 1, F.lit(9) - start).alias("expected"), F.lit("").alias("value"), F.lit("r0").alias("rule"))
+    return one.unionByName(two), snapshots
+
+
+QUERIES["edit_conflicts"] = lambda s, d: X.conflicts(*_planned(s, d)).withColumn("rules", F.array_join("rules", ","))
+ORACLE_SQL["edit_conflicts"] = """WITH e AS (SELECT doc_id AS i, CASE WHEN doc_id % 9 = 0 THEN concat('a/../../w/', doc_id) ELSE concat('w/', doc_id) END AS one, concat('w/', doc_id) AS two, CASE WHEN doc_id % 4 = 0 THEN 3 ELSE 5 END AS start FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT one AS file, CASE WHEN i % 9 = 0 THEN 'outside-workspace' WHEN i % 10 = 7 THEN 'stale-input' ELSE 'expectation-mismatch' END AS kind, 0 AS start, 5 AS "end", 'r1' AS rules FROM e WHERE i % 9 = 0 OR i % 10 = 7 OR i % 6 = 0
+UNION ALL SELECT two, 'stale-input', start, 9, 'r0' FROM e WHERE i % 10 = 7
+UNION ALL SELECT two, 'overlap', start, 9, 'r0,r1' FROM e WHERE i % 9 <> 0 AND i % 10 <> 7 AND i % 6 <> 0 AND i % 4 = 0"""
+
+
+def _log(s, d):
+    listed = E.link_listing(_content(s, d), _files(s, d), broken_only=True)
+    logs = sinks.sarif(listed.select(F.col("path").alias("file"), "line", F.concat(F.lit("broken-"), "type").alias("checker"), F.concat(F.lit("no file "), "target").alias("message")), {"broken-internal": "error"})
+    first = lambda path: F.get_json_object("value", f"$.runs[0].results[0].{path}")
+    return logs.select("file", F.json_array_length(F.get_json_object("value", "$.runs[0].results")).alias("results"), first("level").alias("level"), first("message.text").alias("message"), first("locations[0].physicalLocation.region.startLine").cast("int").alias("line"))
+
+
+_add(
+    "findings_log",
+    _log,
+    f""", f AS (SELECT * FROM ({_LISTED}) WHERE NOT exists)
+SELECT path AS file, CAST(count(*) AS INTEGER) AS results, arg_min(CASE type WHEN 'internal' THEN 'error' ELSE 'warning' END, line) AS level, concat('no file ', arg_min(target, line)) AS message, min(line) AS line FROM f GROUP BY path""",
+)
+QUERIES["json_rows"] = lambda s, d: sinks.enveloped(table(s, d, "supplier").select("s_suppkey", "s_name"), "suppliers")
+ORACLE_SQL["json_rows"] = f"""SELECT concat('{{"schemaVersion":"1.0","tool":{{"name":"{sinks.TOOL}","version":"{sinks.__version__}"}},"command":"suppliers","ok":true,"exitCode":0,"schema":null,"data":{{"s_suppkey":', s_suppkey, ',"s_name":"', s_name, '"}}}}') AS value FROM supplier"""
+_add(
+    "link_fragments",
+    lambda s, d: E.rows_of(W.parsed(table(s, d, "documents")), "links").select("path", "line", fn.replace_fragment(F.col("target"), F.lit("a b")).alias("target")),
+    " SELECT path, line, regexp_replace(target, '#.*$', '#a b') AS target FROM md_links",
+)
