@@ -97,7 +97,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """df with sums over the rows before each one in a total order, without one window over all rows.
+    """df with sums over the rows before each one in a total order, without one window over all rows; a stage table.
 
     Rows are dealt by range; sums run within parts, and over one row per part.
     """
@@ -109,7 +109,9 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> Data
     totals = totals.select(part, *[F.coalesce(F.sum(i).over(before.orderBy(part)), F.lit(0)).alias(i) for i in inner])  # a row per part
     within = before.partitionBy(part).orderBy(*order)
     out = ranged.withColumns({n: F.coalesce(F.sum(n).over(within), F.lit(0)) for n in names}).join(F.broadcast(totals), part)
-    return out.withColumns({n: F.col(n) + F.col(i) for n, i in zip(names, inner, strict=True)}).drop(part, *inner)
+    out = stage(out.withColumns({n: F.col(n) + F.col(i) for n, i in zip(names, inner, strict=True)}).drop(part, *inner), "sums")
+    drop_stage(ranged)
+    return out
 
 
 _held: dict = {}

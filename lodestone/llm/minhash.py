@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import columns, components, drop_stage, free_names, sole, stage, text_batches
 
-#: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected; fewer than 36 come once in 236,000 pairs.
-COORDINATES, MATCHES = 64, 36
+#: Signature length and the collisions that make a candidate: at a similarity of 0.8, 51 of 64 are expected; fewer than 32 come once in 50 million pairs.
+COORDINATES, MATCHES = 64, 32
 #: Turns of hub meetings before the tiles, and the lists in which a member meets a hub in one turn.
 TURNS, MEETINGS = 2, 3
 #: Members of a block; a tile has two.
@@ -230,7 +230,7 @@ def _similar(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndar
 
 
 def _tiled(posts: DataFrame, classes: DataFrame, sets: DataFrame, matches: int, percent: int, tile: int) -> DataFrame:
-    """Links between components within posting lists: of each tile as many as join its components, confirmed.
+    """Links between components within posting lists, a stage table: of each tile as many as join its components, confirmed.
 
     First only those members are told that have a candidate in their tile; just they
     bring their full sets.
@@ -264,7 +264,10 @@ def _tiled(posts: DataFrame, classes: DataFrame, sets: DataFrame, matches: int,
                 b.append(max(key[x], key[y]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return stage(kept, "kept").join(sets, "key").groupBy("c", "v", "i", "j").applyInArrow(link, "a binary, b binary").distinct()
+    kept = stage(kept, "kept")
+    links = stage(kept.join(sets, "key").groupBy("c", "v", "i", "j").applyInArrow(link, "a binary, b binary").distinct(), "links")
+    drop_stage(kept)
+    return links
 
 
 def judged_rows(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COORDINATES, matches: int = MATCHES, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +308,7 @@ def judged_rows(docs: DataFrame, words: int = 5, percent: int = 80, k: int = COO
             new = stage(confirmed(pairs, sets, percent), "links")
             drop_stage(pairs)
         else:
-            new = stage(_tiled(now, classes, sets, matches, percent, tile), "links")
+            new = _tiled(now, classes, sets, matches, percent, tile)
         parts.append(new)
         links = new if links is None else links.unionByName(new)
         if roots is not None:

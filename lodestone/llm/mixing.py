@@ -12,15 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stage, free_names, running, stage
+from lodestone.llm.common import drop_stage, free_names, mark, release, running, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words a block, slots a shard, times that a source may be used, rounds of the permutations (with 12, counts a shard strayed 2.8 times as far as a fair draw; with 24, 1.1 times), seed.
 BLOCK, SHARD, MOST_PASSES, ROUNDS, SEED = 128, 1024, 3, 24, 20
 #: Rounds of a permutation that are planned together.
 STEPS = 8
-#: Slots that one task draws.
-SLOTS_TASK = 1 << 16
+#: Slots that one task draws: the second number, or fewer, down to the first, while there are cores without work.
+SLOTS_TASK = (1 << 16, 1 << 22)
 _M = 2147483647
 
 
@@ -62,7 +62,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     slots, base. uses: rank, block, uses of it in the mix, for blocks that are used.
     A null text has size 0; null is a source, the last one; repeated rows count apiece.
     """
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     row = ["row"] if row_col else []
     sizes = stage(docs.select(*[F.col(row_col).alias(c) for c in row], F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie")), "sizes")
     order = [F.col("source").asc_nulls_last(), "doc_id", "size", "tie"]
@@ -79,9 +79,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     placed = placed.join(parts, same).select(*row, placed["source"], "doc_id", "size", (F.col("part_first") + F.col("inner")).alias("first"))
     ranks = by_source.select("source", "rank")
     placed = placed.join(ranks, placed["source"].eqNullSafe(ranks["source"])).select(*row, "doc_id", placed["source"], "size", "rank", "first")
-    documents = stage(placed, "placed")
-    drop_stage(ranged)
-    return documents, by_source, stage(_uses(spark, by_source), "uses")
+    documents, uses = stage(placed, "placed"), stage(_uses(spark, by_source), "uses")
+    release(since, keep=[documents, by_source, uses])
+    return documents, by_source, uses
 
 
 def _targets(sizes: DataFrame) -> DataFrame:
@@ -117,7 +117,9 @@ def draws(spark, by_source: DataFrame) -> DataFrame:
     total = by_source.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]
     width = max(1, total // 4096)
     owners = by_source.where("slots > 0").select("rank", "blocks", "slots", "base", F.explode(F.sequence(F.floor(F.col("base") / width), F.floor((F.col("base") + F.col("slots") - 1) / width))).alias("bucket"))
-    slots = spark.range(0, total, 1, -(-total // SLOTS_TASK) or 1).select(F.col("id").alias("slot"), F.floor(F.col("id") / SHARD).alias("shard"))
+    least, most = SLOTS_TASK
+    tasks = max(-(-total // most), min(-(-total // least), 4 * spark.sparkContext.defaultParallelism), 1)
+    slots = spark.range(0, total, 1, tasks).select(F.col("id").alias("slot"), F.floor(F.col("id") / SHARD).alias("shard"))
     slots = with_permuted(slots, "slot", f"{max(1, total)}L", f"{SEED}L", "at")
     placed = slots.withColumn("bucket", F.floor(F.col("at") / width))
     hit = placed.join(owners, (placed["bucket"] == owners["bucket"]) & (F.col("at") >= F.col("base")) & (F.col("at") < F.col("base") + F.col("slots")))

@@ -21,18 +21,14 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import sole, text_batches
 
 BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
-#: Words in a window; passes over whole documents, then over worst windows.
-WINDOW, WHOLE_PASSES, WINDOW_PASSES, RATE = 24, 3, 9, 0.1
-#: The windows of a small sample are passed more often, up to so many steps.
-LEAST_STEPS = 40_000
+#: Words in a window; steps on whole documents, then on worst windows, the same at every size; rate of the first.
+WINDOW, STEPS, RATE = 24, (2_000, 40_000), 0.1
 #: The training sample: at most so many labelled ids of each label, lowest hash first, one row each.
 MOST_TOXIC, MOST_CLEAN = 2_000, 6_000
 #: Bytes of text in the sample: rows are taken in that order while they fit; one that does not is left out whole.
 MOST_BYTES = 64_000_000
-#: Of the sample, one row in so many sets where scores cross the threshold; a false alarm weighs as so many misses.
-ASIDE, THRESHOLD, ALARM = 5, 0.3, 3.0
-#: With fewer of either label aside, nothing is put aside and the border is set by the rows learnt from.
-LEAST_ASIDE = 20
+#: Where scores cross the threshold is set by scores that each half of the sample gets from a model of the other half; a false alarm weighs as so many misses.
+HALVES, THRESHOLD, ALARM = 2, 0.3, 3.0
 #: Words after which a worker's memory of scores starts anew.
 KEPT_WORDS = 250_000
 _WORD = re.compile(r"\w+")
@@ -99,22 +95,26 @@ def worst_window(scores: np.ndarray, size: int = WINDOW) -> tuple[float, int, in
     return float(mean[k]), k, k + size
 
 
-def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
-    """Joint training of embeddings and softmax; without both labels, a constant model."""
+def halves(labels: list[int], seed: int = 5) -> np.ndarray:
+    """Which half each row is in: of each label as many in either, give or take one."""
+    y, out = np.array(labels, int), np.zeros(len(labels), int)
+    order = np.random.default_rng(seed).permutation(len(y))
+    for label in (0, 1):
+        out[order[y[order] == label]] = np.arange(int((y == label).sum())) % HALVES
+    return out
+
+
+def learn(texts: list[str], labels: list[int], seed: int = 5, steps: tuple[int, int] = STEPS) -> Model:
+    """Joint training of embeddings and softmax, with no border set; without both labels, a constant model."""
     y = np.array(labels)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 6.0 if share else -6.0)
     rng = np.random.default_rng(seed)
     names: dict[str, int] = {}
-    all_ids = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
+    ids = [np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int32) for t in texts]
     if not names:
         return Model(np.zeros(BUCKETS), -6.0)
-    aside = rng.permutation(len(y)) % ASIDE == 0
-    judged = aside.copy()
-    if min(np.bincount(y[aside], minlength=2)) < LEAST_ASIDE:  # too few to set anything by
-        aside[:], judged[:] = False, True
-    ids, own_y = [own for own, a in zip(all_ids, aside, strict=True) if not a], y[~aside]
     news = [fresh(own).astype(np.float32) for own in ids]
     every = list(names)
     parts = [gram_buckets(every[k : k + 20_000]) for k in range(0, len(every), 20_000)]  # small parts bound the memory
@@ -123,39 +123,70 @@ def train(texts: list[str], labels: list[int], seed: int = 5) -> Model:
     embed = np.zeros((BUCKETS, DIM))  # so that n-grams never seen say nothing
     soft, bias = np.zeros((2, DIM)), np.zeros(2)
     soft[1] = rng.normal(0, 0.5, DIM)
-    whole = WHOLE_PASSES
-    passes = whole + max(WINDOW_PASSES, round(LEAST_STEPS / len(ids)))
-    for p in range(passes):
-        rate = RATE * (1 - p / passes)
-        by_word = np.add.reduceat((embed @ (soft[1] - soft[0]))[grams], start) / count
-        for d in rng.permutation(len(ids)):
-            own = ids[d]
-            if not len(own):
-                continue
-            if p >= whole:
-                _, a, b = worst_window(by_word[own] * news[d])
-                own = own[a:b]
-            uniq, times = np.unique(own, return_counts=True)
-            if p >= whole:
-                times = np.ones(len(uniq))
-            size = count[uniq]
-            at = np.repeat(start[uniq] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            bucket = grams[at]
-            part = np.repeat(times / len(own) / size, size)
-            mean = part @ embed[bucket]
-            z = soft @ mean + bias
-            q = np.exp(z - z.max())
-            q /= q.sum()
-            q[own_y[d]] -= 1  # gradient at the softmax's input
-            step = rate * (q @ soft)
-            soft -= rate * np.outer(q, mean)
-            bias -= rate * 0.1 * q
-            # a bucket's step follows its share, scaled up as in sparse bags
-            np.subtract.at(embed, bucket, np.outer(part * len(own), step))
-    model = Model(embed @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
-    by_word = np.add.reduceat(model.weight[grams], start) / count
-    raw = np.array([worst_window(by_word[own] * fresh(own))[0] for own, j in zip(all_ids, judged, strict=True) if j])
-    return Model(model.weight, float(np.log(THRESHOLD / (1 - THRESHOLD))) - _border(raw, y[judged]))
+    by_word = np.zeros(len(every))
+    whole, total = steps[0], sum(steps)
+    for p in range(total):
+        turn = p % len(ids)
+        if turn == 0:
+            order = rng.permutation(len(ids))
+        if turn == 0 or p == whole:
+            by_word = np.add.reduceat((embed @ (soft[1] - soft[0]))[grams], start) / count
+        d = order[turn]
+        own, windowed = ids[d], p >= whole
+        if not len(own):
+            continue
+        if windowed:
+            _, a, b = worst_window(by_word[own] * news[d])
+            own = own[a:b]
+        uniq, times = np.unique(own, return_counts=True)
+        if windowed:
+            times = np.ones(len(uniq))
+        size = count[uniq]
+        at = np.repeat(start[uniq] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        bucket = grams[at]
+        part = np.repeat(times / len(own) / size, size)
+        mean = part @ embed[bucket]
+        z = soft @ mean + bias
+        q = np.exp(z - z.max())
+        q /= q.sum()
+        q[y[d]] -= 1  # gradient at the softmax's input
+        rate = RATE * (1 - p / total)
+        step = rate * (q @ soft)
+        soft -= rate * np.outer(q, mean)
+        bias -= rate * 0.1 * q
+        # a bucket's step follows its share, scaled up as in sparse bags
+        np.subtract.at(embed, bucket, np.outer(part * len(own), step))
+    return Model(embed @ (soft[1] - soft[0]), float(bias[1] - bias[0]))
+
+
+def raw_scores(model: Model, texts: list[str]) -> np.ndarray:
+    """The worst window's mean of each text, before any border."""
+    out = []
+    for t in texts:
+        names: dict[str, int] = {}
+        own = np.array([names.setdefault(w, len(names)) for w in words_of(t)], np.int64)
+        out.append(worst_window(model.word_scores(list(names))[own] * fresh(own))[0] if len(own) else 0.0)
+    return np.array(out)
+
+
+def with_border(model: Model, raw: np.ndarray, labels: np.ndarray) -> Model:
+    """The model whose scores cross THRESHOLD where raw scores of rows it has not seen tell the labels apart best.
+
+    If these rows have one label only, the border is the model's own.
+    """
+    if len(set(labels.tolist())) < 2 or not model.weight.any():
+        return model
+    return Model(model.weight, float(np.log(THRESHOLD / (1 - THRESHOLD))) - _border(raw, labels))
+
+
+def train(texts: list[str], labels: list[int], seed: int = 5, steps: tuple[int, int] = STEPS) -> Model:
+    """A model of all rows, its border by rows that the model of the other half scores; one rule at every size."""
+    y, half = np.array(labels, int), halves(labels, seed)
+    raw = np.zeros(len(y))
+    for h in range(HALVES):
+        rest, own = np.flatnonzero(half != h), np.flatnonzero(half == h)
+        raw[own] = raw_scores(learn([texts[k] for k in rest], y[rest].tolist(), seed, steps), [texts[k] for k in own])
+    return with_border(learn(texts, labels, seed, steps), raw, y)
 
 
 def _border(raw: np.ndarray, y: np.ndarray) -> float:
@@ -233,25 +264,32 @@ def sample_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return rows.withColumn("_hash", F.xxhash64("_text")).join(F.broadcast(chosen), ["_id", "_hash"]).dropDuplicates(["_id"]).select("_id", "_text", "_label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from sample_rows() in one task, whose input that bounds; the driver gets the model only.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", steps: tuple[int, int] = STEPS) -> Model:
+    """Learns from sample_rows() as train() does, the model of all and those of each half in a task each.
 
-    If the executor is lost, the task runs again and learns the same: rows are put in
-    order of their ids. Without labels of both kinds the model is constant.
+    The sample bounds the tasks' input; the driver gets the model and a number per row of
+    the sample. If an executor is lost, its task runs again and learns the same: rows are
+    put in order of their ids. Without labels of both kinds the model is constant.
     """
 
-    def run(batches):
-        rows = []
-        for b in batches:
-            rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-        rows.sort(key=lambda r: r[0])
-        model = train([r[1] for r in rows], [r[2] for r in rows])
-        yield pa.record_batch({"weight": pa.array([model.weight.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64())})
-
-    row = sample_rows(docs, labels, id_col, text_col, label_col).repartition(1).mapInArrow(run, "weight binary, bias double").first()
-    if row is None:  # no task ran, as nothing is labelled
-        return train([], [])
-    return Model(np.frombuffer(bytes(row["weight"]), np.float32).astype(float), float(row["bias"]))
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*[table.column(c).to_pylist() for c in ("_id", "_text", "_label")], strict=True), key=lambda r: r[0])
+        turn = table.column("_turn")[0].as_py()
+        texts, y = [r[1] for r in rows], np.array([r[2] for r in rows], int)
+        own = halves(y.tolist()) == turn
+        model = learn([t for t, aside in zip(texts, own, strict=True) if not aside], y[~own].tolist(), steps=steps)
+        raw = raw_scores(model, [t for t, aside in zip(texts, own, strict=True) if aside])
+        weight = model.weight.astype(np.float32).tobytes() if turn == HALVES else None
+        return pa.table({"turn": pa.array([turn], pa.int32()), "weight": pa.array([weight], pa.binary()), "bias": pa.array([model.bias]), "raw": pa.array([raw.tolist()], pa.list_(pa.float64())), "label": pa.array([y[own].tolist()], pa.list_(pa.int32()))})
+
+    turns = F.explode(F.array(*[F.lit(h) for h in range(HALVES + 1)])).alias("_turn")  # the last turn puts no half aside
+    sample = sample_rows(docs, labels, id_col, text_col, label_col).select("_id", "_text", "_label", turns)
+    found = {r["turn"]: r for r in sample.groupBy("_turn").applyInArrow(run, "turn int, weight binary, bias double, raw array<double>, label array<int>").collect()}
+    if not found:  # no task ran, as nothing is labelled
+        return learn([], [])
+    model = Model(np.frombuffer(bytes(found[HALVES]["weight"]), np.float32).astype(float), float(found[HALVES]["bias"]))
+    aside = [found[h] for h in range(HALVES)]
+    return with_border(model, np.array([x for r in aside for x in r["raw"]]), np.array([x for r in aside for x in r["label"]], int))
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,13 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import stage
+from lodestone.llm.common import drop_stage, stage
 
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-DAMPING, ROUNDS = 0.85, 8
-#: A host is blocked if its distrust exceeds so many times its trust.
-BLOCK_RATIO = 1.0
+DAMPING = 0.85
+#: Propagation ends when less than this share of all trust and of all distrust is still on its way; it is an error if so many rounds do not suffice.
+UNSETTLED, MOST_ROUNDS = 1e-9, 400
+#: Rounds between two written tables.
+WRITTEN_EVERY = 4
+#: A host is blocked if its distrust exceeds so many times its trust; a little above 1, so that equal shares allow whatever their last digits.
+BLOCK_RATIO = 1.000001
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)href\s*=\s*["']?https?://([^/"'?#\s>]+)"""
 
@@ -41,7 +45,7 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """Distinct src, dst. pages: host, html."""
+    """Distinct src, dst. pages: host, html. Null and empty html has no links, an empty host none; repeated pages change nothing, other columns do not matter, an empty table gives an empty result."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1)))).alias("dst"))
     links = links.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> '' and src <> dst").distinct()
     names = pages.select(F.col("host").alias("h")).unionByName(links.select(F.col("dst").alias("h"))).where("h <> ''").distinct()
@@ -51,21 +55,39 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(steps.select(F.col("a").alias("src"), F.col("b").alias("dst"))).unionByName(steps.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """host, trust, distrust after so many rounds. seeds: host, trust, distrust (not negative), scaled to sum to 1 each."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, unsettled: float = UNSETTLED) -> DataFrame:
+    """host, trust, distrust once they have settled; a stage table. seeds: host, trust, distrust (not negative), scaled to sum to 1 each.
+
+    Each round passes on what came in the round before and adds it up: a share of damping
+    of what a host got goes to its neighbours, so what is on its way shrinks by that
+    factor at least. Without seeds, or without edges, hosts keep what they start with,
+    times 1 - damping. Repeated edges count as often as they come.
+    """
     sums = seeds.agg(F.sum("trust").alias("all_trust"), F.sum("distrust").alias("all_distrust"))
-    base = stage(seeds.join(F.broadcast(sums)).select("host", F.coalesce(F.try_divide("trust", "all_trust"), F.lit(0.0)).alias("t0"), F.coalesce(F.try_divide("distrust", "all_distrust"), F.lit(0.0)).alias("d0")), "seeds")  # sums: one row
+    share = lambda x, all_: F.coalesce(F.try_divide(x, all_), F.lit(0.0))
+    start = seeds.join(F.broadcast(sums)).select("host", share("trust", "all_trust").alias("dt"), share("distrust", "all_distrust").alias("dd"))  # sums: one row
+    now = stage(start.select("host", F.col("dt").alias("trust"), F.col("dd").alias("distrust"), "dt", "dd"), "score")
     out, into = edges.groupBy("src").agg(F.count("*").alias("n_out")), edges.groupBy("dst").agg(F.count("*").alias("n_in"))
     flow = edges.join(out, "src").join(into, "dst")
     # trust goes from src to dst, shared among src's links; distrust from dst to src, shared among dst's
-    flow = stage(flow.select(F.col("src").alias("giver"), F.col("dst").alias("taker"), (1 / F.col("n_out")).alias("trust_share"), F.lit(0.0).alias("distrust_share")).unionByName(flow.select(F.col("dst").alias("giver"), F.col("src").alias("taker"), F.lit(0.0).alias("trust_share"), (1 / F.col("n_in")).alias("distrust_share"))), "flow")
-    score = base.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
-    for r in range(rounds):
-        got = flow.join(score, flow["giver"] == score["host"]).groupBy(F.col("taker").alias("host")).agg(F.sum(F.col("trust") * F.col("trust_share")).alias("gt"), F.sum(F.col("distrust") * F.col("distrust_share")).alias("gd"))
-        score = got.join(base, "host", "full").select("host", ((1 - damping) * F.coalesce("t0", F.lit(0.0)) + damping * F.coalesce("gt", F.lit(0.0))).alias("trust"), ((1 - damping) * F.coalesce("d0", F.lit(0.0)) + damping * F.coalesce("gd", F.lit(0.0))).alias("distrust"))
-        if r % 4 == 3:
-            score = stage(score, "score")
-    return score
+    trust = flow.select(F.col("src").alias("giver"), F.col("dst").alias("taker"), (1 / F.col("n_out")).alias("trust_share"), F.lit(0.0).alias("distrust_share"))
+    distrust = flow.select(F.col("dst").alias("giver"), F.col("src").alias("taker"), F.lit(0.0).alias("trust_share"), (1 / F.col("n_in")).alias("distrust_share"))
+    flow = stage(trust.unionByName(distrust), "flow")
+    for _ in range(0, MOST_ROUNDS, WRITTEN_EVERY):
+        left = now.agg(F.coalesce(F.greatest(F.sum("dt"), F.sum("dd")), F.lit(0.0)).alias("x")).first()["x"]
+        if left < unsettled:
+            drop_stage(flow)
+            return now.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
+        step = now
+        for _ in range(WRITTEN_EVERY):
+            moving = step.where("dt > 0 or dd > 0").select(F.col("host").alias("giver"), "dt", "dd")
+            got = flow.join(moving, "giver").groupBy(F.col("taker").alias("host")).agg((damping * F.sum(F.col("dt") * F.col("trust_share"))).alias("gt"), (damping * F.sum(F.col("dd") * F.col("distrust_share"))).alias("gd"))
+            zero = lambda c: F.coalesce(c, F.lit(0.0))
+            step = step.select("host", "trust", "distrust").join(got, "host", "full").select("host", (zero("trust") + zero("gt")).alias("trust"), (zero("distrust") + zero("gd")).alias("distrust"), zero("gt").alias("dt"), zero("gd").alias("dd"))
+        written = stage(step, "score")
+        drop_stage(now)
+        now = written
+    raise RuntimeError(f"trust has not settled after {MOST_ROUNDS} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -81,8 +103,10 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     split = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
     ruled = split.withColumn("hit", longest_rule(F.col("host"), F.col("path"), rules))
     seeds = ruled.where("host <> ''").groupBy("host").agg(F.avg(F.when(F.col("hit.verdict") == "allow", 1.0).otherwise(0.0)).alias("trust"), F.avg(F.when(F.col("hit.verdict") == "block", 1.0).otherwise(0.0)).alias("distrust"))
-    score = propagate(stage(host_edges(split.select("host", "html")), "host_edges"), seeds)
-    blocked = score.where(F.round("distrust", 12) > BLOCK_RATIO * F.round("trust", 12)).select("host", F.lit("block").alias("host_verdict"))
+    edges = stage(host_edges(split.select("host", "html")), "host_edges")
+    score = propagate(edges, seeds)
+    drop_stage(edges)
+    blocked = score.where(F.col("distrust") > BLOCK_RATIO * F.col("trust")).select("host", F.lit("block").alias("host_verdict"))
     # only pages without a rule look their host up, so that a ruled hot host is not dealt to one task
     ready = ruled.where("hit is not null").withColumn("host_verdict", F.lit(None).cast("string"))
     asked = ruled.where("hit is null").join(blocked, "host", "left").select(*ready.columns)
@@ -92,15 +116,8 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
 def judge_sql(rules=RULES) -> str:
     """DuckDB SQL of judge() over pages."""
     fits = "\n    UNION ALL ".join(f"SELECT '{h}' AS rh, '{p}' AS rp, '{v}' AS rv" for h, p, v in rules)
-    rounds = []
-    for r in range(ROUNDS):
-        rounds.append(f"""got{r} AS (
-  SELECT taker AS host, sum(trust * ts) AS gt, sum(distrust * ds) AS gd FROM flow JOIN score{r} ON giver = score{r}.host GROUP BY taker),
-score{r + 1} AS (
-  SELECT host, {1 - DAMPING} * coalesce(t0, 0) + {DAMPING} * coalesce(gt, 0) AS trust, {1 - DAMPING} * coalesce(d0, 0) + {DAMPING} * coalesce(gd, 0) AS distrust
-  FROM got{r} FULL JOIN base USING (host))""")
     return f"""
-WITH rules AS ({fits}),
+WITH RECURSIVE rules AS ({fits}),
 cutoff AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 halves AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cutoff),
 split AS (SELECT page_id, html, coalesce(translate(raw, '{_UPPER}', '{_LOWER}'), '') AS host,
@@ -125,9 +142,10 @@ flow AS (
   SELECT src AS giver, dst AS taker, 1.0::DOUBLE / n_out AS ts, 0.0::DOUBLE AS ds FROM edges JOIN o USING (src)
   UNION ALL SELECT dst, src, 0.0, 1.0::DOUBLE / n_in FROM edges JOIN i USING (dst)),
 base AS (SELECT host, coalesce(trust / nullif(sum(trust) OVER (), 0), 0) AS t0, coalesce(distrust / nullif(sum(distrust) OVER (), 0), 0) AS d0 FROM seeds),
-score0 AS (SELECT host, t0 AS trust, d0 AS distrust FROM base),
-{(","+chr(10)).join(rounds)}
+way(k, host, dt, dd) AS (SELECT 0, host, t0, d0 FROM base
+  UNION ALL SELECT k + 1, taker, {DAMPING} * sum(dt * ts), {DAMPING} * sum(dd * ds) FROM way JOIN flow ON giver = host WHERE k < 160 GROUP BY k, taker),
+score AS (SELECT host, {1 - DAMPING} * sum(dt) AS trust, {1 - DAMPING} * sum(dd) AS distrust FROM way GROUP BY host)
 SELECT page_id, ruled.host, path, rule,
-  coalesce(rv, CASE WHEN round(distrust, 12) > {BLOCK_RATIO} * round(trust, 12) THEN 'block' END, 'allow') AS verdict
-FROM ruled LEFT JOIN score{ROUNDS} s ON ruled.host = s.host
+  coalesce(rv, CASE WHEN distrust > {BLOCK_RATIO} * trust THEN 'block' END, 'allow') AS verdict
+FROM ruled LEFT JOIN score s ON ruled.host = s.host
 """

@@ -116,6 +116,8 @@ def fit(sample: np.ndarray, classes: int, cosine: float, recall: float = TARGET_
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
     v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    _, power = np.frexp(np.abs(v).max(axis=1, initial=0))
+    v = np.ldexp(v, -power[:, None])  # by powers of two, so that squares neither overflow nor vanish and nothing is rounded
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
@@ -199,10 +201,9 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.9, recall: float = TARGET
     single = isinstance(rows.schema[vector_col].dataType.elementType, FloatType)
     kind = "float" if single else "double"
     v = F.col(vector_col).cast(f"array<{kind}>")
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sound = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = F.col("v").isNotNull() & F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     clean = rows.select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0).cast(kind)).alias("v"))
-    clean = clean.withColumn("key", F.when(sound & (norm > 0) & (norm < float("inf")), F.sha2(F.to_json(F.struct("v")), 256)))
+    clean = clean.withColumn("key", F.when(sound, F.sha2(F.to_json(F.struct("v")), 256)))
     clean = stage(clean, "vectors")
     classes = stage(clean.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")), "classes")
     lengths = sorted(map(tuple, classes.select(F.size("v")).distinct().collect()))

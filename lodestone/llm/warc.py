@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stage, stage
+from lodestone.llm.common import drop_stage, mark, release, stage
 
 #: Neighbours under a node; levels in a stored subtree (FANOUT ** HEIGHT leaves at most).
 FANOUT, HEIGHT = 16, 3
@@ -172,14 +172,15 @@ def damaged(a: Tree, b: Tree) -> DataFrame:
 
     Trees of different heights are brought to one height first.
     """
-    inner = max(a.inner, b.inner)
+    inner, since = max(a.inner, b.inner), mark()
     layers = inner + max(len(t.layers) - t.inner for t in (a, b))
     la, lb = _bridged(a, layers, inner), _bridged(b, layers, inner)
     bad = None
     for k in range(layers - 1, -1, -1):
-        bad = stage(_descend(la[k], lb[k], bad), "bad")
+        bad = written = stage(_descend(la[k], lb[k], bad), "bad")
         if k == inner:  # what differs now are shards
             bad = bad.select(F.col("seq").cast("int").alias("shard"), F.lit(0).cast("long").alias("seq"))
+    release(since, keep=[written])
     return bad
 
 

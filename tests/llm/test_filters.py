@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from lodestone.llm import mixing, queries, toxicity, urlfilter, warc
 from lodestone.llm.common import running
 
+#: Steps of models whose accuracy is not what is tested.
+FEW = (100, 900)
 STEMS = ["idiot", "moron", "scum", "gromulk"]
 
 
@@ -49,13 +52,13 @@ def test_toxicity_rows(spark, posts):
     rows, labels = posts
     docs = spark.createDataFrame([*rows, (None, "idiot moron", "x"), (701, None, "x"), (5, rows[5][1], "x")], "doc_id long, text string, score string")
     known = spark.createDataFrame([*labels, (None, 1), (9, None), (3, 0)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, known)
+    model = toxicity.fit(docs, known, steps=FEW)
     out = toxicity.scores(docs, model).collect()
     assert len(out) == 703 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in out)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted == 0 for r in out)
-    again = toxicity.fit(docs.repartition(3), known)
+    again = toxicity.fit(docs.repartition(3), known, steps=FEW)
     assert (again.weight == model.weight).all() and again.bias == model.bias
     none = toxicity.fit(docs, known.where("false"))
     assert {r.predicted for r in toxicity.scores(docs, none).collect()} == {0}
@@ -75,7 +78,7 @@ def test_training_sample_is_bounded(spark, posts):
     sizes = {r._id: len(r._text) for r in toxicity.sample_rows(docs.where(f"doc_id <> {ids[2][0]}").unionByName(long), known, most_bytes=1_000_000).collect()}
     assert ids[2][0] not in sizes and len(sizes) == 19  # skipped whole
     assert {len(r._text) for r in toxicity.sample_rows(long, known).collect()} == {10_000_000}
-    model = toxicity.fit(docs, known)
+    model = toxicity.fit(docs, known, steps=FEW)
     out = toxicity.scores(long, model).collect()
     assert len(out) == 1 and 0 <= out[0].score <= 1
 
@@ -84,7 +87,7 @@ def test_labels_of_held_out_rows_change_nothing(spark, posts):
     rows, labels = posts
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     flipped = [(d, 1 - y if zlib.crc32(str(d).encode()) % 4 == 2 else y) for d, y in labels]
-    a, b = (toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, flipped))
+    a, b = (toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int"), steps=FEW) for x in (labels, flipped))
     assert (a.weight == b.weight).all()
 
 
@@ -121,11 +124,56 @@ def test_pagerank_against_numpy(spark):
     t, d = t0, d0
     out = np.divide(a, a.sum(1, keepdims=True), where=a.sum(1, keepdims=True) > 0, out=np.zeros_like(a))
     back = np.divide(a, a.sum(0, keepdims=True), where=a.sum(0, keepdims=True) > 0, out=np.zeros_like(a))
-    for _ in range(urlfilter.ROUNDS):
+    for _ in range(300):
         t, d = 0.15 * t0 + 0.85 * (t @ out), 0.15 * d0 + 0.85 * (back @ d)
     got = {r.host: r for r in urlfilter.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame([(h, float(x), float(y)) for h, x, y in zip(hosts, trust, bad, strict=True)], "host string, trust double, distrust double")).collect()}
     for k, h in enumerate(hosts):
-        assert got[h].trust == pytest.approx(t[k], abs=1e-12) and got[h].distrust == pytest.approx(d[k], abs=1e-12)
+        assert got[h].trust == pytest.approx(t[k], abs=2e-9) and got[h].distrust == pytest.approx(d[k], abs=2e-9)
+
+
+def test_trust_settles_along_a_chain(spark):
+    """Distrust from the far end must not outweigh trust that is still on its way: after 8 rounds h6 would be blocked."""
+    edges = [(f"h{k}", f"h{k + 1}") for k in range(14)] + [(f"h{k + 1}", f"h{k}") for k in range(14)]
+    seeds = [(f"h{k}", float(k == 0), float(k == 14)) for k in range(15)]
+    a = np.zeros((15, 15))
+    for s, d in edges:
+        a[int(s[1:]), int(d[1:])] = 1
+    t, d = t0, d0 = np.eye(15)[0], np.eye(15)[14]
+    out, back = a / a.sum(1, keepdims=True), a / a.sum(0, keepdims=True)
+    for _ in range(400):
+        t, d = 0.15 * t0 + 0.85 * (t @ out), 0.15 * d0 + 0.85 * (back @ d)
+    got = {r.host: r for r in urlfilter.propagate(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(seeds, "host string, trust double, distrust double")).collect()}
+    assert all(abs(got[f"h{k}"].trust - t[k]) < 2e-9 and abs(got[f"h{k}"].distrust - d[k]) < 2e-9 for k in range(15))
+    alone = urlfilter.propagate(spark.createDataFrame([], "src string, dst string"), spark.createDataFrame(seeds, "host string, trust double, distrust double")).collect()
+    assert {r.host: (r.trust, r.distrust) for r in alone}["h0"] == pytest.approx((0.15, 0.0))
+
+
+def test_toxicity_scores_equal_a_plain_sum(spark, posts):
+    """Scores are the worst window's mean of word means of bucket weights, words said again within a window being silent."""
+    rnd = np.random.default_rng(8)
+    model = toxicity.Model(rnd.normal(size=toxicity.BUCKETS).astype(np.float32).astype(float), -0.4)
+    texts = [posts[0][k][1] for k in range(12)] + ["", "so so so", "idiot " * 60, "Über naïve " + "x" * 5_000]
+    got = {r.doc_id: r.score for r in toxicity.scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        words = toxicity.words_of(text)
+        values = []
+        for at, w in enumerate(words):
+            marked = f"<{w}>"
+            own = [model.weight[toxicity.gram_buckets([w])[0][j]] for j in range(sum(max(0, len(marked) - n + 1) for n in toxicity.GRAMS))]
+            values.append(0.0 if w in words[max(0, at - toxicity.WINDOW + 1) : at] else sum(own) / len(own))
+        windows = [values[a : a + toxicity.WINDOW] for a in range(max(1, len(values) - toxicity.WINDOW + 1))] if values else []
+        worst = max((sum(x) / len(x) for x in windows), default=0.0)
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-(worst + model.bias))), abs=1e-9)
+
+
+def test_halves_hold_both_labels(posts):
+    """One rule at every size: each half has rows of both labels, however small the sample."""
+    rows, labels = posts
+    few = [(r[1], y) for r, (_, y) in zip(rows, labels, strict=True)][:36]
+    half = toxicity.halves([y for _, y in few])
+    assert {(h, y) for h, (_, y) in zip(half.tolist(), few, strict=True)} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    few_more = toxicity.halves([1, 0, 0])
+    assert few_more.tolist().count(1) == 1  # a single row of a label is in one half
 
 
 def test_warc_audit_finds_each_fault(spark):
