@@ -12,6 +12,7 @@ the words' segmentations (forward and backward passes in the tasks, sums in Spar
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,16 +35,25 @@ PARTS = 1024
 #: A model is a number per language and piece; more languages than this are refused, none is dropped.
 MOST_LANGUAGES = 500
 #: Words after which a task's counts, and a worker's memory of scores, start anew.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 500_000
 #: Cells (words x places x scores) of one pass.
 CELLS = 1 << 20
 MARK = "▁"
 NO_LANGUAGE = "und"
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same for texts of Latin-1, whose letters are few and which has no marks.
+_LATIN = re.compile("[a-zA-ZªµºÀ-ÖØ-öø-ÿ]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _WORD.findall(text)
+    return _LATIN.findall(text)
 
 
 class Pieces:
@@ -175,11 +185,15 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """lang, word, n over all rows that are not held out and have a language; words are lower-case runs of letters."""
 
     def run(batches):
-        counts: Counter = Counter()
+        counts: dict[str, Counter] = {}
 
         def flush():
-            keys = list(counts)
-            out = pa.record_batch({"lang": pa.array([k[0] for k in keys], pa.string()), "word": pa.array([k[1] for k in keys], pa.string()), "n": pa.array([counts[k] for k in keys], pa.int64())})
+            rows = [(lang, own) for lang, own in counts.items() if own]
+            out = pa.record_batch({
+                "lang": pa.array([lang for lang, own in rows for _ in own], pa.string()),
+                "word": pa.array([w for _, own in rows for w in own], pa.string()),
+                "n": pa.array([n for _, own in rows for n in own.values()], pa.int64()),
+            })
             counts.clear()
             return out
 
@@ -187,10 +201,9 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             langs = b.column(0).to_pylist()
             for start, texts in text_batches(b.column(1)):
                 for lang, text in zip(langs[start:], texts, strict=False):
-                    for w, n in Counter(words_of(text)).items():
-                        counts[lang, w] += n
-                    if len(counts) > KEPT_WORDS:
-                        yield flush()
+                    counts.setdefault(lang, Counter()).update(words_of(text))
+                if sum(map(len, counts.values())) > KEPT_WORDS:
+                    yield flush()
         yield flush()
 
     rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & ~held_out(F.col(f"`{id_col}`"))).select(F.col(f"`{lang_col}`").cast("string"), F.col(f"`{text_col}`"))
