@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions import status_ok
+from lodestone.operators.query import field_value
 
 
 def frontmatter_rules(documents: DataFrame, rules: list[dict]) -> DataFrame:
@@ -17,9 +18,8 @@ def frontmatter_rules(documents: DataFrame, rules: list[dict]) -> DataFrame:
     Rules: {required: key}, {prohibited: key}, {type: label, key}, {allowed: [values], key},
     {pattern: regex, key}, {unique: key}. A key that is absent breaks required only.
     """
-    v = F.try_parse_json("frontmatter")
-    value = lambda k: F.variant_get(v, f"$.{k}", "variant")
-    text = lambda k: F.try_variant_get(v, f"$.{k}", "string")
+    value = field_value
+    text = lambda k: F.try_variant_get(value(k), "$", "string")
     out = None
     for r in rules:
         key = r.get("key") or r.get("required") or r.get("prohibited") or r.get("unique")

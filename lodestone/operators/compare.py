@@ -6,37 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-
-
 def pair_by_keys(before: DataFrame, after: DataFrame, within: list[str], passes: list[list[str]], order: list[str]) -> DataFrame:
     """Pairs rows of both sides pass by pass: equal keys in order of place; what a pass leaves goes to the next.
 
     Columns: within, o (struct of the old row or null), n (struct of the new row or null), pass (0-based, null if unpaired).
     Equal rows are told apart by their place, so each is paired once.
-    """
 
-    def numbered(df: DataFrame) -> DataFrame:
-        row = F.struct(*df.columns)
-        place = F.row_number().over(Window.partitionBy(*within).orderBy(*order, F.to_json(row)))
-        return df.select(*within, *[c for c in dict.fromkeys(c for keys in passes for c in keys) if c not in within], row.alias("_row"), place.alias("_place"))
-
-    left, right = numbered(before), numbered(after)
-    out = None
-    for k, keys in enumerate(passes):
-        on = [*within, *keys]
-        a = _ranked(left, on, ["_place"]).select(*on, "_n", F.col("_row").alias("o"), F.col("_place").alias("_o"))
-        b = _ranked(right, on, ["_place"]).select(*on, "_n", F.col("_row").alias("n"), F.col("_place").alias("_p"))
-        same = [a[c].eqNullSafe(b[c]) for c in on] + [a["_n"] == b["_n"]]
-        hit = a.join(b, same).select(*[a[c] for c in within], "o", "n", F.lit(k).alias("pass"), "_o", "_p")
-        out = hit if out is None else out.unionByName(hit)
-        left = left.join(hit.select(*within, F.col("_o").alias("_place")), [*within, "_place"], "left_anti").select(left.columns)
-        right = right.join(hit.select(*within, F.col("_p").alias("_place")), [*within, "_place"], "left_anti").select(right.columns)
-    out = out.drop("_o", "_p")
-    gone = left.select(*within, F.col("_row").alias("o"), F.lit(None).cast(out.schema["n"].dataType).alias("n"), F.lit(None).cast("int").alias("pass"))
-    come = right.select(*within, F.lit(None).cast(out.schema["o"].dataType).alias("o"), F.col("_row").alias("n"), F.lit(None).cast("int").alias("pass"))
-    return out.unionByName(gone).unionByName(come)
+    Both sides are read once and dealt by within; every pass is windows inside that deal, so
+    the plan grows by a sort for each, not by a join. In a pass, the k-th free old row of a
+    key meets its k-th free new row if both sides have that many.
+    """
+    keys = [c for c in dict.fromkeys(c for one in passes for c in one) if c not in within]
+    kind = {"o": F.struct(*[F.col(f"`{c}`") for c in before.columns]), "n": F.struct(*[F.col(f"`{c}`") for c in after.columns])}
+    types = {"o": before.select(kind["o"].alias("x")).schema["x"].dataType, "n": after.select(kind["n"].alias("x")).schema["x"].dataType}
+
+    def side(df: DataFrame, own: str) -> DataFrame:
+        rows = [kind[x].alias(x) if x == own else F.lit(None).cast(types[x]).alias(x) for x in types]
+        last = F.to_json(kind[own])
+        return df.select(*within, *keys, *rows, F.lit(own).alias("_side"), F.struct(*order, last).alias("_order"))
+
+    both = side(before, "o").unionByName(side(after, "n")).repartition(*within)
+    both = both.withColumn("_place", F.row_number().over(Window.partitionBy(*within, "_side").orderBy("_order"))).drop("_order")
+    both = both.withColumns({"pass": F.lit(None).cast("int"), "_first": F.lit(None).cast("int"), "_nth": F.lit(None).cast("int")})
+    for k, own in enumerate(passes):
+        group = [*within, *[c for c in own if c not in within], F.col("pass").isNull()]
+        nth = F.row_number().over(Window.partitionBy(*group, "_side").orderBy("_place"))
+        all_ = Window.partitionBy(*group)
+        olds, news = F.count("o").over(all_), F.count("n").over(all_)
+        first = F.min(F.when(F.col("_side") == "o", F.col("_place"))).over(all_)
+        both = both.withColumns({"_k": nth, "_both": F.least(olds, news), "_f": first})
+        hit = F.col("pass").isNull() & (F.col("_k") <= F.col("_both"))
+        both = both.withColumns({"_nth": F.when(hit, F.col("_k")).otherwise(F.col("_nth")), "_first": F.when(hit, F.col("_f")).otherwise(F.col("_first")), "pass": F.when(hit, F.lit(k)).otherwise(F.col("pass"))})
+    alone = F.when(F.col("pass").isNull(), F.struct("_side", "_place"))
+    pairs = both.groupBy(*within, "pass", "_first", "_nth", alone.alias("_alone")).agg(F.first("o", ignorenulls=True).alias("o"), F.first("n", ignorenulls=True).alias("n"))
+    return pairs.select(*within, "o", "n", "pass")
 
 
 def change_kind(pairs: DataFrame, changed: Column) -> DataFrame:

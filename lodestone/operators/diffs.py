@@ -6,7 +6,7 @@ have path, kind, old_line and new_line; within_file() orders them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone import functions as fn
@@ -43,7 +43,7 @@ def heading_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     renamed = F.col("o.t") != F.col("n.t")
     moved = (F.col("o.place") != F.col("n.place")) | (F.col("o.depth") != F.col("n.depth"))
     kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(renamed, "renamed").when(moved, "moved").when(body, "changed")
-    matched = F.element_at(F.array(*[F.lit(x) for x in ("slug", "text", "position")]), F.col("pass") + 1)
+    matched = F.when(F.col("pass") == 0, "slug").when(F.col("pass") == 1, "text").when(F.col("pass") == 2, "position")
     out = pairs.select(
         "path", kind.alias("kind"), F.col("o.slug").alias("old_slug"), F.col("n.slug").alias("new_slug"), F.col("o.line").alias("old_line"), F.col("n.line").alias("new_line"),
         matched.alias("matched_by"), F.when(kind == "renamed", F.col("pass") == 2).alias("heuristic"), F.coalesce(body, F.lit(False)).alias("body_changed"),
@@ -52,17 +52,16 @@ def heading_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def link_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Links by text and target, then by text, then by target; a pair is a change if its target differs.
+    """Links by text and target, then by text, then by target, each in order of appearance; a pair is a change if its target differs.
 
     fragment_changed: the same document, another place in it.
     """
 
     def rows(parsed: DataFrame) -> DataFrame:
-        links = E.resolved(E.rows_of(parsed.select("path", "links"), "links"))
+        links = E.resolved(parsed.select("path", F.posexplode("links").alias("place", "x")).select("path", "place", "x.*"))
         local = ~F.col("external") & ~F.col("anchor")
         bare = F.when(local, F.regexp_replace("target", r"[?#].*$", "")).otherwise(F.col("target"))
-        place = F.row_number().over(Window.partitionBy("path").orderBy("line", "text", "target"))
-        return links.select("path", "line", "text", "target", F.when(local, F.col("resolved")).alias("resolved"), F.when(local, F.col("fragment")).alias("fragment"), bare.alias("bare"), place.alias("place"))
+        return links.select("path", "line", "text", "target", F.when(local, F.col("resolved")).alias("resolved"), F.when(local, F.col("fragment")).alias("fragment"), bare.alias("bare"), "place")
 
     pairs = pair_by_keys(rows(before), rows(after), ["path"], [["text", "target"], ["text"], ["target"]], ["place"])
     out = change_kind(pairs, F.col("o.target") != F.col("n.target")).where("kind <> 'same'")

@@ -52,12 +52,21 @@ def plain_text(text: str) -> str:
 
 @lru_cache(1)
 def _yaml_loader():
-    """Loads YAML 1.2's core schema: yes, no, on and dates are strings, 012 is twelve."""
+    """Loads YAML 1.2's core schema: yes, no, on and dates are strings, 012 is twelve, a key that comes twice is an error."""
     import yaml
 
     class Core(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         yaml_implicit_resolvers: dict = {}
 
+        def construct_mapping(self, node, deep=False):
+            seen = set()
+            for key, _ in node.value:
+                if isinstance(key, yaml.ScalarNode) and (own := self.construct_object(key)) is not None:
+                    if own in seen:
+                        raise yaml.constructor.ConstructorError(None, None, f"the key {own!r} comes twice", key.start_mark)
+                    seen.add(own)
+            return super().construct_mapping(node, deep)
+
     def number(loader, node):
         text = node.value.lower()
         return int(text, 0) if text.startswith(("0o", "0x")) else int(text)

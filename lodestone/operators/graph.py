@@ -1,11 +1,11 @@
-"""The link graph of a workspace: edges, degrees, components, cycles, reachability, neighbourhoods, context packs."""
+"""The link graph of a workspace: edges, degrees, components, cycles, reachability, neighbourhoods."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import shared_dir
+from lodestone.operators.ordered import cut, running_total
 
 
 def edges(links: DataFrame, paths: DataFrame) -> DataFrame:
@@ -42,28 +42,20 @@ def orphans(edge: DataFrame, paths: DataFrame, entries: list[str] = ()) -> DataF
     return paths.select("path").where(~F.col("path").isin(*entries)).join(edge.select(F.col("target").alias("path")).distinct(), "path", "left_anti")
 
 
-def _cut(df: DataFrame, spark) -> DataFrame:
-    """Materialises a loop's state in the checkpoint folder, so that lineage does not grow with the rounds."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
-
-
 def components(edge: DataFrame, paths: DataFrame, max_rounds: int = 200) -> DataFrame:
     """path, component (smallest path that is reachable without regard to direction).
 
     Labels move to neighbours and then along labels themselves, so rounds grow with the
     log of the diameter.
     """
-    spark = edge.sparkSession
     both = edge.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edge.select(F.col("target").alias("a"), F.col("source").alias("b"))).where("a <> b").distinct()
-    both = _cut(both, spark)
+    both = cut(both)
     label = paths.select(F.col("path").alias("n"), F.col("path").alias("c"))
     for _ in range(max_rounds):
         near = both.join(label, both["b"] == label["n"]).groupBy(F.col("a").alias("n")).agg(F.min("c").alias("m"))
         new = label.join(near, "n", "left").select("n", F.least("c", F.coalesce("m", "c")).alias("c2"), F.col("c").alias("was"))
         jump = new.select(F.col("n").alias("c2"), F.col("c2").alias("far"))
-        new = _cut(new.join(jump, "c2", "left").select("n", F.least("c2", F.coalesce("far", "c2")).alias("c"), "was"), spark)
+        new = cut(new.join(jump, "c2", "left").select("n", F.least("c2", F.coalesce("far", "c2")).alias("c"), "was"))
         if new.where("c <> was").isEmpty():
             return new.select(F.col("n").alias("path"), F.col("c").alias("component"))
         label = new.select("n", "c")
@@ -72,20 +64,19 @@ def components(edge: DataFrame, paths: DataFrame, max_rounds: int = 200) -> Data
 
 def reachable(edge: DataFrame, seeds: DataFrame, depth: int | None = None, directed: bool = True) -> DataFrame:
     """path, distance of what seeds reach, breadth first; depth bounds the hops."""
-    spark = edge.sparkSession
     step = edge.select("source", "target")
     if not directed:
         step = step.unionByName(step.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    step = _cut(step.distinct(), spark)
-    seen = _cut(seeds.select("path").distinct().withColumn("distance", F.lit(0)), spark)
+    step = cut(step.distinct())
+    seen = cut(seeds.select("path").distinct().withColumn("distance", F.lit(0)))
     frontier, d = seen, 0
     while depth is None or d < depth:
         d += 1
         new = frontier.join(step, frontier["path"] == step["source"]).select(F.col("target").alias("path")).distinct().join(seen.select("path"), "path", "left_anti").withColumn("distance", F.lit(d))
-        frontier = _cut(new, spark)
+        frontier = cut(new)
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier), spark)
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 
@@ -95,15 +86,14 @@ def cycles(edge: DataFrame, paths: DataFrame) -> DataFrame:
     Nodes that cannot lie on a cycle are trimmed; of the rest, the smallest unassigned
     node of each weak component colours what it reaches and is reached by, until none is left.
     """
-    spark = edge.sparkSession
-    live = _cut(edge.select("source", "target").distinct(), spark)
+    live = cut(edge.select("source", "target").distinct())
     selfs = live.where("source = target").select(F.col("source").alias("path"))
-    live = _cut(live.where("source <> target"), spark)
+    live = cut(live.where("source <> target"))
     done = None
     while not live.isEmpty():
         while True:  # trim sources and sinks
             kept = live.join(live.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(live.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-            kept = _cut(kept, spark)
+            kept = cut(kept)
             if kept.count() == live.count():
                 break
             live = kept
@@ -114,12 +104,12 @@ def cycles(edge: DataFrame, paths: DataFrame) -> DataFrame:
         pivots = weak.select(F.col("component").alias("path")).distinct()
         ahead = reachable(live, pivots)
         behind = reachable(live.select(F.col("target").alias("source"), F.col("source").alias("target")), pivots)
-        core = _cut(ahead.select("path").join(behind.select("path"), "path", "left_semi").join(weak, "path").select("path", F.col("component").alias("cycle")), spark)
+        core = cut(ahead.select("path").join(behind.select("path"), "path", "left_semi").join(weak, "path").select("path", F.col("component").alias("cycle")))
         size = core.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1")
         found = core.join(size.select("cycle"), "cycle", "left_semi").select("path", "cycle")
         done = found if done is None else done.unionByName(found)
         gone = core.select("path")
-        live = _cut(live.join(gone.withColumnRenamed("path", "source"), "source", "left_anti").join(gone.withColumnRenamed("path", "target"), "target", "left_anti").select("source", "target"), spark)
+        live = cut(live.join(gone.withColumnRenamed("path", "source"), "source", "left_anti").join(gone.withColumnRenamed("path", "target"), "target", "left_anti").select("source", "target"))
     alone = selfs.select("path", F.col("path").alias("cycle"))
     if done is None:
         return alone
@@ -133,19 +123,28 @@ def focus(edge: DataFrame, node: str, depth: int, spark=None) -> DataFrame:
     return edge.join(near.withColumnRenamed("path", "source"), "source", "left_semi").join(near.withColumnRenamed("path", "target"), "target", "left_semi").select("source", "target", "occurrences")
 
 
-def context_pack(edge: DataFrame, sections: DataFrame, seeds: list[str], depth: int, budget: int) -> DataFrame:
-    """Sections in order of distance, path and place, as long as their bytes fit; nothing after the first that does not.
+def unreachable(edge: DataFrame, paths: DataFrame, entries: list[str]) -> DataFrame:
+    """path of documents that no entry leads to. Entries that are no documents do not count; without any that is one, nothing is reported."""
+    start = paths.select("path").distinct().where(F.col("path").isin(*entries))
+    if start.isEmpty():
+        return paths.select("path").where("false")
+    return paths.select("path").distinct().join(reachable(edge, start).select("path"), "path", "left_anti")
 
-    The running sum is over the pack's candidates, which depth and seeds bound.
-    """
-    start = edge.sparkSession.createDataFrame([(s,) for s in seeds], "path string")
-    near = reachable(edge, start, depth)
-    rows = sections.join(near, "path")
-    run = Window.orderBy("distance", "path", "start_line").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum("bytes").over(run)).where(F.col("running") <= budget)
 
+def diagram(edge: DataFrame, paths: DataFrame, kind: str = "mermaid") -> DataFrame:
+    """ord, place, line: the graph as a Mermaid flowchart or a DOT digraph, a row per line; sorted by ord, then place, they are the file.
 
-def mermaid(edge: DataFrame) -> DataFrame:
-    """One row: the graph as a Mermaid flowchart."""
-    line = F.concat(F.lit('  "'), "source", F.lit('" --> "'), "target", F.lit('"'))
-    return edge.agg(F.concat(F.lit("graph LR\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("mermaid"))
+    Nodes are numbered in order of path and come before the edges, which follow the order
+    of their ends' numbers. No row holds more than a node or an edge.
+    """
+    if kind not in ("mermaid", "dot"):
+        raise ValueError(f"{kind!r} is neither mermaid nor dot")
+    nodes = running_total(paths.select("path").distinct().withColumn("one", F.lit(1)), [F.col("path")], "one", "n").select("path", (F.col("n") - 1).alias("n"))
+    label = F.replace(F.replace("path", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    node, arrow, ends = (('["', '"]'), " --> ", ("flowchart LR", "", "")) if kind == "mermaid" else ((' [label="', '"];'), " -> ", ("digraph markdown {", ";", "}"))
+    drawn = nodes.select(F.lit(1).alias("ord"), F.array("n", F.lit(0).cast("long")).alias("place"), F.concat(F.lit("  "), name("n"), F.lit(node[0]), label, F.lit(node[1])).alias("line"))
+    both = edge.select("source", "target").join(nodes.select(F.col("path").alias("source"), F.col("n").alias("a")), "source").join(nodes.select(F.col("path").alias("target"), F.col("n").alias("b")), "target")
+    links = both.select(F.lit(2).alias("ord"), F.array("a", "b").alias("place"), F.concat(F.lit("  "), name("a"), F.lit(arrow), name("b"), F.lit(ends[1])).alias("line"))
+    frame = [(0, [0, 0], ends[0])] + ([(3, [0, 0], ends[2])] if ends[2] else [])
+    return edge.sparkSession.createDataFrame(frame, "ord int, place array<long>, line string").unionByName(drawn).unionByName(links)

@@ -124,7 +124,7 @@ def plan(entity: str, where: str | list[str] = (), select: str | None = None, gr
     return out
 
 
-def _steps(name: str, index: bool) -> str:
+def json_path(name: str, index: bool = True) -> str:
     """The path of a dotted name; a step of digits is a place in an array, or else a key."""
     if "'" in name and '"' in name:
         raise ValueError(f"{name!r}: a field's name may hold one kind of quotes")
@@ -132,22 +132,25 @@ def _steps(name: str, index: bool) -> str:
     return "$" + "".join(f"[{int(p)}]" if index and p.isdecimal() else f"[{quote}{p}{quote}]" for p in name.split("."))
 
 
-def _values(name: str) -> Column:
-    """A frontmatter field as an array of its values; null if it is absent. JSON null is a null item."""
+def field_value(name: str) -> Column:
+    """A frontmatter field as a variant; null if it is absent. A step of digits is tried as a place first, then as a key."""
     data = F.try_parse_json("frontmatter")
-    v = F.variant_get(data, _steps(name, True), "variant")
+    v = F.variant_get(data, json_path(name), "variant")
     if any(p.isdecimal() for p in name.split(".")):
-        v = F.coalesce(v, F.variant_get(data, _steps(name, False), "variant"))
+        v = F.coalesce(v, F.variant_get(data, json_path(name, False), "variant"))
+    return v
+
+
+def _values(name: str) -> Column:
+    """A frontmatter field as an array of its values; null if it is absent. JSON null is a null item."""
+    v = field_value(name)
     many, one = F.try_variant_get(v, "$", "array<string>"), F.try_variant_get(v, "$", "string")
     return F.when(v.isNull(), F.lit(None)).when(F.schema_of_variant(v).startswith("ARRAY"), many).otherwise(F.array(one))
 
 
 def frontmatter_value(parsed: DataFrame, name: str) -> DataFrame:
     """path, state, value of a dotted key: ok, absent, or missing, malformed, non-mapping as the header is. Objects and lists are given as JSON."""
-    data = F.try_parse_json("frontmatter")
-    v = F.variant_get(data, _steps(name, True), "variant")
-    if any(p.isdecimal() for p in name.split(".")):
-        v = F.coalesce(v, F.variant_get(data, _steps(name, False), "variant"))
+    v = field_value(name)
     state = F.when(F.col("frontmatter_status") != "valid", F.col("frontmatter_status")).when(v.isNull(), "absent").otherwise("ok")
     return parsed.select("path", state.alias("state"), F.try_variant_get(v, "$", "string").alias("value"))
 
@@ -168,8 +171,7 @@ def condition(entity: str, p: Predicate) -> Column:
     if p.dynamic:
         values = _values(p.name)
         if p.op == "has":
-            v = F.variant_get(F.try_parse_json("frontmatter"), f"$.{p.name}", "variant")
-            kind = F.schema_of_variant(v)
+            kind = F.schema_of_variant(field_value(p.name))
             some = F.when(kind.startswith("ARRAY"), F.size(values) > 0).when(kind == "VOID", F.lit(False)).otherwise(~F.get(values, F.lit(0)).isin("", "0", "false"))
             hit = F.coalesce(some, F.lit(False))
         elif p.op == "!=":

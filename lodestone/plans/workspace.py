@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import context as C
 from lodestone.operators import extract as E
 from lodestone.operators import graph as G
 from lodestone.operators import query as Q
+from lodestone.operators.ordered import cut
 from lodestone.sources import table
 from lodestone.sources import workspace as W
 
@@ -223,13 +225,54 @@ r(path, seen) AS (SELECT path, path FROM md_docs UNION SELECT b, seen FROM r JOI
 QUERIES["graph_cycles"] = lambda s, d: G.cycles(*_edges(s, d))
 ORACLE_SQL["graph_cycles"] = f"""WITH RECURSIVE {MD}{_EDGES}, r(a, b) AS (SELECT source, target FROM e UNION SELECT r.a, e.target FROM r JOIN e ON e.source = r.b)
 SELECT x.a AS path, min(x.b) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a"""
+_SEEDS = ["d8/doc-8.md", "d1/doc-1.md"]
+_BUDGET = 6000
+
+
+def _context(s, d):
+    parsed = W.parsed(table(s, d, "documents"), keep=("content",)).select("path", "content", "n_lines", "frontmatter_end", "headings", "links")
+    parsed = cut(parsed)  # read by the graph and by the units
+    return C.pack(parsed, G.edges(E.resolved(E.rows_of(parsed, "links")), parsed.select("path")), C.seed_rows(s, _SEEDS), 2, _BUDGET, backlinks=True, frontmatter=True)
+
+
+#: The text of each line of the synthetic workspace, and the documents within two hops of the seeds in order of discovery.
+_PACK = f"""{_EDGES}, shown AS (SELECT m.path, m.line, n_lines, tag, CASE tag
+    WHEN 'front' THEN CASE WHEN line = 1 OR line = f THEN '---' WHEN line = 2 THEN concat('title: Title ', i % 50) WHEN line = 3 THEN concat('lang: ', lang) WHEN line = 4 THEN concat('n_chars: ', n_chars)
+      WHEN line = 5 AND i % 5 <> 0 THEN CASE WHEN i % 7 = 0 THEN 'owner: null' ELSE concat('owner: o', i % 4) END ELSE concat('tags: [a, b', i % 6, ']') END
+    WHEN 'head' THEN concat(repeat('#', CAST(a AS INTEGER)), ' ', b) WHEN 'text' THEN a WHEN 'link' THEN concat('[', a, '](', b, ')') WHEN 'image' THEN concat('![', a, '](', b, ')') WHEN 'site' THEN concat('[', a, '](', b, ')')
+    WHEN 'task' THEN concat(CASE WHEN a = 'true' THEN '- [x] ' ELSE '- [ ] ' END, b) WHEN 'fence' THEN concat('```', a) WHEN 'code' THEN CASE WHEN lag(tag) OVER (PARTITION BY m.path ORDER BY line) = 'fence' THEN '# not a heading' ELSE '[fake](x.md)' END
+    WHEN 'end' THEN '```' WHEN 'table' THEN '| a | b |' WHEN 'rule' THEN '|---|:-:|' WHEN 'cells' THEN '| 1 | 2 |' ELSE '' END AS t, f
+  FROM md_lines m JOIN (SELECT path, count(*) AS f FROM md_lines WHERE tag = 'front' GROUP BY path) USING (path) JOIN md_docs USING (path)),
+starts AS (SELECT path, 1 AS start_line, 'frontmatter' AS kind, NULL AS slug FROM shown WHERE line = 1 UNION ALL SELECT path, CAST(f + 1 AS INTEGER), 'preamble', NULL FROM shown WHERE line = 1 UNION ALL SELECT path, line, 'section', slug FROM md_headings),
+units AS (SELECT path, kind, slug, start_line, CAST(coalesce(lead(start_line) OVER (PARTITION BY path ORDER BY start_line), (SELECT max(line) + 1 FROM shown s WHERE s.path = starts.path)) - 1 AS INTEGER) AS end_line FROM starts),
+step AS (SELECT source AS a, target AS b, 0 AS dir, lines[1] AS line FROM e UNION ALL SELECT target, source, 1, lines[1] FROM e),
+l0 AS (SELECT unnest({_SEEDS}) AS path, unnest([['0'], ['1']]) AS key),
+c1 AS (SELECT b AS path, list_append(key, concat(dir, b)) AS key, path AS via, line, dir FROM l0 JOIN step ON a = path WHERE b NOT IN (SELECT path FROM l0)),
+l1 AS (SELECT * FROM c1 QUALIFY row_number() OVER (PARTITION BY path ORDER BY key) = 1),
+c2 AS (SELECT b AS path, list_append(key, concat(step.dir, b)) AS key, path AS via, step.line, step.dir FROM l1 JOIN step ON a = path WHERE b NOT IN (SELECT path FROM l0 UNION ALL SELECT path FROM l1)),
+l2 AS (SELECT * FROM c2 QUALIFY row_number() OVER (PARTITION BY path ORDER BY key) = 1),
+found AS (SELECT path, key, 0 AS distance, NULL AS via, NULL AS line, NULL AS dir FROM l0 UNION ALL SELECT path, key, 1, via, line, dir FROM l1 UNION ALL SELECT path, key, 2, via, line, dir FROM l2),
+sized AS (SELECT path, key, distance, via, f.line, dir, kind, slug, start_line, end_line, (SELECT octet_length(encode(string_agg(t, chr(10) ORDER BY s.line))) FROM shown s WHERE s.path = f.path AND s.line BETWEEN start_line AND end_line) AS bytes FROM found f JOIN units USING (path)),
+packed AS (SELECT concat(path, '#', coalesce(slug, kind)) AS id, CAST(distance AS INTEGER) AS distance, via, CAST(line AS INTEGER) AS via_line, CASE dir WHEN 0 THEN 'link' WHEN 1 THEN 'backlink' ELSE 'seed' END AS direction, start_line, end_line, CAST(bytes AS BIGINT) AS bytes,
+  CAST(sum(bytes) OVER (ORDER BY distance, key, start_line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM sized)"""
+_add("context_pack", lambda s, d: _context(s, d).select("id", "distance", "via", "via_line", "direction", "start_line", "end_line", "bytes", "running", "included"), f"{_PACK} SELECT *, running <= {_BUDGET} AS included FROM packed")
+_add(
+    "context_summary",
+    lambda s, d: C.summary(_context(s, d), _BUDGET),
+    f"""{_PACK}, r AS (SELECT *, split_part(id, '#', 1) AS file, running <= {_BUDGET} AS included FROM packed)
+SELECT count(DISTINCT file) FILTER (included) AS files, count(*) FILTER (included) AS units, CAST({_BUDGET} AS BIGINT) AS limit_bytes, CAST(coalesce(sum(bytes) FILTER (included), 0) AS BIGINT) AS used_bytes, CAST(coalesce(sum(bytes) FILTER (NOT included), 0) AS BIGINT) AS omitted_bytes,
+  CAST(ceil(coalesce(sum(bytes) FILTER (included), 0) / 4) AS BIGINT) AS token_estimate, bool_or(NOT included) AS truncated FROM r""",
+)
+_add(
+    "graph_unreachable",
+    lambda s, d: G.unreachable(*_edges(s, d), ["d0/doc-0.md", "no/such.md"]),
+    f"{_EDGES.replace('e AS (', 'e AS MATERIALIZED (', 1)}, r(path) AS (SELECT 'd0/doc-0.md' UNION SELECT target FROM r JOIN e ON e.source = r.path) SELECT path FROM md_docs WHERE path NOT IN (SELECT path FROM r)",
+)
+ORACLE_SQL["graph_unreachable"] = ORACLE_SQL["graph_unreachable"].replace("WITH ", "WITH RECURSIVE ", 1)
 _add(
-    "context_pack",
-    lambda s, d: (lambda p: G.context_pack(G.edges(E.resolved(E.rows_of(p, "links")), p.select("path")), E.sections(p).withColumn("bytes", (F.col("end_line") - F.col("start_line") + 1) * 40), ["d8/doc-8.md"], 2, 1500).select("path", "distance", "start_line", "running"))(_parsed(s, d)),
-    f"""{_EDGES}, near AS (SELECT path, min(d) AS distance FROM (SELECT 'd8/doc-8.md' AS path, 0 AS d UNION ALL SELECT target, 1 FROM e WHERE source = 'd8/doc-8.md' UNION ALL SELECT f.target, 2 FROM e JOIN e f ON e.target = f.source WHERE e.source = 'd8/doc-8.md') GROUP BY path),
-fm AS (SELECT path, count(*) FILTER (tag = 'front') AS f, max(n_lines) AS n_lines FROM md_lines GROUP BY 1),
-heads AS (SELECT path, line AS start_line FROM md_headings UNION ALL SELECT path, CAST(f + 1 AS INTEGER) FROM fm),
-sec AS (SELECT h.path, start_line, coalesce(lead(start_line) OVER (PARTITION BY h.path ORDER BY start_line), n_lines + 1) - start_line AS n FROM heads h JOIN fm USING (path)),
-packed AS (SELECT sec.path, distance, start_line, CAST(sum(n * 40) OVER (ORDER BY distance, sec.path, start_line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM sec JOIN near USING (path))
-SELECT * FROM packed WHERE running <= 1500""",
+    "graph_dot",
+    lambda s, d: G.diagram(*_edges(s, d), "dot").select("ord", F.array_join("place", ",").alias("place"), "line"),
+    f"""{_EDGES}, n AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS n FROM md_docs)
+SELECT CAST(0 AS INTEGER) AS ord, '0,0' AS place, 'digraph markdown {{' AS line UNION ALL SELECT 3, '0,0', '}}' UNION ALL SELECT 1, concat(n, ',0'), concat('  n', n, ' [label="', path, '"];') FROM n
+UNION ALL SELECT 2, concat(a.n, ',', b.n), concat('  n', a.n, ' -> n', b.n, ';') FROM e JOIN n a ON a.path = source JOIN n b ON b.path = target""",
 )
