@@ -18,9 +18,9 @@ from lodestone.llm.common import drop_stage, stage
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
 #: Propagation ends when less than this share of all trust and of all distrust is still on its way; it is an error if so many rounds do not suffice.
-UNSETTLED, MOST_ROUNDS = 1e-9, 400
+UNSETTLED, MOST_ROUNDS = 1e-6, 400
 #: Rounds between two written tables.
-WRITTEN_EVERY = 4
+WRITTEN_EVERY = 8
 #: A host is blocked if its distrust exceeds so many times its trust; a little above 1, so that equal shares allow whatever their last digits.
 BLOCK_RATIO = 1.000001
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,9 +70,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, unse
     out, into = edges.groupBy("src").agg(F.count("*").alias("n_out")), edges.groupBy("dst").agg(F.count("*").alias("n_in"))
     flow = edges.join(out, "src").join(into, "dst")
     # trust goes from src to dst, shared among src's links; distrust from dst to src, shared among dst's
-    trust = flow.select(F.col("src").alias("giver"), F.col("dst").alias("taker"), (1 / F.col("n_out")).alias("trust_share"), F.lit(0.0).alias("distrust_share"))
-    distrust = flow.select(F.col("dst").alias("giver"), F.col("src").alias("taker"), F.lit(0.0).alias("trust_share"), (1 / F.col("n_in")).alias("distrust_share"))
-    flow = stage(trust.unionByName(distrust), "flow")
+    no = F.lit(0.0)
+    trust = flow.select(F.col("src").alias("giver"), F.col("dst").alias("taker"), (damping / F.col("n_out")).alias("t"), no.alias("d"), no.alias("keep"))
+    distrust = flow.select(F.col("dst").alias("giver"), F.col("src").alias("taker"), no.alias("t"), (damping / F.col("n_in")).alias("d"), no.alias("keep"))
+    # every host also keeps what it has, so that a round reads the one before it once
+    hosts = edges.select(F.col("src").alias("h")).unionByName(edges.select(F.col("dst").alias("h"))).unionByName(seeds.select(F.col("host").alias("h"))).distinct()
+    held = hosts.select(F.col("h").alias("giver"), F.col("h").alias("taker"), no.alias("t"), no.alias("d"), F.lit(1.0).alias("keep"))
+    flow = stage(trust.unionByName(distrust).unionByName(held), "flow")
     for _ in range(0, MOST_ROUNDS, WRITTEN_EVERY):
         left = now.agg(F.coalesce(F.greatest(F.sum("dt"), F.sum("dd")), F.lit(0.0)).alias("x")).first()["x"]
         if left < unsettled:
@@ -80,10 +84,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, unse
             return now.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
         step = now
         for _ in range(WRITTEN_EVERY):
-            moving = step.where("dt > 0 or dd > 0").select(F.col("host").alias("giver"), "dt", "dd")
-            got = flow.join(moving, "giver").groupBy(F.col("taker").alias("host")).agg((damping * F.sum(F.col("dt") * F.col("trust_share"))).alias("gt"), (damping * F.sum(F.col("dd") * F.col("distrust_share"))).alias("gd"))
-            zero = lambda c: F.coalesce(c, F.lit(0.0))
-            step = step.select("host", "trust", "distrust").join(got, "host", "full").select("host", (zero("trust") + zero("gt")).alias("trust"), (zero("distrust") + zero("gd")).alias("distrust"), zero("gt").alias("dt"), zero("gd").alias("dd"))
+            came = flow.join(step.withColumnRenamed("host", "giver"), "giver").groupBy(F.col("taker").alias("host"))
+            came = came.agg(*[F.sum(F.col(x) * F.col(y)).alias(z) for x, y, z in (("trust", "keep", "at"), ("distrust", "keep", "ad"), ("dt", "t", "dt"), ("dd", "d", "dd"))])
+            step = came.select("host", (F.col("at") + F.col("dt")).alias("trust"), (F.col("ad") + F.col("dd")).alias("distrust"), "dt", "dd")
         written = stage(step, "score")
         drop_stage(now)
         now = written
