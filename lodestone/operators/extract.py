@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = """path string, n_lines int, frontmatter_status string, frontmatter string, frontmatter_end int, words int, paragraphs int, lists int,
 headings array<struct<line:int,depth:int,text:string,slug:string>>,
-links array<struct<line:int,text:string,target:string,image:boolean,external:boolean,anchor:boolean,kind:string>>,
+links array<struct<line:int,text:string,target:string,image:boolean,external:boolean,anchor:boolean,kind:string,destination_line:int,start:int,end:int>>,
 tasks array<struct<line:int,checked:boolean,text:string>>,
 code_blocks array<struct<line:int,end_line:int,language:string,meta:string,content:string>>,
 tables array<struct<line:int,end_line:int,n_columns:int,n_rows:int,headers:array<string>,align:array<string>>>,
@@ -133,13 +133,16 @@ def parse(content: str) -> dict:
     status, data, start = front_matter(lines)
     out: dict = {"n_lines": len(lines), "frontmatter_status": status, "frontmatter": data, "frontmatter_end": start, "headings": [], "links": [], "tasks": [], "code_blocks": [], "tables": [], "math": []}
     slugs: dict[str, int] = {}
-    text_lines: list[tuple[int, str]] = []
-    definitions: dict[str, str] = {}
+    offsets = [0]  # where each line begins, in characters
+    for line in lines:
+        offsets.append(offsets[-1] + len(line) + 1)
+    text_lines: list[tuple[int, str, int]] = []  # line, text, where it begins in the line
+    definitions: dict[str, tuple[str, int, int, int]] = {}  # target, its line and span
     paragraphs = lists = words = 0
     in_paragraph = in_list = False
     k = start
 
-    def heading(at: int, depth: int, raw: str) -> None:
+    def heading(at: int, depth: int, raw: str, column: int) -> None:
         text = plain_text(raw)
         slug = slug_of(text)
         n = slugs.get(slug, 0)
@@ -148,7 +151,7 @@ def parse(content: str) -> dict:
             slug = f"{slug}-{n}"
             slugs.setdefault(slug, 1)
         out["headings"].append({"line": at + 1, "depth": depth, "text": text, "slug": slug})
-        text_lines.append((at, raw))
+        text_lines.append((at, raw, column))
 
     while k < len(lines):
         line = lines[k]
@@ -181,19 +184,19 @@ def parse(content: str) -> dict:
             k = end + 1
             continue
         if m := _ATX.match(line):
-            heading(k, len(m[1]), m[2] or "")
+            heading(k, len(m[1]), m[2] or "", max(0, m.start(2)))
             in_paragraph = in_list = False
             k += 1
             continue
         if in_paragraph and (m := _SETEXT.match(line)):
-            at, raw = text_lines.pop()
+            at, raw, column = text_lines.pop()
             paragraphs -= 1
-            heading(at, 1 if m[1][0] == "=" else 2, raw.strip())
+            heading(at, 1 if m[1][0] == "=" else 2, raw.strip(), column + len(raw) - len(raw.lstrip()))
             in_paragraph = False
             k += 1
             continue
         if m := _DEFINITION.match(line):
-            definitions.setdefault(" ".join(m[1].lower().split()), m[2])  # the first one counts
+            definitions.setdefault(" ".join(m[1].lower().split()), (m[2], k + 1, offsets[k] + m.start(2), offsets[k] + m.end(2)))  # the first one counts
             k += 1
             continue
         if "|" in line and k + 1 < len(lines) and "-" in lines[k + 1] and _DELIMITER.match(lines[k + 1]) and len(_cells(line)) == len(_cells(lines[k + 1])):
@@ -202,19 +205,19 @@ def parse(content: str) -> dict:
                 end += 1
             align = [{"11": "center", "10": "left", "01": "right"}.get(f"{int(c[0] == ':')}{int(c[-1] == ':')}", "none") for c in _cells(lines[k + 1])]
             out["tables"].append({"line": k + 1, "end_line": end + 1, "n_columns": len(align), "n_rows": end - k - 1, "headers": _cells(line), "align": align})
-            text_lines += [(j, lines[j]) for j in range(k, end + 1) if j != k + 1]
+            text_lines += [(j, lines[j], 0) for j in range(k, end + 1) if j != k + 1]
             in_paragraph = in_list = False
             k = end + 1
             continue
         if m := _TASK.match(line):
             out["tasks"].append({"line": k + 1, "checked": m[1] != " ", "text": plain_text(m[2])})
-            text_lines.append((k, m[2]))
+            text_lines.append((k, m[2], m.start(2)))
             lists += not in_list
             in_list, in_paragraph = True, False
             k += 1
             continue
         if m := _ITEM.match(line):
-            text_lines.append((k, line[m.end() :]))
+            text_lines.append((k, line[m.end() :], m.end()))
             lists += not in_list
             in_list, in_paragraph = True, False
             k += 1
@@ -222,27 +225,29 @@ def parse(content: str) -> dict:
         if not in_list:
             paragraphs += not in_paragraph
             in_paragraph = True
-        text_lines.append((k, line))
+        text_lines.append((k, line, 0))
         k += 1
 
-    for at, raw in text_lines:
+    for at, raw, column in text_lines:
         words += len(plain_text(raw).split())
         spans = [m.span() for m in _CODE_SPAN.finditer(raw)]
         free = list(raw)
         for a, b in spans:
             free[a:b] = " " * (b - a)
         bare = "".join(free)
-        found = [(m.start(), m[1], m[2], m[3], "inline") for m in _INLINE.finditer(bare)]
+        place = offsets[at] + column
+        found = [(m.start(), m[1], m[2], m[3], "inline", at + 1, place + m.start(3), place + m.end(3)) for m in _INLINE.finditer(bare)]
         rest = list(bare)
         for m in _INLINE.finditer(bare):
             rest[m.start() : m.end()] = "\0" * (m.end() - m.start())
         for m in _REFERENCE.finditer("".join(rest)):
             name = " ".join((m[3] or m[2]).lower().split())
             if name in definitions and not re.fullmatch(r"[ xX]", m[2]):
-                found.append((m.start(), m[1], m[2], definitions[name], "shortcut" if m[3] is None else "full" if m[3] else "collapsed"))
-        for _, bang, text, target, kind in sorted(found):
+                target, *span = definitions[name]
+                found.append((m.start(), m[1], m[2], target, "shortcut" if m[3] is None else "full" if m[3] else "collapsed", *span))
+        for _, bang, text, target, kind, own_line, start, end in sorted(found):
             external = bool(_EXTERNAL.match(target))
-            out["links"].append({"line": at + 1, "text": text, "target": target, "image": bool(bang), "external": external, "anchor": target.startswith("#"), "kind": kind})
+            out["links"].append({"line": at + 1, "text": text, "target": target, "image": bool(bang), "external": external, "anchor": target.startswith("#"), "kind": kind, "destination_line": own_line, "start": start, "end": end})
     out["links"].sort(key=lambda x: x["line"])
     return out | {"words": words, "paragraphs": paragraphs, "lists": lists, "tree": _tree(out["headings"], len(lines))}
 
@@ -271,7 +276,7 @@ def _arrow() -> pa.Schema:
         [
             ("path", s), ("n_lines", i), ("frontmatter_status", s), ("frontmatter", s), ("frontmatter_end", i), ("words", i), ("paragraphs", i), ("lists", i),
             ("headings", rows(("line", i), ("depth", i), ("text", s), ("slug", s))),
-            ("links", rows(("line", i), ("text", s), ("target", s), ("image", b), ("external", b), ("anchor", b), ("kind", s))),
+            ("links", rows(("line", i), ("text", s), ("target", s), ("image", b), ("external", b), ("anchor", b), ("kind", s), ("destination_line", i), ("start", i), ("end", i))),
             ("tasks", rows(("line", i), ("checked", b), ("text", s))),
             ("code_blocks", rows(("line", i), ("end_line", i), ("language", s), ("meta", s), ("content", s))),
             ("tables", rows(("line", i), ("end_line", i), ("n_columns", i), ("n_rows", i), ("headers", pa.list_(s)), ("align", pa.list_(s)))),
