@@ -29,9 +29,11 @@ _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^\s`]*)\s*([^`]*)$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _TASK = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+\[([ xX])\]\s+(.*)$")
+_BREAK = re.compile(r"^ {0,3}([-*_])[ \t]*(?:\1[ \t]*){2,}$")
+_QUOTE = re.compile(r"^(?: {0,3}> ?)+")
 _ITEM = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+")
 _DEFINITION = re.compile(r"^ {0,3}\[([^\]]+)\]:\s*<?([^\s>]+)>?")
-_INLINE = re.compile(r"(!?)\[((?:[^\[\]]|\[[^\]]*\])*)\]\(\s*<?([^\s)>]*)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
+_INLINE = re.compile(r"(!?)\[((?:[^\[\]]|\[[^\]]*\])*)\]\(\s*(?:<(?P<angle>[^<>\n]*)>|(?P<bare>(?:[^\s()<]|\([^\s()]*\))*))(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
 _REFERENCE = re.compile(r"(!?)\[([^\[\]]+)\](?:\[([^\[\]]*)\])?(?![(:\[])")
 _CODE_SPAN = re.compile(r"(`+)(.+?)\1(?!`)")
 _DELIMITER = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
@@ -143,7 +145,7 @@ def parse(content: str) -> dict:
     k = start
 
     def heading(at: int, depth: int, raw: str, column: int) -> None:
-        text = plain_text(raw)
+        text = " ".join(plain_text(raw).split("\n"))
         slug = slug_of(text)
         n = slugs.get(slug, 0)
         slugs[slug] = n + 1
@@ -183,8 +185,9 @@ def parse(content: str) -> dict:
             out["code_blocks"].append({"line": k + 1, "end_line": end + 1, "language": None, "meta": None, "content": "\n".join(x[4:] if x.startswith("    ") else x.lstrip("\t") for x in lines[k : end + 1])})
             k = end + 1
             continue
-        if m := _ATX.match(line):
-            heading(k, len(m[1]), m[2] or "", max(0, m.start(2)))
+        quoted = m.end() if (m := _QUOTE.match(line)) else 0
+        if m := _ATX.match(line[quoted:]):
+            heading(k, len(m[1]), m[2] or "", quoted + max(0, m.start(2)))
             in_paragraph = in_list = False
             k += 1
             continue
@@ -195,6 +198,10 @@ def parse(content: str) -> dict:
             in_paragraph = False
             k += 1
             continue
+        if _BREAK.match(line):
+            in_paragraph = in_list = False
+            k += 1
+            continue
         if m := _DEFINITION.match(line):
             definitions.setdefault(" ".join(m[1].lower().split()), (m[2], k + 1, offsets[k] + m.start(2), offsets[k] + m.end(2)))  # the first one counts
             k += 1
@@ -222,10 +229,14 @@ def parse(content: str) -> dict:
             in_list, in_paragraph = True, False
             k += 1
             continue
+        if in_paragraph:  # goes on: a link may reach over the line's end
+            at, raw, column = text_lines.pop()
+            text_lines.append((at, f"{raw}\n{line}", column))
+        else:
+            text_lines.append((k, line, 0))
         if not in_list:
             paragraphs += not in_paragraph
             in_paragraph = True
-        text_lines.append((k, line, 0))
         k += 1
 
     for at, raw, column in text_lines:
@@ -236,7 +247,10 @@ def parse(content: str) -> dict:
             free[a:b] = " " * (b - a)
         bare = "".join(free)
         place = offsets[at] + column
-        found = [(m.start(), m[1], m[2], m[3], "inline", at + 1, place + m.start(3), place + m.end(3)) for m in _INLINE.finditer(bare)]
+        found = []
+        for m in _INLINE.finditer(bare):
+            name = "bare" if m["angle"] is None else "angle"
+            found.append((m.start(), m[1], m[2], m[name], "inline", at + 1 + bare.count("\n", 0, m.start(name)), place + m.start(name), place + m.end(name)))
         rest = list(bare)
         for m in _INLINE.finditer(bare):
             rest[m.start() : m.end()] = "\0" * (m.end() - m.start())
@@ -245,9 +259,9 @@ def parse(content: str) -> dict:
             if name in definitions and not re.fullmatch(r"[ xX]", m[2]):
                 target, *span = definitions[name]
                 found.append((m.start(), m[1], m[2], target, "shortcut" if m[3] is None else "full" if m[3] else "collapsed", *span))
-        for _, bang, text, target, kind, own_line, start, end in sorted(found):
+        for first, bang, text, target, kind, own_line, start, end in sorted(found):
             external = bool(_EXTERNAL.match(target))
-            out["links"].append({"line": at + 1, "text": text, "target": target, "image": bool(bang), "external": external, "anchor": target.startswith("#"), "kind": kind, "destination_line": own_line, "start": start, "end": end})
+            out["links"].append({"line": at + 1 + bare.count("\n", 0, first), "text": " ".join(text.split("\n")), "target": target, "image": bool(bang), "external": external, "anchor": target.startswith("#"), "kind": kind, "destination_line": own_line, "start": start, "end": end})
     out["links"].sort(key=lambda x: x["line"])
     return out | {"words": words, "paragraphs": paragraphs, "lists": lists, "tree": _tree(out["headings"], len(lines))}
 

@@ -130,3 +130,12 @@ def test_repeated_yaml_keys_are_malformed():
     assert E.front_matter("---\na: 1\na: 2\n---".split("\n"))[0] == "malformed"
     assert E.front_matter("---\na: {b: 1, b: 2}\n---".split("\n"))[0] == "malformed"
     assert E.front_matter("---\na: {b: 1}\nc: {b: 1}\n---".split("\n"))[0] == "valid"
+
+
+def test_markdown_corners():
+    text = "> ## Quoted\n\n* * *\n[x](a(b).md) and [long\ntext](c.md \"T\") `[no](n.md)`\nmore [d](<e f.md>)\n***\nTwo line\nheading\n===\n- - -\n* item\n"
+    p = E.parse(text)
+    assert [(h["line"], h["depth"], h["text"], h["slug"]) for h in p["headings"]] == [(1, 2, "Quoted", "quoted"), (8, 1, "Two line heading", "two-line-heading")]
+    assert p["lists"] == 1 and p["paragraphs"] == 1
+    assert [(x["text"], x["target"], x["line"], x["destination_line"]) for x in p["links"]] == [("x", "a(b).md", 4, 4), ("long text", "c.md", 4, 5), ("d", "e f.md", 6, 6)]
+    assert all(text[x["start"] : x["end"]] == x["target"] for x in p["links"])

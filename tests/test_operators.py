@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone import functions as fn
 from lodestone.operators import archive, checks, compare, extract, graph, layout, query, usage
-from lodestone.plans import diffs as diffs_plan, logs, records, usage as usage_plan, workspace
+from lodestone.plans import diffs as diffs_plan, logs, pages, records, renames, usage as usage_plan, workspace
 
 SMALL = "/root/testdata/sf0.001"
 DOC = """---
@@ -49,10 +49,10 @@ def norm(v):
     return str(v) if isinstance(v, (dt.date, dt.datetime)) else v
 
 
-EVERY = {**usage_plan.ORACLE_SQL, **workspace.ORACLE_SQL, **records.ORACLE_SQL, **diffs_plan.ORACLE_SQL, **logs.ORACLE_SQL}
-CALLS = {**usage_plan.QUERIES, **workspace.QUERIES, **records.QUERIES, **diffs_plan.QUERIES, **logs.QUERIES}
+EVERY = {**usage_plan.ORACLE_SQL, **workspace.ORACLE_SQL, **records.ORACLE_SQL, **diffs_plan.ORACLE_SQL, **logs.ORACLE_SQL, **pages.ORACLE_SQL, **renames.ORACLE_SQL}
+CALLS = {**usage_plan.QUERIES, **workspace.QUERIES, **records.QUERIES, **diffs_plan.QUERIES, **logs.QUERIES, **pages.QUERIES, **renames.QUERIES}
 #: Iterative and streaming queries take long here; the driver's comparison covers them.
-SLOW = {"graph_cycles", "graph_components", "graph_reach", "graph_focus", "context_pack", "stream_day_buckets", "stream_distinct", "stream_deltas"}
+SLOW = {"graph_cycles", "graph_components", "graph_reach", "graph_focus", "context_pack", "context_summary", "graph_unreachable", "stream_day_buckets", "stream_distinct", "stream_deltas"}
 
 
 @pytest.fixture(scope="module")
