@@ -63,8 +63,17 @@ def url_findings(links: DataFrame, status: DataFrame, allowed: list[int] = (), t
     return links.where("external").join(judged.withColumnRenamed("url", "target"), "target").select("path", "line", "target", "status")
 
 
-#: Node types of rich text that Markdown holds wholly; others lose something. Fixed values.
-FULL_FIDELITY = ("doc", "paragraph", "text", "heading", "bulletList", "orderedList", "listItem", "codeBlock", "blockquote", "rule", "hardBreak", "table", "tableRow", "tableHeader", "tableCell")
+#: How a rich text's nodes and marks get to Markdown: exact, approximate, or not at all, as types that are not named. Fixed values.
+NODE_FIDELITY = {
+    "exact": ("doc", "paragraph", "text", "heading", "hardBreak", "rule", "blockquote", "bulletList", "orderedList", "listItem", "codeBlock"),
+    "approximate": (
+        "table", "tableRow", "tableCell", "tableHeader", "taskList", "taskItem", "panel", "expand", "nestedExpand", "mediaSingle", "mediaGroup", "media", "mediaInline",
+        "decisionList", "decisionItem", "layoutSection", "layoutColumn", "inlineCard", "blockCard", "embedCard", "mention", "emoji", "status", "date",
+    ),
+    "unsupported": ("placeholder", "extension", "bodiedExtension", "inlineExtension", "multiBodiedExtension", "extensionFrame"),
+}
+EXACT_MARKS = ("strong", "em", "code", "strike", "link")
+KNOWN_NODES = tuple(t for types in NODE_FIDELITY.values() for t in types)
 
 
 def rich_nodes(trees: DataFrame) -> DataFrame:
@@ -88,27 +97,76 @@ def rich_nodes(trees: DataFrame) -> DataFrame:
 
 
 def rich_inventory(nodes: DataFrame) -> DataFrame:
-    """kind (node or mark), type, count, fidelity."""
+    """kind (node or mark), type, count, fidelity (exact, approximate, unsupported)."""
     n = nodes.groupBy(F.lit("node").alias("kind"), "type").agg(F.count("*").alias("count"))
     m = nodes.select(F.explode("marks").alias("type")).groupBy(F.lit("mark").alias("kind"), "type").agg(F.count("*").alias("count"))
-    return n.unionByName(m).withColumn("fidelity", F.when((F.col("kind") == "mark") | F.col("type").isin(*FULL_FIDELITY), "full").otherwise("degraded"))
+    node = F.when(F.col("type").isin(*NODE_FIDELITY["exact"]), "exact").when(F.col("type").isin(*NODE_FIDELITY["approximate"]), "approximate").otherwise("unsupported")
+    mark = F.when(F.col("type").isin(*EXACT_MARKS), "exact").otherwise("unsupported")
+    return n.unionByName(m).withColumn("fidelity", F.when(F.col("kind") == "mark", mark).otherwise(node))
 
 
-#: Children that a node may have. Fixed values.
+#: What may stand where in rich text: children by parent; parents that need one; the one that may have one only. Fixed values.
+INLINE = ("text", "hardBreak", "emoji", "mention", "date", "status", "inlineCard", "placeholder", "mediaInline", "inlineExtension")
+BLOCKS = ("paragraph", "heading", "codeBlock", "rule", "blockquote", "bulletList", "orderedList", "panel", "table", "mediaSingle", "mediaGroup", "taskList", "decisionList", "expand")
+IN_CELLS = (*[t for t in BLOCKS if t not in ("table", "expand")], "nestedExpand")
 CONTENT = {
-    "doc": ("paragraph", "heading", "bulletList", "orderedList", "codeBlock", "blockquote", "rule", "table"), "paragraph": ("text", "hardBreak"), "heading": ("text", "hardBreak"), "bulletList": ("listItem",), "orderedList": ("listItem",),
-    "listItem": ("paragraph", "bulletList", "orderedList", "codeBlock"), "codeBlock": ("text",), "blockquote": ("paragraph", "bulletList", "orderedList", "codeBlock"), "table": ("tableRow",), "tableRow": ("tableCell", "tableHeader"),
-    "tableCell": ("paragraph", "bulletList", "orderedList", "codeBlock", "heading"), "tableHeader": ("paragraph", "bulletList", "orderedList", "codeBlock", "heading"),
-}
+    "doc": BLOCKS,
+    "paragraph": INLINE,
+    "heading": INLINE,
+    "codeBlock": ("text",),
+    "rule": (),
+    "blockquote": ("paragraph", "codeBlock", "bulletList", "orderedList", "mediaSingle", "mediaGroup"),
+    "bulletList": ("listItem",),
+    "orderedList": ("listItem",),
+    "listItem": ("paragraph", "codeBlock", "bulletList", "orderedList", "mediaSingle", "taskList"),
+    "table": ("tableRow",),
+    "tableRow": ("tableCell", "tableHeader"),
+    "tableCell": IN_CELLS,
+    "tableHeader": IN_CELLS,
+    "panel": ("paragraph", "heading", "codeBlock", "rule", "bulletList", "orderedList", "mediaSingle", "mediaGroup", "taskList", "decisionList"),
+    "expand": (*[t for t in BLOCKS if t != "expand"], "nestedExpand"),
+    "nestedExpand": tuple(t for t in IN_CELLS if t != "nestedExpand"),
+    "taskList": ("taskItem", "taskList"),
+    "taskItem": INLINE,
+    "decisionList": ("decisionItem",),
+    "decisionItem": INLINE,
+    "mediaSingle": ("media",),
+    "mediaGroup": ("media",),
+    "media": (),
+}
+NEED_CONTENT = ("blockquote", "bulletList", "orderedList", "listItem", "table", "tableCell", "tableHeader", "panel", "expand", "nestedExpand", "taskList", "decisionList", "mediaSingle", "mediaGroup")
+ONE_CHILD = ("mediaSingle",)
 
 
 def rich_findings(nodes: DataFrame) -> DataFrame:
-    """Nodes that their parent may not hold, and roots that are no doc."""
-    pairs = nodes.sparkSession.createDataFrame([(p, c) for p, cs in CONTENT.items() for c in cs], "parent_type string, type string")
+    """path, node_id, type, parent_type, finding of nodes of rich text that break the content model.
+
+    Findings: not-allowed (the parent may not hold it), too-few and too-many (children),
+    unknown (a type that nobody knows; at the top that is all that is said of it), no-doc
+    (a root of another type) and marked-code (marks on the text of a code block).
+    """
     up = nodes.select("path", F.col("node_id").alias("parent_id"), F.col("type").alias("parent_type"))
-    inner = nodes.where("parent_id >= 0").join(up, ["path", "parent_id"]).join(F.broadcast(pairs), ["parent_type", "type"], "left_anti")  # pairs: a fixed table
-    roots = nodes.where("parent_id < 0 and (type is null or type <> 'doc')")
-    return inner.select("path", "node_id", "type", "parent_type").unionByName(roots.select("path", "node_id", "type", F.lit(None).cast("string").alias("parent_type")))
+    inner = nodes.where("parent_id >= 0").join(up, ["path", "parent_id"])
+    held = F.create_map(*[x for p, own in CONTENT.items() for x in (F.lit(p), F.array(*[F.lit(c) for c in own]).cast("array<string>"))])
+    allowed = F.try_element_at(held, F.col("parent_type"))
+    known = F.coalesce(F.col("type").isin(*KNOWN_NODES), F.lit(False))
+    at_top = F.col("parent_type") == "doc"
+    finding = F.filter(
+        F.array(
+            F.when(allowed.isNotNull() & ~F.coalesce(F.array_contains(allowed, F.col("type")), F.lit(False)) & ~(at_top & ~known), "not-allowed"),
+            F.when(~known, "unknown"),
+            F.when((F.col("parent_type") == "codeBlock") & (F.size("marks") > 0), "marked-code"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    placed = inner.select("path", "node_id", "type", "parent_type", F.explode(finding).alias("finding"))
+    count = nodes.where("parent_id >= 0").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n"))
+    bounded = nodes.where(F.col("type").isin(*NEED_CONTENT)).join(up, ["path", "parent_id"], "left")
+    sized = bounded.join(count, ["path", "node_id"], "left")
+    number = F.when(F.col("n").isNull(), "too-few").when(F.col("type").isin(*ONE_CHILD) & (F.col("n") > 1), "too-many")
+    sized = sized.select("path", "node_id", "type", "parent_type", number.alias("finding")).where("finding is not null")
+    roots = nodes.where("parent_id < 0 and (type is null or type <> 'doc')").select("path", "node_id", "type", F.lit(None).cast("string").alias("parent_type"), F.lit("no-doc").alias("finding"))
+    return placed.unionByName(sized).unionByName(roots)
 
 
 def _inline(node: dict) -> str:

@@ -55,14 +55,15 @@ def _trees(s, d):
     docs = table(s, d, "documents")
     text = "named_struct('type', 'text', 'text', concat('w', doc_id), 'marks', CASE WHEN doc_id % 2 = 0 THEN array(named_struct('type', 'strong')) END)"
     para = f"named_struct('type', 'paragraph', 'content', array({text}))"
-    body = f"concat('{{\"type\":\"doc\",\"content\":[', to_json({para}), CASE WHEN doc_id % 3 = 0 THEN ',{{\"type\":\"rule\"}}' ELSE '' END, CASE WHEN doc_id % 5 = 0 THEN ',{{\"type\":\"panel\",\"content\":[]}}' ELSE '' END, ']}}')"
+    body = f"concat('{{\"type\":\"doc\",\"content\":[', to_json({para}), CASE WHEN doc_id % 3 = 0 THEN ',{{\"type\":\"rule\"}}' ELSE '' END, CASE WHEN doc_id % 10 = 0 THEN ',{{\"type\":\"panel\",\"content\":[{{\"type\":\"table\"}}]}}' WHEN doc_id % 5 = 0 THEN ',{{\"type\":\"panel\",\"content\":[]}}' ELSE '' END, ']}}')"
     return docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.expr(body).alias("tree"))
 
 
 QUERIES["rich_inventory"] = lambda s, d: K.rich_inventory(K.rich_nodes(_trees(s, d)))
-ORACLE_SQL["rich_inventory"] = """SELECT * FROM (SELECT 'node' AS kind, t AS type, CASE t WHEN 'rule' THEN count(*) FILTER (doc_id % 3 = 0) WHEN 'panel' THEN count(*) FILTER (doc_id % 5 = 0) ELSE count(*) END AS count, CASE WHEN t = 'panel' THEN 'degraded' ELSE 'full' END AS fidelity
-FROM documents, (SELECT unnest(['doc', 'paragraph', 'text', 'rule', 'panel']) AS t) GROUP BY t UNION ALL SELECT 'mark', 'strong', count(*) FILTER (doc_id % 2 = 0), 'full' FROM documents) WHERE count > 0"""
-QUERIES["rich_findings"] = lambda s, d: K.rich_findings(K.rich_nodes(_trees(s, d))).select("path", "type", "parent_type")
-ORACLE_SQL["rich_findings"] = "SELECT concat('d', doc_id) AS path, 'panel' AS type, 'doc' AS parent_type FROM documents WHERE doc_id % 5 = 0"
+ORACLE_SQL["rich_inventory"] = """SELECT * FROM (SELECT 'node' AS kind, t AS type, CASE t WHEN 'rule' THEN count(*) FILTER (doc_id % 3 = 0) WHEN 'panel' THEN count(*) FILTER (doc_id % 5 = 0) WHEN 'table' THEN count(*) FILTER (doc_id % 10 = 0) ELSE count(*) END AS count, CASE WHEN t IN ('panel', 'table') THEN 'approximate' ELSE 'exact' END AS fidelity
+FROM documents, (SELECT unnest(['doc', 'paragraph', 'text', 'rule', 'panel', 'table']) AS t) GROUP BY t UNION ALL SELECT 'mark', 'strong', count(*) FILTER (doc_id % 2 = 0), 'exact' FROM documents) WHERE count > 0"""
+QUERIES["rich_findings"] = lambda s, d: K.rich_findings(K.rich_nodes(_trees(s, d))).select("path", "type", "parent_type", "finding")
+ORACLE_SQL["rich_findings"] = """SELECT concat('d', doc_id) AS path, 'panel' AS type, 'doc' AS parent_type, 'too-few' AS finding FROM documents WHERE doc_id % 5 = 0 AND doc_id % 10 <> 0
+UNION ALL SELECT concat('d', doc_id), 'table', 'panel', f FROM documents, (SELECT unnest(['not-allowed', 'too-few']) AS f) WHERE doc_id % 10 = 0"""
 QUERIES["rich_to_markdown"] = lambda s, d: K.to_markdown(_trees(s, d))
 ORACLE_SQL["rich_to_markdown"] = "SELECT concat('d', doc_id) AS path, concat(CASE WHEN doc_id % 2 = 0 THEN concat('**w', doc_id, '**') ELSE concat('w', doc_id) END, CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), chr(10), '---') ELSE '' END) AS markdown FROM documents"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import compare, context, diffs, graph
+from lodestone.operators import checks, compare, context, diffs, graph
 from lodestone.operators import extract as E
 
 DOCS = {
@@ -139,3 +140,24 @@ def test_markdown_corners():
     assert p["lists"] == 1 and p["paragraphs"] == 1
     assert [(x["text"], x["target"], x["line"], x["destination_line"]) for x in p["links"]] == [("x", "a(b).md", 4, 4), ("long text", "c.md", 4, 5), ("d", "e f.md", 6, 6)]
     assert all(text[x["start"] : x["end"]] == x["target"] for x in p["links"])
+
+
+def test_rich_text_content_model(spark):
+    def node(kind, *content, **more):
+        return {"type": kind, **more, **({"content": list(content)} if content else {})}
+
+    text = node("text", text="t")
+    para = node("paragraph", text)
+    trees = {
+        "ok": node("doc", node("panel", para), node("expand", node("nestedExpand", para)), node("taskList", node("taskItem", text), node("taskList", node("taskItem"))), node("table", node("tableRow")), node("mediaSingle", node("media"))),
+        "bad": node("doc", node("panel"), node("blockquote", node("heading", text)), node("mediaSingle", node("media"), node("media")), node("odd"), node("paragraph", node("odd")), node("codeBlock", node("text", text="x", marks=[{"type": "strong"}])), node("listItem", para)),
+        "root": node("paragraph"),
+        "empty": node("doc"),
+    }
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in trees.items()] + [("none", None)], "path string, tree string")
+    got = sorted((r.path, r.type, r.parent_type, r.finding) for r in checks.rich_findings(checks.rich_nodes(rows)).where("path <> 'root'").collect())
+    assert got == sorted([
+        ("bad", "panel", "doc", "too-few"), ("bad", "heading", "blockquote", "not-allowed"), ("bad", "mediaSingle", "doc", "too-many"), ("bad", "odd", "doc", "unknown"),
+        ("bad", "odd", "paragraph", "not-allowed"), ("bad", "odd", "paragraph", "unknown"), ("bad", "text", "codeBlock", "marked-code"), ("bad", "listItem", "doc", "not-allowed"),
+    ])
+    assert [(r.path, r.finding) for r in checks.rich_findings(checks.rich_nodes(rows)).where("path = 'root'").collect()] == [("root", "no-doc")]
