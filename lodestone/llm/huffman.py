@@ -249,7 +249,11 @@ def _codebook(lengths: bytes) -> Codebook:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (packed little-endian, 2 bytes each if the vocabulary allows) with end_id appended."""
+    """doc_id, n_tokens, ids (packed little-endian, 2 bytes each if the vocabulary allows) with end_id appended.
+
+    A null text counts as empty: its only id is end_id. Null and repeated ids are rows
+    like others, other columns are left out, an empty table gives an empty result.
+    """
 
     def run(batches):
         c = encoder(path, end_id)
@@ -361,7 +365,7 @@ def read(files: DataFrame, lengths: np.ndarray) -> DataFrame:
 
 
 def digests(read_back: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the unsigned crc32 of the ids that were read."""
+    """doc_id, start, n_tokens and the unsigned crc32 of the ids that were read; a row per row of read(), none for an empty table."""
     return read_back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -131,7 +131,7 @@ def draws(spark, by_source: DataFrame) -> DataFrame:
 
 
 def shard_counts(draws: DataFrame) -> DataFrame:
-    """shard, rank, n: how many slots of each output shard a source got, the multinomial draw given exact totals."""
+    """shard, rank, n: how many slots of each output shard a source got, the multinomial draw given exact totals; no draws, no rows."""
     return draws.groupBy("shard", "rank").agg(F.count("*").alias("n"))
 
 
@@ -173,7 +173,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Pass p holds the document's words whose block is used at least p times, in order.
     A pass that takes all words keeps the text as it is. n_chars follows the text. A
     document without words joins the first pass untouched. Ids may be null or repeated:
-    rows are told apart by a number of their own, which is written with them.
+    rows are told apart by a number of their own, which is written with them. A null text
+    is a document without words. An empty table gives an empty result.
     """
     row, words_, runs_, split_, text_ = free_names(docs.columns, "row", "words", "runs", "split", "whole")
     own = docs.columns

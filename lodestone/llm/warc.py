@@ -170,7 +170,8 @@ def _bridged(t: Tree, layers: int, inner: int) -> list[DataFrame]:
 def damaged(a: Tree, b: Tree) -> DataFrame:
     """shard, seq of leaves that differ, are missing or are extra; found from the top down.
 
-    Trees of different heights are brought to one height first.
+    Trees of different heights are brought to one height first. Equal trees, empty ones
+    among them, give no rows.
     """
     inner, since = max(a.inner, b.inner), mark()
     layers = inner + max(len(t.layers) - t.inner for t in (a, b))
