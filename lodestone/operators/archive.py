@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,19 +54,25 @@ def status(artifact: DataFrame, blob: DataFrame) -> DataFrame:
 def seals(blobs: DataFrame, threshold: int) -> DataFrame:
     """segment of each blob in order: a segment is sealed once it holds threshold bytes.
 
-    The fill starts anew at each seal, so it is a fold, run per shard; shards bound it.
+    The fill starts anew at each seal, so it is a fold. A shard's blobs pass through one
+    task in order, a batch at a time; the task holds two numbers.
     """
 
-    def run(keys, pdf):
-        segment, held, out = 0, 0, []
-        for size in pdf.sort_values("ord")["size"]:
-            out.append(segment)
-            held += size
-            if held >= threshold:
-                segment, held = segment + 1, 0
-        return pdf.sort_values("ord").assign(segment=out)
-
-    return blobs.groupBy("shard").applyInPandas(run, T.StructType([*blobs.schema.fields, T.StructField("segment", T.LongType())]))
+    def run(batches):
+        shard, segment, held = None, 0, 0
+        for b in batches:
+            out = []
+            for own, size in zip(b.column("shard").to_pylist(), b.column("size").to_pylist(), strict=True):
+                if own != shard:
+                    shard, segment, held = own, 0, 0
+                out.append(segment)
+                held += size
+                if held >= threshold:
+                    segment, held = segment + 1, 0
+            yield b.append_column("segment", pa.array(out, pa.int64()))
+
+    ordered = blobs.repartition("shard").sortWithinPartitions("shard", "ord")
+    return ordered.mapInArrow(run, T.StructType([*blobs.schema.fields, T.StructField("segment", T.LongType())]))
 
 
 def verify(artifact: DataFrame, blob: DataFrame, content: DataFrame) -> DataFrame:

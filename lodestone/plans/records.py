@@ -209,7 +209,12 @@ _add(
     lambda s, d: A.freshness(*[table(s, d, "documents").where(w).select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), F.col("n_chars").alias("size"), F.expr(m).alias("mtime")) for w, m in (("doc_id % 5 <> 1", "doc_id % 8 = 0"), ("doc_id % 6 <> 1", "false"))]),
     "SELECT concat('p', doc_id) AS path, CASE WHEN doc_id % 6 = 1 THEN 'new' WHEN doc_id % 5 = 1 THEN 'gone' WHEN doc_id % 8 = 0 THEN 'stale' ELSE 'current' END AS state FROM documents WHERE doc_id % 5 <> 1 OR doc_id % 6 <> 1",
 )
-_add("archive_seals", lambda s, d: A.seals(_artifacts(s, d).select(F.col("provider").alias("shard"), F.col("id").alias("ord"), "size"), 20_000).groupBy("shard").agg(F.count_distinct("segment").alias("segments"), F.count("*").alias("blobs")))
+_add("archive_seals", lambda s, d: A.seals(_artifacts(s, d).select(F.col("provider").alias("shard"), F.col("id").alias("ord"), "size"), 20_000).groupBy("shard").agg(F.count_distinct("segment").alias("segments"), F.count("*").alias("blobs")),
+    f"""WITH RECURSIVE a AS ({_ART}), n AS (SELECT provider AS shard, size, row_number() OVER (PARTITION BY provider ORDER BY id) AS k FROM a),
+fold(shard, k, segment, held, sealed) AS (SELECT shard, 1, 0, CASE WHEN size >= 20000 THEN 0 ELSE size END, size >= 20000 FROM n WHERE k = 1
+  UNION ALL SELECT n.shard, n.k, segment + CASE WHEN sealed THEN 1 ELSE 0 END, CASE WHEN held + size >= 20000 THEN 0 ELSE held + size END, held + size >= 20000 FROM fold JOIN n ON n.shard = fold.shard AND n.k = fold.k + 1)
+SELECT shard, count(DISTINCT segment) AS segments, count(*) AS blobs FROM fold GROUP BY shard""",
+)
 
 # Layout: line items as runs on pages.
 _RUN = "SELECT l_suppkey AS doc, CAST(l_orderkey % 6 AS BIGINT) AS page, l_orderkey * 8 + l_linenumber AS index, concat('w', l_linenumber, CASE WHEN l_partkey % 3 = 0 THEN 'x' ELSE 'yy' END) AS text, CAST(l_partkey % 97 AS DOUBLE) * 6 AS x, CAST(l_orderkey % 31 AS DOUBLE) * 3 AS y, CAST(10 + l_linenumber AS DOUBLE) AS width, CAST(8 + 2 * (l_linenumber % 4) AS DOUBLE) AS size FROM lineitem"
