@@ -188,3 +188,9 @@ def test_traversal_visits_nearest_cells_in_order():
         order = index.traverse(x, y, 81)
         sums = [x[c // 9] + y[c % 9] for c in order]
         assert sorted(order) == list(range(81)) and sums == sorted(sums)
+
+
+def test_vectors_of_any_scale_are_linked(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1e-200, 0.0]), (4, [2e-200, 0.0]), (5, [0.0, 5e-324]), (6, [0.0, 7.0]), (7, [0.0, 0.0]), (8, [float("inf"), 1.0])]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert out == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (0, 8)}
