@@ -32,6 +32,8 @@ COORDINATES, MATCHES = 64, 32
 TURNS, MEETINGS = 2, 3
 #: Members of a block; a tile has two.
 TILE = 256
+#: Orders of lists are multiples of this plus the coordinate.
+_ORDER = 4096
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 KEPT_WORDS = 250_000
@@ -139,13 +141,13 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def posting_prefixes(classes: DataFrame, k: int, matches: int) -> DataFrame:
-    """c, v, key: for each class the pairs of its prefix that another class holds as well."""
+    """c, v, key, held: for each class the pairs of its prefix that another class holds as well, and how often all its pairs are held."""
     posts = classes.select("key", F.posexplode("sig").alias("c", "v"))
     counts = posts.groupBy("c", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posts.join(counts, ["c", "v"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "c", "v"))).alias("p"))  # k items at most
+    shared = posts.join(counts, ["c", "v"]).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "c", "v"))).alias("p"), F.sum("n").alias("held"))  # k items at most
     # pairs that no other class has are the rarest, so they fill the prefix first
     room = F.lit(k - matches + 1) - (F.lit(k) - F.size("p"))
-    return shared.where(room > 0).select("key", F.explode(F.slice("p", 1, room)).alias("p")).select("p.c", "p.v", "key")
+    return shared.where(room > 0).select("key", "held", F.explode(F.slice("p", 1, room)).alias("p")).select("p.c", "p.v", "key", "held")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
@@ -156,14 +158,15 @@ def _alike(pairs: DataFrame, classes: DataFrame, matches: int) -> DataFrame:
 
 
 def _hub_pairs(posts: DataFrame, turn: int) -> DataFrame:
-    """Pairs of members and hubs of posting lists (c, v, key, comp).
+    """Pairs of members and hubs of posting lists (c, v, key, comp, at first held).
 
-    At first a list's hub is its smallest key. Later it is some member of the list's
+    At first a list's hub is the member whose pairs are held most often, which of edited
+    copies is their original or whatever is most like it. Later it is some member of the list's
     largest component, another in each list and turn, and is met by members of other
     components, each in MEETINGS of its lists.
     """
     if turn == 0:
-        hubs = posts.groupBy("c", "v").agg(F.min("key").alias("hub"))
+        hubs = posts.groupBy("c", "v").agg(F.max(F.struct("held", "key")).alias("m")).select("c", "v", F.col("m.key").alias("hub"))
         met = posts.join(hubs, ["c", "v"]).where("key <> hub")
     else:
         largest = posts.groupBy("c", "v", "comp").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64("key", "c", "v", F.lit(turn))).alias("hub"))
@@ -193,20 +196,39 @@ def _tiles(posts: DataFrame, tile: int) -> DataFrame:
 
 
 def _candidates(t: pa.Table, matches: int) -> np.ndarray:
-    """Pairs of rows, one from each side of a tile, of different components, whose signatures agree enough."""
-    side, i, j = t.column("side").to_numpy(), t.column("i")[0].as_py(), t.column("j")[0].as_py()
-    _, comp = np.unique(np.array([bytes(x) for x in t.column("comp").to_pylist()], "S16"), return_inverse=True)
-    sig = np.array(t.column("sig").to_pylist(), np.int32)
+    """Pairs of rows, one from each side of a tile, of different components, whose signatures agree enough.
+
+    A pair that meets in a list of higher order as well is left to that one, so it is found once.
+    """
+    side, c, i, j = t.column("side").to_numpy(), *(t.column(n)[0].as_py() for n in ("c", "i", "j"))
+    comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+    sig, orders = t.column("sig").combine_chunks(), t.column("orders").combine_chunks()
+    k = len(sig[0])
+    sig = sig.flatten().to_numpy().reshape(-1, k)
+    # a bit for each coordinate in whose list, of higher order than this one, a row is
+    order = np.full(sig.shape, -1, np.int64)
+    flat = orders.flatten().to_numpy()
+    order[np.repeat(np.arange(len(sig)), orders.value_lengths().to_numpy()), flat % _ORDER] = flat
+    higher = _bits(order > order[:, c : c + 1])
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    out = []
-    for x in left:
-        ys = right[(comp[right] != comp[x]) & ((right > x) if i == j else True)]
-        ys = ys[(sig[ys] == sig[x]).sum(axis=1) >= matches]
-        if len(ys):
-            out.append(np.stack([np.full(len(ys), x), ys], 1))
+    out, step = [], max(1, 4_000_000 // (k * max(1, len(right))))
+    for at in range(0, len(left), step):
+        xs = left[at : at + step]
+        agree = _bits(sig[xs][:, None, :] == sig[right][None, :, :])
+        found = (np.bitwise_count(agree).sum(axis=2, dtype=np.int64) >= matches) & (comp[xs][:, None] != comp[right][None, :])
+        found &= ~(agree & higher[xs][:, None, :] & higher[right][None, :, :]).any(axis=2)
+        if i == j:
+            found &= xs[:, None] < right[None, :]
+        x, y = np.nonzero(found)
+        out.append(np.stack([xs[x], right[y]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
+def _bits(flags: np.ndarray) -> np.ndarray:
+    """Flags along the last axis, packed."""
+    return np.packbits(flags, axis=-1)
+
+
 def _similar(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of sets are alike to percent; common members are counted by matrix products where pairs are many."""
     size = np.array([len(s) for s in sets])
@@ -233,15 +255,19 @@ def _tiled(posts: DataFrame, classes: DataFrame, sets: DataFrame, matches: int,
     """Links between components within posting lists, a stage table: of each tile as many as join its components, confirmed.
 
     First only those members are told that have a candidate in their tile; just they
-    bring their full sets.
+    bring their full sets. Lists are ordered by size, then by coordinate: alike members
+    share their largest lists with the same others, so most pairs fall to few lists.
     """
-    sig = classes.select("key", "sig")
+    order = F.floor(4 * F.log2("n")).cast("int") * _ORDER + F.col("c")
+    orders = posts.join(posts.groupBy("c", "v").agg(F.count("*").alias("n")), ["c", "v"]).groupBy("key").agg(F.collect_list(order).alias("orders"))  # as many as coordinates at most
+    sig = classes.select("key", "sig").join(orders, "key")
 
     def some(t: pa.Table) -> pa.Table:
         rows = np.unique(_candidates(t, matches))
-        return t.select(["c", "v", "i", "j", "side", "key", "comp", "sig"]).take(pa.array(rows, pa.int64()))
+        return t.select(["c", "v", "i", "j", "side", "key", "comp", "sig", "orders"]).take(pa.array(rows, pa.int64()))
 
-    kept = _tiles(posts, tile).join(sig, "key").groupBy("c", "v", "i", "j").applyInArrow(some, "c int, v int, i int, j int, side int, key binary, comp binary, sig array<int>")
+    tiles = _tiles(posts, tile).join(sig, "key").select("c", "v", "i", "j", "side", "key", "comp", "sig", "orders")
+    kept = tiles.groupBy("c", "v", "i", "j").applyInArrow(some, tiles.schema)
 
     def link(t: pa.Table) -> pa.Table:
         pairs = _candidates(t, matches)

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import minhash, vectors
 from lodestone.llm.common import components
@@ -115,6 +116,44 @@ def test_minhash_tiles_alone_find_all_components(spark, tile):
     assert same(got) == same(alike)
 
 
+def staged_rows(monkeypatch, name):
+    """Rows of the stage tables of a name, as they are written."""
+    counts, write = [], minhash.stage
+
+    def counted(df, own):
+        out = write(df, own)
+        if own == name:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "stage", counted)
+    return counts
+
+
+def test_a_pair_is_compared_in_one_of_its_lists(spark, monkeypatch):
+    """24 texts that share all 20 lists: each pair counts in the list of the highest order alone."""
+    kept = staged_rows(monkeypatch, "kept")
+    keys = [bytes([k]) * 16 for k in range(24)]
+    classes = spark.createDataFrame([(k, list(range(64))) for k in keys], "key binary, sig array<int>")
+    posts = spark.createDataFrame([(c, c, k, k) for c in range(20) for k in keys], "c int, v int, key binary, comp binary")
+    sets = spark.createDataFrame([(k, np.array([n, *range(100, 120)], np.uint64).tobytes()) for n, k in enumerate(keys)], "key binary, shingles binary")
+    links = [(bytes(a), bytes(b)) for a, b in minhash._tiled(posts, classes, sets, 32, 80, 256).collect()]
+    assert set(union(links)) == set(keys) and len(set(union(links).values())) == 1
+    assert kept == [23 + 24]  # a tile of the smaller components, and one of theirs with the largest's
+
+
+def test_edited_copies_meet_their_original_first(spark):
+    """The hub of a list is the member whose pairs are held most often, wherever its key stands."""
+    original, copies = b"m" * 16, [bytes([k]) * 16 for k in (1, 7, 250)]
+    texts = [" ".join(f"e{n}" if n and at == 9 * n else f"w{at}" for at in range(90)) for n in range(4)]
+    rows = [(k, minhash.signature(minhash.Shingler(5).hashes(t)).tolist()) for k, t in zip([original, *copies], texts, strict=True)]
+    posts = minhash.posting_prefixes(spark.createDataFrame(rows, "key binary, sig array<int>"), 64, 32)
+    whole = posts.groupBy("c", "v").count().where("count = 4")
+    posts = posts.join(whole, ["c", "v"], "left_semi").withColumn("comp", F.col("key"))
+    got = {frozenset((bytes(a), bytes(b))) for a, b in minhash._hub_pairs(posts, 0).select("a", "b").collect()}
+    assert got == {frozenset((original, k)) for k in copies}
+
+
 def test_minhash_of_nothing(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = minhash.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()
