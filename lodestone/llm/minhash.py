@@ -211,22 +211,28 @@ def _candidates(t: pa.Table, matches: int) -> np.ndarray:
     order[np.repeat(np.arange(len(sig)), orders.value_lengths().to_numpy()), flat % _ORDER] = flat
     higher = _bits(order > order[:, c : c + 1])
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    out, step = [], max(1, 4_000_000 // (k * max(1, len(right))))
+    out, step = [], max(1, 1_000_000 // (k * max(1, len(right))))
     for at in range(0, len(left), step):
         xs = left[at : at + step]
         agree = _bits(sig[xs][:, None, :] == sig[right][None, :, :])
-        found = (np.bitwise_count(agree).sum(axis=2, dtype=np.int64) >= matches) & (comp[xs][:, None] != comp[right][None, :])
-        found &= ~(agree & higher[xs][:, None, :] & higher[right][None, :, :]).any(axis=2)
+        found = comp[xs][:, None] != comp[right][None, :]
         if i == j:
             found &= xs[:, None] < right[None, :]
+        words = range(agree.shape[2])
+        found &= sum(np.bitwise_count(agree[:, :, w]).astype(np.int32) for w in words) >= matches
+        for w in words:
+            found &= (agree[:, :, w] & higher[xs, None, w] & higher[None, right, w]) == 0
         x, y = np.nonzero(found)
         out.append(np.stack([xs[x], right[y]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def _bits(flags: np.ndarray) -> np.ndarray:
-    """Flags along the last axis, packed."""
-    return np.packbits(flags, axis=-1)
+    """Flags along the last axis, packed in words of 64."""
+    packed = np.packbits(flags, axis=-1)
+    if over := packed.shape[-1] % 8:
+        packed = np.concatenate([packed, np.zeros((*packed.shape[:-1], 8 - over), np.uint8)], axis=-1)
+    return packed.view(np.uint64)
 
 
 def _similar(sets: list[np.ndarray], pairs: np.ndarray, percent: int) -> np.ndarray:
