@@ -14,19 +14,23 @@ import json
 import re
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import drop_stage, sole, stage, text_batches
+from lodestone.llm.bpe import byte_symbols
+from lodestone.llm.common import drop_stage, sole, stage
 
 #: Longest code in bits (more if there are more ids than fit), ids between checkpoints, ids after which a block ends.
 MAX_BITS, CHECKPOINT, BLOCK_IDS = 18, 128, 262_144
 #: Entries after which a memory of a Python worker starts anew.
 KEPT_WORDS = 1_000_000
+#: Bytes of text after which a task's texts are encoded.
+TEXT_BYTES = 6_000_000
 #: Longer words are not kept.
 KEPT_CHARS = 256
 
@@ -34,6 +38,12 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"  # without the dotted capital I, whose l
 #: Cuts where the word tokenizer always starts anew: blanks, and from Latin letters to ASCII signs.
 _CHUNK = re.compile(rf"[{_LETTERS}]++(?=[!-@\[-`{{-~ \t\n\r]|\Z)|[^ \t\n\r]+")
 _RUN = re.compile(rf"[{_LETTERS}]++(?=[!-@\[-`{{-~]|\Z)")
+#: The same cuts over many words at once, with the blanks between them; and what a word must not hold for that.
+_CHUNK_OR_BLANK = re.compile(rf"[{_LETTERS}]++(?=[!-@\[-`{{-~ ]|\Z)|[^ ]+| ")
+_ODD = re.compile("[^\x00-įı-ɏ]")
+_ODD_TEXT = r"[^\x00-\x{24F}]"
+#: Words in one text for the library; many more make its own bookkeeping dearer.
+_TOGETHER = 128
 
 
 #: The normaliser, splitter and word end for which the cuts above hold.
@@ -48,6 +58,8 @@ _RULES = {
     },
     "post_processor": None,
 }
+#: What a model says besides its vocabulary and merges.
+_OPTIONS = ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "dropout", "ignore_merges")
 
 
 def cuts_hold(path: str) -> bool:
@@ -57,6 +69,22 @@ def cuts_hold(path: str) -> bool:
     return all(spec.get(k) == v for k, v in _RULES.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
 
 
+def _plain(path: str):
+    """The file's model alone, for words that need no normalising and no splitting any more, given as byte symbols between blanks.
+
+    Without the library's own memory: a word comes here once.
+    """
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)["model"]
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["merges"]]
+    options = {k: spec[k] for k in _OPTIONS if spec.get(k) is not None}
+    out = Tokenizer(models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0, **options))
+    out.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return out
+
+
 def _cut(w: str) -> list[str]:
     """The parts of a word without blanks, runs of letters in lower case; the usual shapes first."""
     if w.isascii():
@@ -72,61 +100,83 @@ class Encoder:
 
     A file with other rules than these cuts rely on gets whole texts, each apart. Else
     there are two memories: of what stands between blanks, and of its parts. Only parts that are
-    new go to the library; runs of letters go together, as one text, whose ids part
+    new go to the library; runs of letters go together, as one text of byte symbols, whose ids part
     where a word ends.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.library, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # for words that need no normalising and no splitting any more: the same model
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = "|".join(map(re.escape, self.specials))
         vocab = self.library.get_vocab(with_added_tokens=True)
         size = max([end_id, *vocab.values()]) + 1
-        self.kind = "<u2" if size <= 1 << 16 else "<u4"
+        self.kind = "<u2" if size < 1 << 16 else "<u4"  # the highest value is no id: it parts words
+        self.mark = np.iinfo(self.kind).max
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.end = np.array([end_id], self.kind).tobytes()
         self.chunks: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
         self.long, self.cuts = False, cuts_hold(path)
+        self.plain = _plain(path) if self.cuts else None
+        self.symbols = np.array([ord(c) for c in byte_symbols()], "<u2")
+        self.symbols[32] = 32
 
     def _ask(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _ask_runs(self, words: list[str]) -> None:
         """Runs of lower-case letters, many in one text: the last id of each is a word's end."""
-        for k in range(0, len(words), 1024):
-            some = words[k : k + 1024]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+        for k in range(0, len(words), _TOGETHER):
+            some = words[k : k + _TOGETHER]
+            text = " ".join(some)
+            if not text.isascii():
+                text = self.symbols[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-16-le")
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
             at = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
             raw = ids.tobytes()
             if len(at) == len(some):
-                self.parts.update(zip(some, (raw[x:y] for x, y in zip([0, *at], at, strict=False)), strict=True))
+                self.parts.update(zip(some, [raw[x:y] for x, y in zip([0, *at], at, strict=False)], strict=True))
             else:
                 self.parts.update((p, self._ask(p).tobytes()) for p in some)
 
+    def _cut_all(self, words: list[str]) -> list[str]:
+        """The parts of all words, with a blank between words."""
+        low = " ".join(words).lower()
+        if not _ODD.search(low) and not any(s in low for s in self.specials):
+            return _CHUNK_OR_BLANK.findall(low)
+        flat = [p for w in words for p in (*_cut(w), " ")]
+        return flat[:-1]
+
     def _learn(self, words: set[str]) -> None:
         """Takes words without blanks into both memories."""
         if len(self.parts) > KEPT_WORDS:
             self.parts = {}
         parts = self.parts
-        low = [_cut(w) for w in words]
-        new = set(chain.from_iterable(low)).difference(parts)
-        runs = [p for p in new if _RUN.match(p)]
+        parts[" "] = np.array([self.mark], self.kind).tobytes()
+        odd = [w for w in words if not w.isascii() and _ODD.search(w)]
+        usual = list(words.difference(odd))
+        flat = [*self._cut_all(usual), *([" "] if usual and odd else []), *self._cut_all(odd)]
+        new = set(flat).difference(parts)
+        runs = [p for p in new if _RUN.fullmatch(p)]
         self._ask_runs(runs)
         for p in new.difference(runs):
             parts[p] = self._ask(p).tobytes()
         self.long = any(len(p) > KEPT_CHARS for p in new)
-        get = parts.__getitem__
-        self.chunks.update(zip(words, [get(ws[0]) if len(ws) == 1 else b"".join(map(get, ws)) for ws in low], strict=True))
+        raw = b"".join(map(parts.__getitem__, flat))
+        width = len(self.end)
+        at = (np.flatnonzero(np.frombuffer(raw, self.kind) == self.mark) * width).tolist()
+        self.chunks.update(zip([*usual, *odd], [raw[x:y] for x, y in zip([0, *[x + width for x in at]], [*at, len(raw)], strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with the end id."""
+        return self.encode_column(pa.array(texts, pa.string())).to_pylist()
+
+    def encode_column(self, texts: pa.StringArray) -> pa.BinaryArray:
         """Ids of each text with the end id. Nothing here is cyclic, so the collector need not look through the words meanwhile."""
         was = gc.isenabled()
         gc.disable()
@@ -136,32 +186,48 @@ class Encoder:
             if was:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _usual(self, texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+        """The texts to be cut, A-Z in lower case, and which ones the library must see whole (those are empty here).
+
+        Lower case comes first only where nothing composes; a special string in any case keeps its text whole.
+        """
+        if not self.cuts:
+            return pa.array([""] * len(texts), pa.string()), np.arange(len(texts))
+        whole = pc.match_substring_regex(texts, self.special, ignore_case=True) if self.special else pa.array([False] * len(texts))
+        odd = pc.match_substring_regex(texts, _ODD_TEXT)
+        low = pc.ascii_lower(texts)
+        if pc.any(odd).as_py():
+            low = pc.if_else(odd, texts, low)
+        if pc.any(whole).as_py():
+            low = pc.if_else(whole, "", low)
+        return low, np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+
+    def _encode(self, texts: pa.StringArray) -> pa.BinaryArray:
+        """Every distinct word of the column is looked up once; Arrow puts their ids in the texts' order."""
+        if not len(texts):
+            return pa.array([], pa.binary())
         if len(self.chunks) > KEPT_WORDS:
             self.chunks = {"": b""}
-        chunks, end, out, late, new = self.chunks, self.end, [], [], set()
-        for k, t in enumerate(texts):
-            if not self.cuts or any(s in t for s in self.specials):
-                out.append(self._ask(t).tobytes() + end)
-                continue
-            ws = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            got = list(map(chunks.get, ws))
-            try:
-                out.append(b"".join(got) + end)
-            except TypeError:  # some are new
-                out.append(b"")
-                late.append((k, ws, got))
-                new.update([w for w, c in zip(ws, got, strict=True) if c is None])
-        if late:
+        usual, whole = self._usual(texts)
+        cut = pc.ascii_split_whitespace(usual)
+        coded = cut.flatten().dictionary_encode()
+        words, ends = coded.dictionary.to_pylist(), cut.offsets.to_numpy()[1:]
+        new = set(words).difference(self.chunks)
+        if new:
             self._learn(new)
-            for k, ws, got in late:
-                out[k] = b"".join([chunks[w] if c is None else c for w, c in zip(ws, got, strict=True)]) + end
-            if self.long:
-                for w in new:
-                    if len(w) > KEPT_CHARS:
-                        del chunks[w]
-                self.parts = {p: i for p, i in self.parts.items() if len(p) <= KEPT_CHARS}
-        return out
+        own = [self._ask(texts[int(k)].as_py()).tobytes() + self.end for k in whole]
+        values = pa.array([*map(self.chunks.__getitem__, words), self.end, *own], pa.binary())
+        last = np.full(len(texts), len(words), np.int32)
+        last[whole] = len(words) + 1 + np.arange(len(whole))
+        ids = values.take(pa.array(np.insert(coded.indices.to_numpy(), ends, last)))
+        starts = np.frombuffer(ids.buffers()[1], np.int32)[: len(ids) + 1]
+        at = starts[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+        if new and self.long:
+            for w in new:
+                if len(w) > KEPT_CHARS:
+                    del self.chunks[w]
+            self.parts = {p: i for p, i in self.parts.items() if len(p) <= KEPT_CHARS}
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at), ids.buffers()[2]])
 
 
 def encoder(path: str, end_id: int) -> Encoder:
@@ -213,8 +279,8 @@ class Codebook:
         self.codes = np.zeros(len(lengths), np.int64)
         self.codes[order] = first >> (self.bits - own)
         pad = (1 << self.bits) - int(span.sum())
-        self.symbol = np.concatenate([np.repeat(order, span), np.zeros(pad, np.int64)]).astype(np.uint32)
-        self.step = np.concatenate([np.repeat(own, span), np.ones(pad, np.int64)])
+        # symbol and length of the code that a window starts with, in one number: a length has five bits
+        self.found = np.concatenate([np.repeat(order << 5 | own, span), np.ones(pad, np.int64)]).astype(np.uint32)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Packed bits, and the bit offset of every CHECKPOINT-th id."""
@@ -233,13 +299,16 @@ class Codebook:
         raw = np.frombuffer(data, np.uint8).astype(np.uint32)
         raw = np.concatenate([raw, np.zeros(8, np.uint32)])
         window = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-        at, last = np.asarray(marks, np.int64).copy(), len(window) - 1
+        at = np.asarray(marks, np.int64).copy()
         out = np.empty((CHECKPOINT, len(at)), np.uint32)
-        shift, symbol, step = np.uint32(32 - self.bits), self.symbol, self.step
-        for k in range(CHECKPOINT):
-            code = (window[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> shift
-            out[k] = symbol[code]
-            at += step[code]
+        shift, found = np.uint32(32 - self.bits), self.found
+        for k in range(CHECKPOINT if len(at) else 0):
+            code = window.take(at >> 3, mode="clip")
+            code <<= (at & 7).astype(np.uint32)
+            code >>= shift
+            got = found.take(code)
+            np.right_shift(got, 5, out=out[k])
+            at += got & 31
         return out.T.ravel()[:n]
 
 
@@ -259,9 +328,12 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
         c = encoder(path, end_id)
         width = np.dtype(c.kind).itemsize
         for b in batches:
-            for start, texts in text_batches(b.column(1)):
-                ids = c.encode(texts)
-                yield pa.record_batch({"doc_id": b.column(0).slice(start, len(ids)), "n_tokens": pa.array([len(i) // width for i in ids], pa.int64()), "width": pa.array([width] * len(ids), pa.int32()), "ids": pa.array(ids, pa.binary())})
+            texts = b.column(1).cast(pa.string()).fill_null("")
+            rows = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64) // TEXT_BYTES)) + 1
+            for start, end in pairwise([*sorted({0, *rows.tolist()}), b.num_rows]):
+                ids = c.encode_column(texts.slice(start, end - start))
+                sizes = pc.binary_length(ids).cast(pa.int64())
+                yield pa.record_batch({"doc_id": b.column(0).slice(start, len(ids)), "n_tokens": pc.divide(sizes, width), "width": pa.array([width] * len(ids), pa.int32()), "ids": ids})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, width int, ids binary")
@@ -357,8 +429,9 @@ def read(files: DataFrame, lengths: np.ndarray) -> DataFrame:
                 sizes = sizes.as_py()
                 ends = np.cumsum(sizes)
                 first = ends - sizes + base[part.as_py()] + start.as_py()
-                raw = np.split(ids.astype("<u4"), ends[:-1])
-                yield pa.record_batch({"doc_id": docs.values, "start": pa.array(first, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids": pa.array([x.tobytes() for x in raw], pa.binary())})
+                borders = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(borders), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.record_batch({"doc_id": docs.values, "start": pa.array(first, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids": raw})
 
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     return files.select("part", "start", "n_tokens", "doc_ids", "sizes", "marks", "payload").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -134,6 +135,31 @@ def test_word_encoder_equals_library(texts):
         assert np.frombuffer(ids, own.kind).tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
+def test_a_word_is_learnt_once_whatever_its_case():
+    own = huffman.Encoder(WORD, 2)
+    own.encode(["The thing, THE Thing,", "tHe\tthing,\nthe"])
+    assert set(own.chunks) - {""} == {"the", "thing,"}
+
+
+def test_a_column_of_odd_texts_equals_the_library():
+    """Marks that would compose with a lower-case letter only, special strings in other cases, long words, slices, an empty column."""
+    texts = ["H\u0331 T\u0308 J\u030c İI ΣΑΣ ẞ", "A <|ENDOFTEXT|> B", "x<|endoftext|>Y", "Q" * 700 + " \x0b\x0cÀÉª1º's", "", "\u0301a É\u0301 e\u0301", "ǅ Ǆ Ĳ 12ab'S", "A" + "!" * 300]
+    library, own = Tokenizer.from_file(WORD), huffman.Encoder(WORD, 2)
+    column = pa.array(["left out", *texts, *texts, "left out"]).slice(1, 2 * len(texts))
+    for t, ids in zip(texts * 2, own.encode_column(column).to_pylist(), strict=True):
+        assert np.frombuffer(ids, own.kind).tolist() == [*library.encode(t, add_special_tokens=False).ids, 2], repr(t)
+    assert max(map(len, own.chunks)) <= huffman.KEPT_CHARS
+    assert own.encode_column(column.slice(0, 0)).to_pylist() == []
+
+
+def test_rows_are_whole_when_a_batch_is_encoded_in_pieces(spark, rows, monkeypatch):
+    monkeypatch.setattr(huffman, "TEXT_BYTES", 40)
+    library, df = Tokenizer.from_file(WORD), spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = [(r.doc_id, r.n_tokens, np.frombuffer(r.ids, f"<u{r.width}").tolist()) for r in huffman.tokenize(df, WORD, 2).collect()]
+    want = [(r[0], [*library.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows]
+    assert sorted(got, key=repr) == sorted(((d, len(i), i) for d, i in want), key=repr)
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = np.random.default_rng(0)
     for counts in (rng.integers(1, 9, 300), rng.zipf(1.2, 500) % 10_000 + 1, np.array([0, 5]), np.array([1, 1])):
