@@ -185,6 +185,19 @@ def test_pairs_and_edits(spark):
     assert {tuple(r) for r in compare.apply_edits(docs, edits).collect()} == {("f", "bye my world"), ("g", "same")}
 
 
+def test_edits_beyond_the_end(spark, tmp_path):
+    """Texts too short for their edits, a null one and an id twice: as the SQL has it, and nothing of a value lost."""
+    texts = [(0, ""), (1, "a"), (2, "ab"), (3, "abc"), (4, "abcd"), (5, "abcde"), (6, "abcdefg"), (7, "abcdefghi"), (8, None), (9, "twice once"), (9, "twice again"), (None, "no id at all")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, records.QUERIES["edit_apply"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(c.sql(records.ORACLE_SQL["edit_apply"]).fetchall(), key=str)
+    docs = spark.createDataFrame([("f", "abc"), ("g", None)], "file string, content string")
+    edits = spark.createDataFrame([("f", 2, 4, "<x>"), ("f", 7, 7, "+"), ("g", 0, 0, "x")], "file string, start int, end int, value string")
+    assert {tuple(r) for r in compare.apply_edits(docs, edits).collect()} == {("f", "ab<x>+"), ("g", None)}
+
+
 def test_archive_rules(spark):
     stored, listed = spark.createDataFrame([("a",), ("b",)], "path string"), spark.createDataFrame([("a",)], "path string")
     assert archive.without_missing(stored, listed, True).count() == 1 and archive.without_missing(stored, listed, False).count() == 2
