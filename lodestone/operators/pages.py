@@ -1,38 +1,32 @@
 """Pages as positioned runs: reading order across columns, lines of text, blocks.
 
 Runs have doc, page, index, text, x, y, width, size, angle, vertical, bold; y grows
-downwards. Columns are found by sweeps over the extents of line fragments, all of it
-windows and aggregations by page; blocks are one pass over a document's lines in order.
+downwards. Columns are found by sweeps over the extents of line fragments. Runs are dealt
+and sorted by page once, and whole pages go through pagearrays; runs that already lie
+together by document are not dealt again.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lodestone.operators import pagearrays as A
 from lodestone.operators.layout import LINE_GAP
+from lodestone.operators.pagearrays import AUTO_COLUMNS, CELLS, COLUMN_CHARS, COLUMN_FILL, COLUMN_HEIGHT, COLUMN_LINES, COLUMN_TEXT, COLUMN_WIDTH, LEAST_RUNS, MAX_COLUMNS, WIDE  # noqa: F401
 
 PAGE = ["doc", "page"]
-#: Most columns that may be asked for, and that are believed when nobody asked.
-MAX_COLUMNS, AUTO_COLUMNS = 6, 3
-#: Cells across a page's content; the share of it from which a fragment is wide and says nothing about gutters; fewest upright runs.
-CELLS, WIDE, LEAST_RUNS = 400, 0.55, 8
-#: A column holds so many lines, and these shares of all characters, of the height and of the width; half its pieces fill so much of it and have so many characters.
-COLUMN_LINES, COLUMN_TEXT, COLUMN_HEIGHT, COLUMN_WIDTH, COLUMN_FILL, COLUMN_CHARS = 5, 1 / 6, 0.25, 0.15, 0.5, 12
 
 
 def _upright() -> Column:
     return (F.coalesce("angle", F.lit(-1.0)) == 0) & ~F.col("vertical")
 
 
-def _median(c: str) -> Column:
-    """The item at floor(n / 2) of the sorted values."""
-    return F.get(F.sort_array(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
-
-
 def with_lines(runs: DataFrame, within: list[str]) -> DataFrame:
     """Adds line: runs of one baseline, each within LINE_GAP of the larger size from the run before it."""
     w = Window.partitionBy(*within).orderBy("y", "x", "index")
@@ -40,61 +34,21 @@ def with_lines(runs: DataFrame, within: list[str]) -> DataFrame:
     return runs.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("line", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def _fragments(lined: DataFrame) -> DataFrame:
-    """doc, page, line, fragment, x0, x1, chars, y of the line: upright runs cut where a gap is wider than an em."""
-    up = lined.where(_upright())
-    w = Window.partitionBy(*PAGE, "line").orderBy("x", "index")
-    right = F.max(F.col("x") + F.greatest("width", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce(F.col("x") - right > F.greatest(F.lit(3.0), "size"), F.lit(False)).cast("int")
-    up = up.withColumn("_new", new).withColumn("fragment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return up.groupBy(*PAGE, "line", "fragment").agg(F.min("x").alias("x0"), F.max(F.col("x") + F.greatest("width", F.lit(0.0))).alias("x1"), F.sum(F.length("text")).alias("chars"), F.min("line_y").alias("y"), F.collect_list("index").alias("runs"))
+def _checked(columns: int | None) -> None:
+    if columns is not None and not 1 <= columns <= MAX_COLUMNS:
+        raise ValueError(f"columns are 1 to {MAX_COLUMNS}, not {columns}")
 
 
-def _bands(fragments: DataFrame, page: DataFrame) -> DataFrame:
-    """doc, page, bands: empty stretches between narrow fragments, (gutter, width) each, widest first.
+def _through(runs: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: T.StructType) -> DataFrame:
+    """What work makes of tables of whole pages; in them runs come by page, y, x and index, and _k is their place in the page."""
+    w = Window.partitionBy(*PAGE).orderBy("y", "x", "index")
+    sorted_ = runs.withColumns({"_upright": _upright(), "_chars": F.coalesce(F.length("text"), F.lit(0)), "_k": F.row_number().over(w)})
 
-    Fragments cover cells; sweeping them from the left, a cell that none has reached is empty.
-    """
-    f = fragments.join(page, PAGE).where("right > left").where((F.col("x1") - F.col("x0")) < (F.col("right") - F.col("left")) * WIDE)
-    step = (F.col("right") - F.col("left")) / CELLS
-    cell = lambda x: F.floor((F.col(x) - F.col("left")) / step)
-    f = f.select(*PAGE, "left", step.alias("step"), "least", F.greatest(F.lit(0), cell("x0")).alias("a"), F.least(F.lit(CELLS - 1), cell("x1")).alias("b"))
-    w = Window.partitionBy(*PAGE).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
-    f = f.withColumn("start", F.max("b").over(w) + 1)
-    f = f.where((F.col("a") > F.col("start")) & ((F.col("a") - F.col("start")) * F.col("step") >= F.col("least")))
-    low, high = F.col("left") + F.col("start") * F.col("step"), F.col("left") + F.col("a") * F.col("step")
-    band = F.struct((low - high).alias("narrow"), low.alias("low"), ((low + high) / 2).alias("gutter"))
-    return f.groupBy(*PAGE).agg(F.sort_array(F.collect_list(band)).alias("bands"))
-
-
-def _trusted(fragments: DataFrame, page: DataFrame, bands: DataFrame) -> DataFrame:
-    """doc, page, gutters: the most gutters, the widest first, between which every side holds a column."""
-    few = bands.where(F.size("bands") <= AUTO_COLUMNS)
-    # of bands of one width the leftmost is given up first, so sets are taken from the other end
-    order = F.array_sort("bands", lambda p, q: F.when(p["narrow"] < q["narrow"], -1).when(p["narrow"] > q["narrow"], 1).when(p["low"] > q["low"], -1).otherwise(1))
-    sets = few.select(*PAGE, F.posexplode(F.transform(order, lambda b, k: F.sort_array(F.transform(F.slice(order, 1, k + 1), lambda x: x["gutter"])))).alias("n", "gutters"))
-    inf = float("inf")
-    sides = F.transform("gutters", lambda g, k: F.struct(k.alias("column"), F.when(k == 0, -inf).otherwise(F.get("gutters", k - 1)).alias("lo"), g.alias("hi")))
-    last = F.array(F.struct(F.size("gutters").alias("column"), F.element_at("gutters", -1).alias("lo"), F.lit(inf).alias("hi")))
-    columns = sets.select(*PAGE, "n", "gutters", F.explode(F.concat(sides, last)).alias("side")).select(*PAGE, "n", "gutters", "side.*")
-    total = fragments.groupBy(*PAGE).agg(F.sum("chars").alias("total"))
-    inside = columns.join(fragments.drop("runs").withColumn("span", F.col("x1") - F.col("x0")), PAGE).where((F.col("x0") >= F.col("lo")) & (F.col("x1") <= F.col("hi")))
-    stats = inside.groupBy(*PAGE, "n", "gutters", "column").agg(
-        F.count_distinct("line").alias("lines"), F.sum("chars").alias("chars"), (F.max_by("y", "line") - F.min_by("y", "line")).alias("tall"), (F.max("x1") - F.min("x0")).alias("wide"), _median("span").alias("fill"), _median("chars").alias("long"))
-    stats = stats.join(page, PAGE).join(total, PAGE)
-    width = F.col("right") - F.col("left")
-    holds = (F.col("lines") >= COLUMN_LINES) & (F.col("chars") >= F.col("total") * COLUMN_TEXT) & ((F.col("height") <= 0) | (F.col("tall") >= F.col("height") * COLUMN_HEIGHT))
-    holds &= (F.col("wide") >= width * COLUMN_WIDTH) & (F.col("fill") >= F.col("wide") * COLUMN_FILL) & (F.col("long") >= COLUMN_CHARS)
-    good = stats.where(holds).groupBy(*PAGE, "n", "gutters").agg(F.count("*").alias("columns")).where(F.col("columns") == F.size("gutters") + 1)
-    return good.groupBy(*PAGE).agg(F.max_by("gutters", "n").alias("gutters"))
-
-
-def _forced(page: DataFrame, bands: DataFrame, columns: int) -> DataFrame:
-    """doc, page, gutters: the widest bands, or equal parts of the content where there are too few."""
-    wanted = min(columns, MAX_COLUMNS) - 1
-    equal = F.array(*[F.col("left") + (F.col("right") - F.col("left")) * k / (wanted + 1) for k in range(1, wanted + 1)])
-    found = F.sort_array(F.transform(F.slice("bands", 1, wanted), lambda b: b["gutter"]))
-    return page.join(bands, PAGE, "left").select(*PAGE, F.when(F.size("bands") >= wanted, found).otherwise(equal).alias("gutters"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in A.whole(batches, "_k"):
+            yield work(t)
+
+    return sorted_.mapInArrow(run, schema)
 
 
 def reading_order(runs: DataFrame, page_width: float, columns: int | None = None) -> DataFrame:
@@ -105,41 +59,19 @@ def reading_order(runs: DataFrame, page_width: float, columns: int | None = None
     many columns those would be) and not believed, and each side must hold a column. Lines
     across a gutter are a group each; between them, columns are read in turn. Runs that
     are not upright find no columns; they go with their line, in the first column. Fewer
-    than LEAST_RUNS upright runs are read top to bottom.
+    than LEAST_RUNS upright runs are read top to bottom. A task holds some pages at a time.
     """
-    if columns is not None and not 1 <= columns <= MAX_COLUMNS:
-        raise ValueError(f"columns are 1 to {MAX_COLUMNS}, not {columns}")
+    _checked(columns)
     if columns == 1:
         return runs.withColumns({"group": F.lit(0).cast("long"), "gutters": F.array().cast("array<double>"), "candidates": F.lit(None).cast("int")})
-    lined = with_lines(runs, PAGE)
-    by_place = Window.partitionBy(*PAGE, "line").orderBy("y", "x", "index")
-    lined = lined.withColumn("line_y", F.first("y").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    fragments = _fragments(lined)
-    body = lined.where(_upright()).groupBy(*PAGE).agg(_median("size").alias("body"), F.count("*").alias("n_runs")).where(F.col("n_runs") >= LEAST_RUNS)
-    tall = lined.groupBy(*PAGE).agg((F.max("line_y") - F.min("line_y")).alias("height"))
-    extent = fragments.groupBy(*PAGE).agg(F.min("x0").alias("left"), F.max("x1").alias("right"))
-    page = extent.join(body, PAGE).join(tall, PAGE).select(*PAGE, "left", "right", "height", F.greatest(F.lit(page_width * 0.015), F.col("body") * 0.8).alias("least"))
-    bands = _bands(fragments, page)
-    chosen = _forced(page, bands, columns) if columns else _trusted(fragments, page, bands)
-    doubt = bands.where(F.size("bands") > AUTO_COLUMNS).select(*PAGE, (F.size("bands") + 1).alias("candidates"))
-    none = F.array().cast("array<double>")
-    placed = fragments.join(chosen, PAGE).withColumn("crosses", F.exists("gutters", lambda g: (F.col("x0") < g) & (F.col("x1") > g)))
-    across = placed.groupBy(*PAGE, "line").agg(F.max("crosses").alias("crosses"))
-    middle = (F.col("x0") + F.col("x1")) / 2
-    column = placed.select(*PAGE, F.size(F.filter("gutters", lambda g: middle >= g)).alias("column"), F.explode("runs").alias("index"))
-    out = lined.drop("line_y").join(chosen, PAGE, "left").join(column, [*PAGE, "index"], "left").join(across, [*PAGE, "line"], "left")
-    out = out.withColumn("crosses", F.coalesce("crosses", F.lit(False)))
-    # a line counts once: the first of its runs carries it
-    lead = F.row_number().over(Window.partitionBy(*PAGE, "line").orderBy("index"))
-    before = Window.partitionBy(*PAGE).orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("_one", F.when(F.col("crosses") & (lead == 1), 1).otherwise(0)).withColumn("_stretch", F.coalesce(F.sum("_one").over(before), F.lit(0)))
-    rank = F.struct("_stretch", "crosses", F.when(F.col("crosses"), 0).otherwise(F.coalesce("column", F.lit(0))))
-    out = out.withColumn("group", F.when(F.col("gutters").isNull(), 0).otherwise(F.dense_rank().over(Window.partitionBy(*PAGE).orderBy(rank)) - 1).cast("long"))
-    if columns is None:
-        out = out.join(doubt, PAGE, "left")
-    else:
-        out = out.withColumn("candidates", F.lit(None).cast("int"))
-    return out.withColumn("gutters", F.coalesce("gutters", none)).select(*runs.columns, "group", "gutters", "candidates")
+    names = runs.columns
+    schema = T.StructType([*runs.schema.fields, T.StructField("group", T.LongType()), T.StructField("gutters", T.ArrayType(T.DoubleType())), T.StructField("candidates", T.IntegerType())])
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        own = A.ordered(t, page_width, columns)
+        return pa.RecordBatch.from_arrays([*[A.column(t, c) for c in names], *own], names=schema.names)
+
+    return _through(runs, work, schema)
 
 
 def text_lines(ordered: DataFrame) -> DataFrame:

@@ -13,9 +13,20 @@ WIDTH, HEIGHT = 612.0, 792.0
 
 
 def _runs(s, d):
-    """Four words are a run; two documents of three are set in two columns of 40 lines, every fifth has a wide title on each page."""
-    words = table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("k", "word"))
-    runs = words.groupBy("doc", F.floor(F.col("k") / 4).alias("index")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("text"))
+    """Four words are a run; two documents of three are set in two columns of 40 lines, every fifth has a wide title on each page.
+
+    Texts are dealt by document once, and all that comes after stays where they are. An id
+    that comes twice has its words at each place together, as the SQL has them; one that is
+    null has no pages.
+    """
+    texts = table(s, d, "documents").where("doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list("text").alias("texts"))
+    words = texts.select("doc", F.transform("texts", lambda t: F.regexp_extract_all(t, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    n = F.array_max(F.transform("words", F.size))
+    four = lambda k: F.array_join(F.slice(F.get("words", F.lit(0)), k * 4 + 1, 4), " ")
+    at = lambda k: F.array_sort(F.filter(F.transform("words", lambda w: F.get(w, k)), lambda x: x.isNotNull()))
+    mixed = lambda k: F.array_join(F.flatten(F.transform(F.sequence(k * 4, k * 4 + 3), at)), " ")
+    every = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 4).cast("int")), lambda k: F.when(F.size("words") == 1, four(k)).otherwise(mixed(k)))
+    runs = words.select("doc", F.posexplode(F.when(n > 0, every)).alias("k", "text")).select("doc", F.col("k").cast("long").alias("index"), "text")
     two = F.col("doc") % 3 != 0
     page, column, row = F.floor(F.col("index") / F.when(two, 80).otherwise(40)), F.when(two, F.floor(F.col("index") % 80 / 40)).otherwise(0), F.col("index") % 40
     title = (F.col("doc") % 5 == 0) & (row == 0) & (column == 0)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import compare, edits
 from lodestone.operators import extract as E
 from lodestone.operators import pages as P
 from lodestone.operators import renames as R
+from lodestone.plans import pages as Plan
 
 RUNS = "doc long, page int, index int, text string, x double, y double, width double, size double, angle double, vertical boolean, bold boolean"
 
@@ -132,3 +135,27 @@ def test_canonical_links_keep_style_and_place(spark):
     raw, parsed = _workspace(spark, {"s/a.md": "[a](../s/b.md#f) [b](./../s/b.md) [c](/s/../s/b.md) [d](b.md) [e](./b.md) [f](#x) [g](../s/x%20y.md?q) [h](mailto:q@x)\n", "s/b.md": ""})
     new = _applied(raw, R.canonical_links(parsed))
     assert new["s/a.md"] == "[a](b.md#f) [b](./b.md) [c](/s/b.md) [d](b.md) [e](./b.md) [f](#x) [g](x%20y.md?q) [h](mailto:q@x)\n"
+
+
+def _documents(spark, folder):
+    """Long and short texts, none, a null one, one that comes twice under one id, and one without an id."""
+    words = [f"word{k % 37}" + "x" * (k % 5) for k in range(700)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[5:])), (2, "  a few\twords\nonly "), (3, ""), (4, None), (5, " ".join(words[:400])), (6, " ".join(words[3:50])), (6, " ".join(words[3:50])), (None, "no id"), (7, " ".join(words[:321]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", ["layout_reading_order", "layout_page_text"])
+def test_page_queries_of_odd_texts(spark, tmp_path, name):
+    c = _documents(spark, tmp_path)
+    got, want = Plan.QUERIES[name](spark, str(tmp_path)).collect(), c.sql(Plan.ORACLE_SQL[name]).fetchall()
+    assert len(want) > 10 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("name", ["layout_reading_order"])
+def test_pages_are_dealt_and_sorted_once(spark, name):
+    """Texts are dealt by document; no later step deals the runs again, joins them or works them out a second time."""
+    plan = Plan.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange"), plan.count("Join"), plan.count("FileScan"), plan.count("Sort [")) == (1, 0, 1, 1)
