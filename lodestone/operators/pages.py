@@ -106,6 +106,18 @@ def page_text(ordered: DataFrame) -> DataFrame:
     return rows.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("group", "t"))), lambda x: x["t"]), "\n").alias("text"))
 
 
+def page_texts(runs: DataFrame, page_width: float, columns: int | None = None) -> DataFrame:
+    """page_text() of the runs in reading_order(), in one pass over each page."""
+    _checked(columns)
+    schema = T.StructType([*[runs.schema[c] for c in PAGE], T.StructField("text", T.StringType())])
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        row, text = A.texts(t, page_width, columns)
+        return pa.RecordBatch.from_arrays([*[A.column(t, c).take(pa.array(row)) for c in PAGE], text.cast(pa.string())], names=schema.names)
+
+    return _through(runs.select(*PAGE, "index", "text", "x", "y", "width", "size", "angle", "vertical"), work, schema)
+
+
 def without_running_text(runs: DataFrame, page_height: float, share: float = 0.4, least_pages: int = 4) -> DataFrame:
     """Runs without headers and footers: text, digits masked, at one height within an eighth of an edge on so many pages of a document."""
     height = F.floor(F.col("y") / 2 + 0.5)

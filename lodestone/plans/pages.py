@@ -69,7 +69,7 @@ ordered AS (SELECT doc, page, index, text, x, y, size, width, CASE WHEN g IS NUL
 
 QUERIES["layout_reading_order"] = lambda s, d: P.reading_order(_runs(s, d), WIDTH).select("doc", "page", "index", "group", (F.size("gutters") + 1).alias("columns"), "candidates")
 ORACLE_SQL["layout_reading_order"] = f"WITH {_ORDER} SELECT o.doc, o.page, index, CAST(\"group\" AS BIGINT) AS \"group\", CAST(columns AS INTEGER) AS columns, CAST(c.n + 1 AS INTEGER) AS candidates FROM ordered o LEFT JOIN (SELECT doc, page, n FROM ranked WHERE n > {P.AUTO_COLUMNS} GROUP BY ALL) c ON c.doc = o.doc AND c.page = o.page"
-QUERIES["layout_page_text"] = lambda s, d: P.page_text(P.reading_order(_runs(s, d), WIDTH)).select("doc", "page", F.sha2("text", 256).alias("text_sha256"))
+QUERIES["layout_page_text"] = lambda s, d: P.page_texts(_runs(s, d), WIDTH).select("doc", "page", F.sha2("text", 256).alias("text_sha256"))
 ORACLE_SQL["layout_page_text"] = f"""WITH {_ORDER}, again AS (SELECT *, CASE WHEN abs(y - lag(y) OVER t) > {P.LINE_GAP} * greatest(size, lag(size) OVER t) THEN 1 ELSE 0 END AS new FROM ordered WINDOW t AS (PARTITION BY doc, page, "group" ORDER BY y, x, index)),
 lined AS (SELECT *, sum(new) OVER (PARTITION BY doc, page, "group" ORDER BY y, x, index ROWS UNBOUNDED PRECEDING) AS line FROM again),
 spaced AS (SELECT *, CASE WHEN x - lag(x + width) OVER t > 0.25 * lag(size) OVER t THEN ' ' || text ELSE text END AS piece FROM lined WINDOW t AS (PARTITION BY doc, page, "group", line ORDER BY x, index)),

@@ -154,8 +154,21 @@ def test_page_queries_of_odd_texts(spark, tmp_path, name):
     assert len(want) > 10 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["layout_reading_order"])
+@pytest.mark.parametrize("name", ["layout_reading_order", "layout_page_text"])
 def test_pages_are_dealt_and_sorted_once(spark, name):
     """Texts are dealt by document; no later step deals the runs again, joins them or works them out a second time."""
     plan = Plan.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("Exchange"), plan.count("Join"), plan.count("FileScan"), plan.count("Sort [")) == (1, 0, 1, 1)
+
+
+def test_texts_of_pages_in_one_pass(spark, monkeypatch):
+    """Like the lines of the reading order put together, however the pages fall into batches."""
+    rows = [run(1, 100, "A title that runs across both of the columns", 50, 40, 18, width=490), *two_columns(), run(1, 101, "A caption across ", 50, 400, width=490), run(1, 102, "turned", 20, 100, angle=90.0)]
+    rows += [r[:1] + (2,) + r[2:] for r in two_columns()] + [run(3, 1, "fi", 10, 10, width=8), run(3, 2, "ne ", 18.5, 10, width=10), run(3, 3, "word", 32, 12, width=20), run(4, 1, " ", 10, 10), run(5, 1, "", 10, 10), run(5, 2, "x", 10, 30)]
+    df = spark.createDataFrame(rows, RUNS)
+    for columns in (None, 1, 2, 3):
+        want = sorted(P.page_text(P.reading_order(df, 612.0, columns)).collect())
+        for size in (1, 30, 60_000):
+            monkeypatch.setattr(P.A, "ROWS", size)
+            assert sorted(P.page_texts(df, 612.0, columns).collect()) == want and len(want) == 4
+    assert P.page_texts(df.where("false"), 612.0).count() == 0
