@@ -8,7 +8,6 @@ together by document are not dealt again.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -21,6 +20,8 @@ from lodestone.operators.layout import LINE_GAP
 from lodestone.operators.pagearrays import AUTO_COLUMNS, CELLS, COLUMN_CHARS, COLUMN_FILL, COLUMN_HEIGHT, COLUMN_LINES, COLUMN_TEXT, COLUMN_WIDTH, LEAST_RUNS, MAX_COLUMNS, WIDE  # noqa: F401
 
 PAGE = ["doc", "page"]
+#: Headers and footers: on such a share of a document's pages, if it has so many, within such a share of the height from an edge.
+RUNNING_SHARE, RUNNING_PAGES, RUNNING_EDGE = 0.4, 4, 0.12
 
 
 def _upright() -> Column:
@@ -118,167 +119,46 @@ def page_texts(runs: DataFrame, page_width: float, columns: int | None = None) -
     return _through(runs.select(*PAGE, "index", "text", "x", "y", "width", "size", "angle", "vertical"), work, schema)
 
 
-def without_running_text(runs: DataFrame, page_height: float, share: float = 0.4, least_pages: int = 4) -> DataFrame:
+def _masked() -> Column:
+    return F.regexp_replace(F.trim("text"), r"\d+", "#")
+
+
+def without_running_text(runs: DataFrame, page_height: float, share: float = RUNNING_SHARE, least_pages: int = RUNNING_PAGES) -> DataFrame:
     """Runs without headers and footers: text, digits masked, at one height within an eighth of an edge on so many pages of a document."""
     height = F.floor(F.col("y") / 2 + 0.5)
-    keyed = runs.withColumns({"_y": height, "_masked": F.regexp_replace(F.trim("text"), r"\d+", "#")})
+    keyed = runs.withColumns({"_y": height, "_masked": _masked()})
     pages = runs.groupBy("doc").agg(F.count_distinct("page").alias("_pages")).where(F.col("_pages") >= least_pages)
     seen = keyed.groupBy("doc", "_y", "_masked").agg(F.count_distinct("page").alias("_on")).join(pages, "doc")
-    edge = page_height * 0.12
+    edge = page_height * RUNNING_EDGE
     gone = seen.where((F.col("_on") >= share * F.col("_pages")) & ~((F.col("_y") * 2 > edge) & (F.col("_y") * 2 < page_height - edge))).select("doc", "_y", "_masked")
     return keyed.join(gone, ["doc", "_y", "_masked"], "left_anti").select(runs.columns)
 
 
-def _facts(lines: DataFrame, runs: DataFrame) -> DataFrame:
-    """A row per document: body size, sizes of headings, modal spacing and left margin of body lines."""
-    bucket = F.floor(F.col("size") * 4 + 0.5) / 4
-    body = runs.groupBy("doc", bucket.alias("body")).agg(F.sum(F.length("text")).alias("n")).groupBy("doc").agg(F.max(F.struct("n", "body"))["body"].alias("body"))
-    at = lines.join(body, "doc")
-    big = at.where((F.col("size") >= F.col("body") * 1.15) | (F.col("bold") & (F.col("size") >= F.col("body")))).groupBy("doc").agg(F.sort_array(F.collect_set("size"), asc=False).alias("sizes"))
-    plain = F.abs(F.col("size") - F.col("body")) <= 0.25
-    w = Window.partitionBy("doc").orderBy("page", "group", "line")
-    after = F.when(plain & F.lag(plain).over(w) & (F.lag("page").over(w) == F.col("page")) & (F.col("y") > F.lag("y").over(w)), F.floor((F.col("y") - F.lag("y").over(w)) * 2 + 0.5) / 2)
-    mode = lambda df, c, name: df.where(F.col(c).isNotNull()).groupBy("doc", c).agg(F.count("*").alias("n")).groupBy("doc").agg(F.max(F.struct("n", (-F.col(c)).alias("less")))["less"].alias(name)).withColumn(name, -F.col(name))
-    spacing = mode(at.withColumn("s", after), "s", "spacing")
-    left = mode(at.where(plain).withColumn("m", F.floor(F.col("x") + 0.5)), "m", "left")
-    out = body.join(big, "doc", "left").join(spacing, "doc", "left").join(left, "doc", "left")
-    return out.select("doc", "body", F.coalesce("sizes", F.array().cast("array<double>")).alias("sizes"), F.coalesce(F.when(F.col("spacing") != 0, F.col("spacing")), F.col("body") * 1.2).alias("spacing"), F.coalesce("left", F.lit(0)).cast("double").alias("left"))
-
-
-_BULLET = re.compile(r"[•‣▪◦·⁃∙*–—-]\s*")
-_ORDINAL = re.compile(r"\(?(\d{1,3}|[ivxlcdm]{1,7}|[A-Za-z])[.)]")
-_INLINE = re.compile(r"([•‣▪◦·*]|\(?\d{1,3}[.)])\s+")
-_FINAL = re.compile(r"[.!?][\"')\]]?$")
-_BLOCK = "doc {doc}, block bigint, kind string, level int, ordered boolean, text string, bold boolean, first_page {page}, last_page {page}, parent bigint"
-
-
-def _marker(line: dict) -> tuple[bool, str] | None:
-    """(ordered, the text after it) of a line that starts with a list marker."""
-    if line["n_runs"] >= 2:
-        if _BULLET.fullmatch(line["first_text"]):
-            return False, line["rest"]
-        if _ORDINAL.fullmatch(line["first_text"]):
-            return True, line["rest"]
-    if m := _INLINE.match(line["text"]):
-        return any(c.isdigit() for c in m[1]), line["text"][m.end() :].strip()
-    return None
-
-
-def _joined(lines: list[dict]) -> str:
-    """Lines as one text; a word that a hyphen splits at a line's end is put together if the next line goes on in lower case."""
-    text = ""
-    for x in lines:
-        if not text:
-            text = x["text"]
-        elif re.search(r"\w-$", text) and "a" <= x["text"][:1] <= "z":
-            text = text[:-1] + x["text"]
-        else:
-            text += " " + x["text"]
-    return text
-
-
-class _Fold:
-    """One document's lines to blocks: an open paragraph and an open list, which may go on over a page's end."""
-
-    def __init__(self) -> None:
-        self.doc: object = None
-        self.blocks: list[dict] = []
-        self.start(None)
-
-    def start(self, doc: object) -> None:
-        self.doc, self.n, self.before = doc, 0, None
-        self.paragraph: list[dict] = []
-        self.items: list[list[dict]] = []
-        self.item_x: float | None = None
-        self.ordered = False
-
-    def put(self, kind: str, lines: list[dict], text: str | None = None, level: int | None = None, ordered: bool | None = None, bold: bool = False, parent: int | None = None) -> int:
-        pages = [x["page"] for x in lines]
-        self.blocks.append({"doc": self.doc, "block": self.n, "kind": kind, "level": level, "ordered": ordered, "text": text, "bold": bold, "first_page": min(pages), "last_page": max(pages), "parent": parent})
-        self.n += 1
-        return self.n - 1
-
-    def end_paragraph(self) -> None:
-        if self.paragraph and (text := _joined(self.paragraph)):
-            self.put("paragraph", self.paragraph, text, bold=all(x["bold"] for x in self.paragraph))
-        self.paragraph = []
-
-    def end_list(self) -> None:
-        if self.items:
-            own = self.put("list", [x for item in self.items for x in item], ordered=self.ordered)
-            for item in self.items:
-                self.put("item", item, _joined(item), bold=all(x["bold"] for x in item), parent=own)
-        self.items = []
-
-    def end(self) -> None:
-        self.end_paragraph()
-        self.end_list()
-
-    def line(self, x: dict) -> None:
-        before, self.before = self.before, x
-        marker, level = _marker(x), next((k + 1 for k, s in enumerate(x["sizes"]) if s == x["size"]), None)
-        if level and not marker and x["text"] and x["size"] > x["body"]:
-            self.end()
-            self.put("heading", [x], x["text"], level=min(level, 6))
-            return
-        if marker:
-            self.end_paragraph()
-            if not self.items:
-                self.ordered = marker[0]
-            self.items.append([x | {"text": marker[1]}])
-            self.item_x = x["second_x"] if x["second_x"] is not None else x["x"]
-            return
-        same_page = before is not None and before["page"] == x["page"]
-        if self.items:
-            if same_page and abs(x["x"] - self.item_x) <= 1.5:
-                self.items[-1].append(x)
-                return
-            self.end_list()
-        if before is not None:
-            delta = x["y"] - before["y"] if same_page else 0
-            indented = bool(self.paragraph) and x["x"] > x["left"] + max(2, x["body"] * 0.4)
-            closed = _FINAL.search(before["text"]) is not None
-            short = closed and len(before["text"]) < len(x["text"]) * 0.85
-            if delta > x["spacing"] * 1.35 or indented or abs(x["size"] - before["size"]) > 0.5 or (delta > 0 and short) or (not same_page and self.paragraph and closed):
-                self.end_paragraph()
-        self.paragraph.append(x)
-
-
 def blocks(runs: DataFrame, page_width: float, page_height: float, columns: int | None = None) -> DataFrame:
     """doc, block, kind (heading, paragraph, list, item), level, ordered, text, bold, first_page, last_page, parent.
 
     Upright runs without running headers are put in reading order. A line larger than the
     body's size is a heading, its level the rank of its size in the document; list items
     and paragraphs are told by markers, spacing, indents, sizes and final stops, and may go
-    on over a page's end. A document's lines pass through one task in order, one by one;
-    what it holds is the open paragraph or list. Empty tables give no blocks.
+    on over a page's end. Modes of a document's lines (size of the body, spacing, left
+    margin) decide on each of them, so a task holds some whole documents at a time, and one
+    document's runs at least. Runs without a document are left out. Empty tables give no blocks.
     """
-    kept = without_running_text(runs.where(_upright()), page_height)
-    lines = text_lines(reading_order(kept, page_width, columns))
-    facts = _facts(lines, kept)
-    types = dict(runs.dtypes)
-    out = _BLOCK.format(doc=types["doc"], page=types["page"])
-    columns_ = ["doc", "page", "text", "x", "y", "size", "bold", "n_runs", "second_x", "first_text", "rest", "body", "sizes", "spacing", "left"]
-    rows = lines.join(facts, "doc").repartition("doc").sortWithinPartitions("doc", "page", "group", "line").select(*columns_)
-
-    def run(batches):
-        fold, schema = _Fold(), None
-        for b in batches:
-            schema = schema or _block_schema(b.schema)
-            for x in b.to_pylist():
-                if fold.before is None or fold.doc != x["doc"]:
-                    fold.end()
-                    fold.start(x["doc"])
-                fold.line(x)
-            done, fold.blocks = fold.blocks, []
-            yield pa.RecordBatch.from_pylist(done, schema)
-        fold.end()
-        if fold.blocks:
-            yield pa.RecordBatch.from_pylist(fold.blocks, schema)
-
-    return rows.mapInArrow(run, out)
-
-
-def _block_schema(line: pa.Schema) -> pa.Schema:
-    page = line.field("page").type
-    return pa.schema([("doc", line.field("doc").type), ("block", pa.int64()), ("kind", pa.string()), ("level", pa.int32()), ("ordered", pa.bool_()), ("text", pa.string()), ("bold", pa.bool_()), ("first_page", page), ("last_page", page), ("parent", pa.int64())])
+    _checked(columns)
+    kept = runs.where(_upright() & F.col("doc").isNotNull())
+    height = F.floor(F.col("y") / 2 + 0.5)
+    edge = page_height * RUNNING_EDGE
+    at_edge = ~((height * 2 > edge) & (height * 2 < page_height - edge))
+    sorted_ = kept.select(
+        *PAGE, "index", "text", "x", "y", "width", "size", "bold", F.round("x", 2).alias("_x"), height.alias("_y"), F.when(at_edge, _masked()).alias("_edge"), (F.floor(F.col("size") * 4 + 0.5) / 4).alias("_bucket"),
+        F.coalesce(F.length("text"), F.lit(0)).alias("_chars"), F.row_number().over(Window.partitionBy("doc").orderBy("page", "y", "x", "index")).alias("_k"),
+    )
+    kinds = {"block": T.LongType(), "kind": T.StringType(), "level": T.IntegerType(), "ordered": T.BooleanType(), "text": T.StringType(), "bold": T.BooleanType(), "first_page": runs.schema["page"].dataType, "last_page": runs.schema["page"].dataType, "parent": T.LongType()}
+    schema = T.StructType([runs.schema["doc"], *[T.StructField(n, x) for n, x in kinds.items()]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in A.whole(batches, "_k"):
+            if (out := A.blocks(t, page_width, columns, RUNNING_SHARE, RUNNING_PAGES)) is not None:
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return sorted_.mapInArrow(run, schema)

@@ -154,7 +154,7 @@ def test_page_queries_of_odd_texts(spark, tmp_path, name):
     assert len(want) > 10 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["layout_reading_order", "layout_page_text"])
+@pytest.mark.parametrize("name", ["layout_reading_order", "layout_page_text", "layout_blocks"])
 def test_pages_are_dealt_and_sorted_once(spark, name):
     """Texts are dealt by document; no later step deals the runs again, joins them or works them out a second time."""
     plan = Plan.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
@@ -172,3 +172,23 @@ def test_texts_of_pages_in_one_pass(spark, monkeypatch):
             monkeypatch.setattr(P.A, "ROWS", size)
             assert sorted(P.page_texts(df, 612.0, columns).collect()) == want and len(want) == 4
     assert P.page_texts(df.where("false"), 612.0).count() == 0
+
+
+def test_blocks_of_documents_side_by_side(spark, monkeypatch):
+    """Headers gone, items with lines of their own, markers as runs, words split by hyphens; in batches of any size; a run without a document is left out."""
+    body = [("Heading One", 50, 100, 16), ("a line that is hy-", 50, 120, 10), ("phenated and a well-", 50, 132, 10), ("Known one goes on over the end", 50, 144, 10)]
+    rows = page_of(1, [("Running head 1", 50, 20, 8), *body]) + page_of(2, [("Running head 2", 50, 20, 8), ("of its page.", 50, 100, 10), ("Sub heading", 50, 130, 13), ("1. first", 50, 150, 10), ("goes on", 50, 162, 10), ("2) second", 50, 174, 10), ("apart from it", 90, 186, 10)])
+    rows += page_of(3, [("Running head 3", 50, 20, 8), ("After the list. And now a paragraph that is long.", 50, 100, 10)]) + [run(3, 390, "•", 50, 112, width=5), run(3, 391, "bullet", 62, 112), run(3, 392, "more of it", 62, 124), run(3, 393, "", 50, 136)]
+    rows += page_of(4, [("Running head 4", 50, 20, 8), ("the fourth", 50, 100, 10)])
+    both = rows + [(2, *r[1:]) for r in rows] + [(None, *r[1:]) for r in rows[:3]]
+    want = [
+        ("heading", 1, None, "Heading One", 1, 1, None), ("paragraph", None, None, "a line that is hyphenated and a well- Known one goes on over the end of its page.", 1, 2, None), ("heading", 2, None, "Sub heading", 2, 2, None),
+        ("list", None, True, None, 2, 2, None), ("item", None, None, "first goes on", 2, 2, 3), ("item", None, None, "second", 2, 2, 3), ("paragraph", None, None, "apart from it After the list. And now a paragraph that is long.", 2, 3, None),
+        ("list", None, False, None, 3, 3, None), ("item", None, None, "bullet more of it", 3, 3, 7), ("paragraph", None, None, "the fourth", 3, 4, None),
+    ]
+    for size in (1, 60_000):
+        monkeypatch.setattr(P.A, "ROWS", size)
+        got = P.blocks(spark.createDataFrame(both, RUNS), 612.0, 792.0).orderBy("doc", "block").collect()
+        for doc in (1, 2):
+            assert [(b.kind, b.level, b.ordered, b.text, b.first_page, b.last_page, b.parent) for b in got if b.doc == doc] == want and [b.block for b in got if b.doc == doc] == list(range(10))
+        assert {b.doc for b in got} == {1, 2}
